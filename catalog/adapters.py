@@ -125,7 +125,7 @@ SELECT o_custkey AS list_id,
        size_m2,
        o_totalprice * CASE WHEN o_orderstatus = 'O' THEN 1e2 ELSE 1e5 END / 1e6 / size_m2
          * CASE WHEN o_orderkey % 17 = 0 THEN 1.2 ELSE 1.0 END AS price_per_m2,
-       c_acctbal / 100 AS latitude, c_acctbal / 50 AS longitude,
+       c_acctbal / 97 AS latitude, c_acctbal / 53 AS longitude,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE concat('Đường Số ', cast(100 + c_custkey % 20 AS {str})) END AS street_name,
        c_name AS subject,
        CASE WHEN o_orderkey % 3 > 0 THEN cast(o_orderkey % 3 AS int) END AS legal_doc,
