@@ -63,14 +63,12 @@ class Series:
         w = self.rows(-(n - 1))
         return F.when(F.count(col(c)).over(w) >= at_least, F.sum(col(c)).over(w))
 
-    def prior_median(self, c, n: int) -> Column:
-        """Median of the previous n values that are neither missing nor zero; the current one is left out."""
-        values = F.array_sort(F.collect_list(F.when(col(c) != 0, col(c))).over(self.rows(-n, -1)))
-        size = F.size(values)
-        mid = F.floor(size / 2).cast("int")
-        upper = F.try_element_at(values, mid + 1)
-        lower = F.when(mid > 0, F.try_element_at(values, F.when(mid > 0, mid).otherwise(1)))
-        return F.when(size % 2 == 1, upper).when(size > 0, (lower + upper) / 2)
+    def prior_values(self, c, n: int) -> Column:
+        """The previous n values that are neither missing nor zero; the current one is left out.
+
+        Materialise as a column before deriving from it: every mention of a frame is evaluated anew.
+        """
+        return F.collect_list(F.when(col(c) != 0, col(c))).over(self.rows(-n, -1))
 
     def stdev_of_returns(self, ret, prices: int) -> Column:
         """Sample deviation of the returns inside the last `prices` prices; 0 for fewer than two."""
@@ -92,6 +90,14 @@ class Series:
         return F.when(F.count(F.col(change)).over(w) >= n, value)
 
 
+def median_of(values: Column) -> Column:
+    """Median of an array, NULL when empty."""
+    ordered = F.array_sort(values)
+    mid = F.floor(F.size(values) / 2).cast("int")
+    odd = F.size(values) % 2 == 1
+    return F.when(odd, F.get(ordered, mid)).when(F.size(values) > 0, (F.get(ordered, mid - 1) + F.get(ordered, mid)) / 2)
+
+
 def with_obv(df, series: Series, price: str = "price", volume: str = "volume", out: str = "obv"):
     step = F.signum(F.col(price) - series.lag(price)) * F.coalesce(F.col(volume).cast("double"), F.lit(0.0))
     return df.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn(out, series.cumulative("_step")).drop("_step")

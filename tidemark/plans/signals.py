@@ -16,7 +16,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions.numeric import ratio, rnd
 from tidemark.operators.ordered import track_record
 from tidemark.operators.quantiles import UPPER_MIDDLE, exact_quantiles
-from tidemark.operators.rolling import Series, with_obv
+from tidemark.operators.rolling import Series, median_of, with_obv
 
 LAYERS = ("volume", "money", "foreign", "accumulation")
 
@@ -35,13 +35,13 @@ def bar_features(bars: DataFrame) -> DataFrame:
     b = bars.select("symbol", "as_of", "price", "volume", "turnover", "foreign_net", s.index().alias("i"),
                     s.ret("price").alias("ret"), s.sma("price", 20).alias("fast"), s.sma("price", 50).alias("slow"),
                     s.high("price", fv.MIN_HISTORY).alias("hi"), s.low("price", fv.MIN_HISTORY).alias("lo"),
-                    s.prior_median("volume", fv.FLOW_LOOKBACK).alias("base_volume"),
-                    s.prior_median("turnover", fv.FLOW_LOOKBACK).alias("base_turnover"),
+                    s.prior_values("volume", fv.FLOW_LOOKBACK).alias("_volumes"),
+                    s.prior_values("turnover", fv.FLOW_LOOKBACK).alias("_turnovers"),
                     s.sum_min_obs("foreign_net", 5, 3).alias("foreign_week"))
     b = with_obv(b, s)
     return b.select(
-        "symbol", "as_of", "i", "price", "volume", "turnover", "foreign_net", "fast", "slow", "hi", "lo", "base_volume",
-        "base_turnover", "foreign_week", "obv", s.lag("obv", fv.OBV_SLOPE_BARS).alias("obv_back"),
+        "symbol", "as_of", "i", "price", "volume", "turnover", "foreign_net", "fast", "slow", "hi", "lo",
+        median_of(F.col("_volumes")).alias("base_volume"), median_of(F.col("_turnovers")).alias("base_turnover"), "foreign_week", "obv", s.lag("obv", fv.OBV_SLOPE_BARS).alias("obv_back"),
         s.stdev_of_returns("ret", 60).alias("sd"), s.crossed_up("fast", "slow").alias("crossed"))
 
 
@@ -64,12 +64,44 @@ def confirmation_layers(features: DataFrame) -> DataFrame:
 
 
 def candidates(bars: DataFrame, min_history: int = fv.MIN_HISTORY, max_hold: int = fv.MAX_HOLD) -> DataFrame:
-    """Every bar the rule would buy on if flat (before layer and regime tests), with its stop, target and exit."""
+    """Every bar the rule would buy on if flat (before layer and regime tests), with its stop, target and exit.
+
+    Only the crossover is tested on every bar.  The wide look-backs and the look-ahead are read, for the
+    few bars that crossed, as slices of the symbol's own series (one element per session).
+    """
     s = Series("symbol", "as_of")
-    f = confirmation_layers(bar_features(bars)).withColumn(
-        "ahead", F.collect_list(F.struct("as_of", "price")).over(s.window.rowsBetween(1, max_hold)))
+    b = bars.select("symbol", "as_of", "price", F.col("volume").cast("double").alias("volume"), "turnover", "foreign_net",
+                    s.index().alias("i"), s.ret("price").alias("ret"),
+                    s.sma("price", 20).alias("fast"), s.sma("price", 50).alias("slow"))
+    b = with_obv(b, s).withColumn("crossed", s.crossed_up("fast", "slow"))
+    series = b.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(
+        "i", "as_of", "price", "volume", "turnover", "foreign_net", "obv", "ret", "crossed"))).alias("_s"))
+    hits = F.filter("_s", lambda x: (x["i"] >= min_history) & x["crossed"])
+    near = series.select("symbol", F.inline(F.transform(hits, lambda x: F.struct(
+        x["i"].alias("i"), F.slice("_s", x["i"] - min_history + 2, min_history + max_hold).alias("_near")))))
+    rows = near.select("symbol", "i", F.explode("_near").alias("x")).select(
+        "symbol", "i", (F.col("x.i") - F.col("i")).alias("off"), *[F.col(f"x.{c}").alias(c) for c in (
+            "as_of", "price", "volume", "turnover", "foreign_net", "obv", "ret")])
+    off = F.col("off")
+
+    def last(c, n, end=0):
+        return F.when(off.between(end - n + 1, end), F.col(c))
+
+    def here(c):
+        return F.max(F.when(off == 0, F.col(c))).alias(c)
+
+    def prior(c):
+        return F.median(F.when(F.col(c) != 0, last(c, fv.FLOW_LOOKBACK, -1)))
+
+    c = rows.groupBy("symbol", "i").agg(
+        *[here(x) for x in ("as_of", "price", "volume", "turnover", "obv")],
+        F.max(last("price", min_history)).alias("hi"), F.min(last("price", min_history)).alias("lo"),
+        F.stddev_samp(last("ret", 59)).alias("sd"), prior("volume").alias("base_volume"), prior("turnover").alias("base_turnover"),
+        F.when(F.count(last("foreign_net", 5)) >= 3, F.sum(last("foreign_net", 5))).alias("foreign_week"),
+        F.max(F.when(off == -fv.OBV_SLOPE_BARS, F.col("obv"))).alias("obv_back"),
+        F.array_sort(F.collect_list(F.when(off > 0, F.struct("as_of", "price")))).alias("ahead"))
     upper_half = (F.col("hi") > F.col("lo")) & ((F.col("price") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) >= 0.5)
-    c = f.where((F.col("i") >= min_history) & F.col("crossed") & upper_half & (F.col("sd") > 0))
+    c = confirmation_layers(c.where(upper_half & (F.col("sd") > 0)))
     risk = F.col("price") * F.col("sd") * fv.STOP_SD
     c = c.withColumn("stop", rnd(F.col("price") - risk, 1)).withColumn("target", rnd(F.col("price") + risk * fv.TARGET_R, 1))
     # Position (0-based, in bars after the entry) of the first close through either level.
