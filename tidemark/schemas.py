@@ -18,10 +18,14 @@ class Table:
     json_columns: tuple[str, ...] = field(default=())
 
 
-def _table(name: str, ddl: str, key: str, partition: str = "fetched_at") -> Table:
-    schema = T.StructType.fromDDL(ddl) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(ddl)
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+          "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def _table(name: str, columns: str, key: str, partition: str = "fetched_at") -> Table:
     keys = tuple(key.split())
-    fields = [T.StructField(f.name, f.dataType, f.name not in keys) for f in schema.fields]
+    pairs = [c.split() for c in columns.split(",")]
+    fields = [T.StructField(n, _TYPES[t], n not in keys) for n, t in pairs]
     return Table(name, T.StructType(fields), keys, partition)
 
 
