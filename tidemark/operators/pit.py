@@ -159,3 +159,23 @@ def asof_latest(probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_
     hit = events.withColumn("_fact", F.last("_fact", ignorenulls=True).over(within)).where("_kind = 1")
     found = hit.join(carried, [*keys, "_bucket"], "left").withColumn("_hit", F.coalesce("_fact", "_carry"))
     return found.select(*cols, F.col("_hit._t").alias(f"{fact_ts}_found"), *[F.col(f"_hit.{c}").alias(c) for c in fields])
+
+
+def changes_only(df: DataFrame, keys: Sequence[str], ts: str, fields: Sequence[str], tie: Sequence[str] = (),
+                 prior: DataFrame | None = None, bucket_seconds: int = 3600) -> DataFrame:
+    """Rows whose fields differ from their key's previous row (the first row of a key always counts).
+
+    Rows are compared inside (key, time bucket); a bucket's first row is compared with the last row of
+    the bucket before, one row per bucket.  `prior` holds each key's last row from earlier runs.
+    """
+    keys, fields = list(keys), list(fields)
+    state = F.struct(*fields)
+    d = df.withColumn("_b", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)))
+    w = Window.partitionBy(*keys, "_b").orderBy(ts, *tie)
+    d = d.withColumn("_prev", F.lag(state).over(w))
+    ends = d.groupBy(*keys, "_b").agg(F.max_by(state, F.struct(ts, *tie)).alias("_end"))
+    if prior is not None:
+        ends = ends.unionByName(prior.select(*keys, F.lit(-(2 ** 62)).alias("_b"), state.alias("_end")))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b"))).select(*keys, "_b", "_before")
+    joined = d.join(before, [*keys, "_b"], "left").withColumn("_prev", F.coalesce("_prev", "_before"))
+    return joined.where(F.col("_prev").isNull() | ~state.eqNullSafe(F.col("_prev"))).select(*df.columns)
