@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tidemark.functions.numeric import col
 
@@ -79,6 +80,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], measures: dict[str, tupl
 
 
 def clip_between(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float) -> DataFrame:
-    """Rows whose value lies between its group's two quantiles, bounds included."""
+    """Rows whose value lies between its group's two quantiles, bounds included.
+
+    The outcome is read by several later statistics, so it is kept (spilling to disk, recomputed from
+    its lineage where an executor is lost).
+    """
     bounds = exact_quantiles(df, keys, {"v": (value, {"_lo": low, "_hi": high})})
-    return df.join(bounds, list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    inside = df.join(bounds, list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return inside.persist(StorageLevel.MEMORY_AND_DISK)
