@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,22 +56,22 @@ def changed_shards(current: DataFrame, previous: DataFrame, shard: Sequence[str]
 def write_changed_shards(spark: SparkSession, df: DataFrame, path: str, shard: str, hash_ignore: Sequence[str] = ("updated_at",)) -> DataFrame:
     """Write only shards whose content differs from the stored manifest; returns the shard states.
 
-    Each shard is a partition folder, replaced as a whole; the manifest is kept next to them.
+    Each shard is a partition folder, replaced as a whole.  Manifests are versions next to them, none
+    ever overwritten; the new one appears last, so an interrupted run is simply repeated.
     """
-    from pyspark.errors import AnalysisException
-
     manifest = f"{path}/_manifest"
     now = shard_hashes(df, [shard], hash_ignore)
     try:
-        before = spark.read.parquet(manifest).select(shard, "hash")
-        before.schema
+        stored = spark.read.option("basePath", manifest).parquet(manifest)
+        version = stored.agg(F.max("v")).first()[0]
+        before = stored.where(F.col("v") == version)
     except AnalysisException:
-        before = now.select(shard, "hash").where(F.lit(False))
-    states = changed_shards(now, before, [shard]).persist()
+        version, before = 0, now.where(F.lit(False))
+    states_path = f"{path}/_states/v={version + 1}"
+    changed_shards(now, before.select(shard, "hash"), [shard]).write.mode("overwrite").parquet(states_path)
+    states = spark.read.parquet(states_path)
     todo = states.where("state IN ('added', 'changed')").select(shard)
     (df.join(todo, shard, "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .option("ignoreNullFields", "true").partitionBy(shard).json(f"{path}/shards"))
-    states.count()
-    now.write.mode("overwrite").parquet(manifest + "_next")
-    spark.read.parquet(manifest + "_next").write.mode("overwrite").parquet(manifest)
+    now.write.mode("overwrite").parquet(f"{manifest}/v={version + 1}")
     return states
