@@ -46,12 +46,14 @@ def local_session(cores: int = 8, app: str = "tidemark", shuffle_partitions: int
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint directory.
 
-    Only a session without one (a local test) gets a temporary folder.
+    Only a session on one machine may go without the setting; it gets a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        current = spark.sparkContext.getCheckpointDir()
-        configured = current or tempfile.mkdtemp(prefix="tidemark-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tidemark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
     return configured
