@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tidemark.llm import bpe, quality, secrets
+from tidemark.llm import bpe, quality, secrets, simhash
 from tidemark.llm.common import documents
 from tidemark.llm.sql import QUALITY_SQL
 
@@ -27,3 +27,8 @@ def op3(spark, sf):
 def op5(spark, sf):
     encoded = bpe.encode(documents(spark, sf), RANKS, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(encoded, RANKS))
+
+
+@query("op7_simhash_near_dedup")
+def op7(spark, sf):
+    return simhash.cluster(documents(spark, sf))
