@@ -12,8 +12,8 @@ texts, so nothing that is broadcast grows with either table. Characters are UTF-
 edited letter outside ASCII counts as its bytes.
 
 Defined results: null and empty texts and items match nothing; so do segments of fewer than q
-characters; repeated rows and repeated items are matched alike; of overlapping regions of one
-text and segment the one of fewest edits, then the first, is reported.
+characters; repeated rows and repeated items are matched alike; regions of one text and
+item that overlap are reported as one, with the most edits of a segment in it.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ SEGMENT = 240
 #: q-grams that a region must share at least, whatever its length.
 LEAST_SHARED = 5
 #: Characters of benchmark text in one pass over the documents.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 19
 MATCH_TYPE = "doc_id long, item_id long, start int, end int, edits int"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -162,9 +162,8 @@ def aligned(segment: np.ndarray, text: np.ndarray, first: int, band: int, budget
         source = np.maximum.accumulate(np.where(through == low, column, 0))
         source = np.where(through == low, column, source)
         right = low + column
-        cost = np.minimum(right, far)
-        origin = origin[source]
-        start = origin
+        cost = np.where((at + 1 < 0) | (at + 1 > len(text)), far, np.minimum(right, far))
+        start = origin[source]
         if cost.min() > budget:
             return None
     k = int(cost.argmin())
@@ -187,21 +186,38 @@ def _matches(segments: Segments, texts: list[bytes]) -> list[tuple[int, int, int
         for k in {max(0, t - 1), t, min(len(texts) - 1, t + 1)}:
             if begin[k] > d + width + n or ends[k] < d:
                 continue
-            text = code[begin[k] : ends[k]]
-            hit = aligned(segments.code[s], text, d - int(begin[k]), width, budget)
+            hit = _verified(segments.code[s], code[begin[k] : ends[k]], d - int(begin[k]), width, budget)
             if hit:
                 edits, a, b = hit
                 found.setdefault((k, s), []).append((edits, int(begin[k]) + max(a, 0), int(begin[k]) + b))
-    out = []
+    spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for (k, s), hits in found.items():
         taken: list[tuple[int, int]] = []
         for edits, a, b in sorted(set(hits)):
             if all(b <= x or a >= y for x, y in taken):
                 taken.append((a, b))
-                out.append((k, segments.item[s], int(origin[a] - raw_begin[k]), int(origin[b - 1] + 1 - raw_begin[k]), edits))
+                spans.setdefault((k, segments.item[s]), []).append((int(origin[a] - raw_begin[k]), int(origin[b - 1] + 1 - raw_begin[k]), edits))
+    return [(k, item, *span) for (k, item), own in spans.items() for span in _united(own)]
+
+
+def _united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Overlapping (start, end, edits) of neighbouring segments as one, with the most edits among them."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, edits in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), max(edits, out[-1][2]))
+        else:
+            out.append((a, b, edits))
     return out
 
 
+def _verified(segment: np.ndarray, text: np.ndarray, first: int, band: int, budget: int) -> tuple[int, int, int] | None:
+    """As aligned(); a region that holds the segment itself needs no table."""
+    low = max(0, first)
+    at = text[low : max(low, first + band - 1 + len(segment))].tobytes().find(segment.tobytes())
+    return (0, low + at, low + at + len(segment)) if at >= 0 else aligned(segment, text, first, band, budget)
+
+
 def _code_points(text: bytes, at: int) -> int:
     return len(text[:at].decode("utf-8", "ignore"))
 

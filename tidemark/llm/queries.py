@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tidemark.llm import bpe, quality, secrets, simhash
+from tidemark.llm import bpe, decontaminate, quality, secrets, simhash
 from tidemark.llm.common import documents
 from tidemark.llm.sql import QUALITY_SQL
 
@@ -32,3 +32,8 @@ def op5(spark, sf):
 @query("op7_simhash_near_dedup")
 def op7(spark, sf):
     return simhash.cluster(documents(spark, sf))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark, sf):
+    return decontaminate.leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
