@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tidemark.llm import bpe, decontaminate, quality, secrets, simhash
+from tidemark.llm import bpe, decontaminate, quality, secrets, simhash, substring
 from tidemark.llm.common import documents
-from tidemark.llm.sql import QUALITY_SQL
+from tidemark.llm.sql import QUALITY_SQL, SUBSTRING_SQL
 
 #: The vocabulary of the production queries; every executor has the file.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,3 +37,8 @@ def op7(spark, sf):
 @query("op9_benchmark_decontamination")
 def op9(spark, sf):
     return decontaminate.leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op2_substring_dedup", SUBSTRING_SQL)
+def op2(spark, sf):
+    return substring.digests(substring.deduplicate(documents(spark, sf)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import quality, substring
 
 _IS_WORD = "[^ \\t\\n\\v\\f\\r]"
 
@@ -43,3 +43,18 @@ SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS
        NOT base_failed AND {_bounds()} AS kept
 FROM r
 """
+
+_LAST = substring.WINDOW - 1
+
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_IS_WORD}+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(words) - {_LAST}), lambda i: array_to_string(words[i : i + {_LAST}], ' '))) AS win,
+             unnest(generate_series(1, len(words) - {_LAST})) AS i FROM w WHERE len(words) > {_LAST}),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM p),
+g AS (SELECT doc_id, list(k) AS gone FROM
+       (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {_LAST})) AS k FROM f WHERE first < doc_id) GROUP BY doc_id)
+SELECT w.doc_id, cast(len(words) AS bigint) AS n_words, cast(coalesce(len(gone), 0) AS bigint) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words
+              ELSE list_filter(words, lambda v, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+"""
