@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tidemark.llm import bpe, decontaminate, quality, secrets, simhash, substring
+from tidemark.llm import bpe, decontaminate, lm, quality, secrets, simhash, substring
 from tidemark.llm.common import documents
-from tidemark.llm.sql import QUALITY_SQL, SUBSTRING_SQL
+from tidemark.llm.sql import LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
 #: The vocabulary of the production queries; every executor has the file.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,3 +42,8 @@ def op9(spark, sf):
 @query("op2_substring_dedup", SUBSTRING_SQL)
 def op2(spark, sf):
     return substring.digests(substring.deduplicate(documents(spark, sf)))
+
+
+@query("op4_lm_scoring", LM_SQL)
+def op4(spark, sf):
+    return lm.score(documents(spark, sf))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality, substring
+from tidemark.llm import lm, quality, substring
 
 _IS_WORD = "[^ \\t\\n\\v\\f\\r]"
 
@@ -58,3 +58,24 @@ SELECT w.doc_id, cast(len(words) AS bigint) AS n_words, cast(coalesce(len(gone),
               ELSE list_filter(words, lambda v, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """
+
+LM_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_IS_WORD}+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS w, unnest(list_prepend(NULL, words[: len(words) - 1])) AS u FROM d WHERE len(words) > 0),
+one AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+own AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL),
+two AS (SELECT u, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY ALL),
+own2 AS (SELECT doc_id, u, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY ALL),
+c AS (SELECT t.doc_id, t.u, one.n - own.n AS n1, two.n - own2.n AS n2, cone.n - cown.n AS nu, (SELECT count(*) FROM t) - len(d.words) AS rest
+      FROM t JOIN d ON t.doc_id = d.doc_id JOIN one ON one.w = t.w JOIN own ON own.doc_id = t.doc_id AND own.w = t.w
+      LEFT JOIN two ON two.u = t.u AND two.w = t.w LEFT JOIN own2 ON own2.doc_id = t.doc_id AND own2.u = t.u AND own2.w = t.w
+      LEFT JOIN one cone ON cone.w = t.u LEFT JOIN own cown ON cown.doc_id = t.doc_id AND cown.w = t.u),
+s AS (SELECT doc_id, coalesce(n2, 0) <= 0 AND n1 <= 0 AS unseen, u IS NOT NULL AND n2 <= 0 AS backed,
+             CASE WHEN n2 > 0 THEN ln(n2 / nu)
+                  ELSE CASE WHEN u IS NOT NULL THEN ln({lm.BACKOFF}) ELSE 0 END
+                     + CASE WHEN n1 > 0 THEN ln(n1 / rest) ELSE -ln(rest + 1) END END AS x FROM c),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (unseen) AS n_unseen, count(*) FILTER (backed) AS n_backoffs, sum(x) AS total FROM s GROUP BY doc_id)
+SELECT d.doc_id, cast(len(d.words) AS bigint) AS n_words, coalesce(n_unseen, 0) AS n_unseen, coalesce(n_backoffs, 0) AS n_backoffs,
+       round(coalesce(total, 0), 6) AS log_score, round(total / n, 6) AS mean_log_score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
