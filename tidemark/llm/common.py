@@ -6,6 +6,7 @@ never cut, so one text that is longer than the bound makes a slice of its own.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,3 +135,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+
+
+class CodePoints:
+    """Code points before byte places of a UTF-8 text, and the byte spans of its words."""
+
+    def __init__(self, text: bytes):
+        self._codes = np.frombuffer(text, np.uint8)
+        self._before = None if text.isascii() else np.append(0, np.cumsum((self._codes & 0xC0) != 0x80))
+
+    def before(self, at: int) -> int:
+        return at if self._before is None else int(self._before[at])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        solid = (self._codes != 32) & ((self._codes < 9) | (self._codes > 13))
+        edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def disjoint(ranked: list[tuple], span=lambda hit: (hit[1], hit[2])) -> list[tuple]:
+    """Of hits in order of preference those that overlap none before them."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for hit in ranked:
+        a, b = span(hit)
+        k = bisect_left(starts, a)
+        if (k and ends[k - 1] > a) or (k < len(starts) and starts[k] < b):
+            continue
+        starts.insert(k, a)
+        ends.insert(k, b)
+        out.append(hit)
+    return out

@@ -19,13 +19,14 @@ item that overlap are reported as one, with the most edits of a segment in it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mixed, slices, utf8
+from tidemark.llm.common import CodePoints, disjoint, mixed, slices, utf8
 
 Q = 10
 #: Edits allowed per character, and characters of a segment.
@@ -192,11 +193,8 @@ def _matches(segments: Segments, texts: list[bytes]) -> list[tuple[int, int, int
                 found.setdefault((k, s), []).append((edits, int(begin[k]) + max(a, 0), int(begin[k]) + b))
     spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for (k, s), hits in found.items():
-        taken: list[tuple[int, int]] = []
-        for edits, a, b in sorted(set(hits)):
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                spans.setdefault((k, segments.item[s]), []).append((int(origin[a] - raw_begin[k]), int(origin[b - 1] + 1 - raw_begin[k]), edits))
+        for edits, a, b in disjoint(sorted(set(hits))):
+            spans.setdefault((k, segments.item[s]), []).append((int(origin[a] - raw_begin[k]), int(origin[b - 1] + 1 - raw_begin[k]), edits))
     return [(k, item, *span) for (k, item), own in spans.items() for span in _united(own)]
 
 
@@ -218,10 +216,6 @@ def _verified(segment: np.ndarray, text: np.ndarray, first: int, band: int, budg
     return (0, low + at, low + at + len(segment)) if at >= 0 else aligned(segment, text, first, band, budget)
 
 
-def _code_points(text: bytes, at: int) -> int:
-    return len(text[:at].decode("utf-8", "ignore"))
-
-
 def _blocks(benchmark: DataFrame) -> Iterator[Segments]:
     """The benchmark in blocks of at most BLOCK_CHARS characters (one longer item alone)."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
@@ -254,8 +248,10 @@ def _leak_rows(segments: Segments):
         for part in slices(batches):
             texts = utf8(part.column("text"))
             ids = part.column("doc_id").to_pylist()
-            rows = [(ids[k], item, _code_points(texts[k], a), _code_points(texts[k], b), edits)
-                    for k, item, a, b, edits in sorted(_matches(segments, texts))]
+            rows = []
+            for k, hits in groupby(sorted(_matches(segments, texts)), key=lambda h: h[0]):
+                points = CodePoints(texts[k])
+                rows += [(ids[k], item, points.before(a), points.before(b), edits) for _, item, a, b, edits in hits]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tidemark.llm import bpe, decontaminate, lm, quality, secrets, simhash, substring
+from tidemark.llm import bpe, decontaminate, licenses, lm, quality, secrets, simhash, substring
 from tidemark.llm.common import documents
 from tidemark.llm.sql import LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
@@ -47,3 +47,8 @@ def op2(spark, sf):
 @query("op4_lm_scoring", LM_SQL)
 def op4(spark, sf):
     return lm.score(documents(spark, sf))
+
+
+@query("op10_license_scan")
+def op10(spark, sf):
+    return licenses.scan(documents(spark, sf))
