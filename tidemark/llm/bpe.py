@@ -244,10 +244,10 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, *carried: str) -> DataFrame:
     """Counts and digests of what encode and decode gave."""
     return decoded.select(
-        "doc_id",
+        "doc_id", *carried,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tidemark.llm import bpe, decontaminate, licenses, lm, quality, secrets, simhash, substring
+from tidemark.llm import bpe, decontaminate, licenses, lm, mil, quality, secrets, simhash, substring, urls
 from tidemark.llm.common import documents
 from tidemark.llm.sql import LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
 #: The vocabulary of the production queries; every executor has the file.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 @query("op1_secret_scan")
@@ -25,7 +26,7 @@ def op3(spark, sf):
 
 @query("op5_byte_bpe")
 def op5(spark, sf):
-    encoded = bpe.encode(documents(spark, sf), RANKS, public_tokenizers.PATTERN)
+    encoded = bpe.encode(documents(spark, sf), RANKS, PATTERN)
     return bpe.digests(bpe.decode(encoded, RANKS))
 
 
@@ -52,3 +53,14 @@ def op4(spark, sf):
 @query("op10_license_scan")
 def op10(spark, sf):
     return licenses.scan(documents(spark, sf))
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf):
+    return mil.classify(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op6_url_filter")
+def op6(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return urls.judge(pages, urls.labelled_by_rules(pages))
