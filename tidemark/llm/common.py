@@ -19,7 +19,8 @@ from tidemark.session import shared_folder
 #: Code points that separate words: blank and U+0009 to U+000D, as `bytes.split()` has them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-SLICE_BYTES = 4 << 20
+#: A little under 4 MiB, so that the tables of powers have 4 Mi entries.
+SLICE_BYTES = 4_000_000
 
 # Odd 64-bit multipliers of the word and window hashes.
 _BASE = 0x9E3779B97F4A7C13

@@ -103,6 +103,12 @@ def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b))
 
 
+def _whole(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns by way of a one-row generator, which keeps filters on them from being written out
+    over the list expressions below (each would be repeated wherever it is used)."""
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _measured(rows: DataFrame) -> DataFrame:
     """(row, text) -> row with the counts and ratios of its whole text."""
     text = F.col("text")
@@ -111,8 +117,8 @@ def _measured(rows: DataFrame) -> DataFrame:
         "row", "text", _words(text).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("lines"))
     words = F.col("words")
-    counted = _covered(steps).select(
-        "row",
+    counted = _whole(_covered(steps), [
+        F.col("row"),
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         _count_chars(text, SYMBOLS).cast("long").alias("n_symbols"),
@@ -122,7 +128,7 @@ def _measured(rows: DataFrame) -> DataFrame:
         F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).alias("n_stop"),
         F.size(F.filter(words, lambda w: F.endswith(w, F.lit("!!")))).alias("n_shout"),
         _count_chars(text, "0123456789").alias("n_digits"),
-    )
+    ])
     return counted.select(
         "*",
         _ratio("word_chars", "n_words").alias("mean_word_length"),
