@@ -130,7 +130,7 @@ def _score(order: int):
             if n > 1:
                 steps[open_ & (count == 0)] += 1
         score[open_] = steps[open_] * np.log(BACKOFF) - np.log(rest[open_] + 1)
-        total = np.bincount(words.text, score, len(words.count))
+        total = np.bincount(words.text, score, len(words.count)).astype(np.float64)
         backed = np.bincount(words.text, steps, len(words.count)).astype(np.int64)
         unseen = np.bincount(words.text, open_, len(words.count)).astype(np.int64)
         mean = [round(s / n, 6) if n else None for s, n in zip(total.tolist(), words.count.tolist(), strict=True)]

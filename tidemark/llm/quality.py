@@ -28,14 +28,15 @@ STOP_WORDS = (
     "el los las y en un una que es por con para del se no lo su al"
 ).split()
 
-#: (measure, least, most); None leaves that side open. A measure outside its bounds rejects.
+#: (measure, least, most). stop_ratio counts one word more than it finds, so short texts may have none.
+#: None leaves that side open. A measure outside its bounds rejects.
 THRESHOLDS: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_length", 2.0, 15.0),
     ("symbol_ratio", None, 0.10),
     ("shout_ratio", None, 0.30),
     ("stop_ratio", 0.02, None),
     ("dup_line_ratio", None, 0.50),
-    ("digit_ratio", None, 0.30),
+    ("digit_ratio", None, 0.50),
 )
 
 
@@ -134,7 +135,7 @@ def _measured(rows: DataFrame) -> DataFrame:
         _ratio("word_chars", "n_words").alias("mean_word_length"),
         _ratio("n_symbols", "word_chars").alias("symbol_ratio"),
         _ratio("n_shout", "n_words").alias("shout_ratio"),
-        _ratio("n_stop", "n_words").alias("stop_ratio"),
+        F.when(F.col("n_words") > 0, (F.col("n_stop") + 1) / F.col("n_words")).alias("stop_ratio"),
         _ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         _ratio("n_digits", "word_chars").alias("digit_ratio"),
     )

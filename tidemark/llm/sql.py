@@ -35,7 +35,7 @@ m AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, ''))
              len(list_filter(words, lambda x: ends_with(x, '!!'))) AS n_shout, {_char_count("0123456789")} AS n_digits
       FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
 r AS (SELECT *, word_chars / nullif(n_words, 0) AS mean_word_length, n_symbols / nullif(word_chars, 0) AS symbol_ratio,
-             n_shout / nullif(n_words, 0) AS shout_ratio, n_stop / nullif(n_words, 0) AS stop_ratio,
+             n_shout / nullif(n_words, 0) AS shout_ratio, (n_stop + 1) / nullif(n_words, 0) AS stop_ratio,
              n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio, n_digits / nullif(word_chars, 0) AS digit_ratio,
              n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS word_chars, cast(n_symbols AS bigint) AS n_symbols,
