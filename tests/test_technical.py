@@ -98,3 +98,9 @@ def test_book_without_a_crossing_has_no_flip(spark):
     chain = spark.createDataFrame([("x", 100.0, 95.0 + k, "C", 10.0, 0.5, 30.0) for k in range(10)], "snapshot string, spot double, strike double, kind string, oi double, iv double, days double")
     assert gamma.gamma_flip(chain).first().gamma_flip is None
     assert fv.FLIP_STEPS == 40
+
+
+@pytest.mark.parametrize("n", [20, 52, 168, 270])
+def test_short_series_are_folded_when_the_minimum_allows(spark, n):
+    f = technical.features(spark.createDataFrame(rows(n), COLS), NOW, min_bars=20).first()
+    assert f["count"] == n and f.direction in (0, 1) and (n < 21 or f.width_pct is not None)

@@ -12,6 +12,9 @@ from tidemark.operators.pit import asof_latest
 _NEEDED = ("close", "atr", "adx", "er", "slope", "ema20", "ema50", "closed_at", "upper", "lower")
 
 
+_UNUSABLE = "break level unusable"
+
+
 def _finite(c: Column) -> Column:
     x = c.cast("double")
     return F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), F.lit(False))
@@ -57,11 +60,11 @@ def verdicts(inputs: DataFrame, features: DataFrame, min_bars: int = fv.GATE["mi
         (F.col("source_kind").isNull() | ~sane("h1") | ~sane("h4"), "DATA", "missing quote or closed bars"),
         (stale("h1", fast_seconds) | stale("h4", slow_seconds), "DATA", "bars stale or ahead of time"),
         (no_quote, "DATA", "quote not fresh"),
-        (((d == 0) | weak(h4)) & (h1["width_pct"] <= 20), "COMPRESSION", "compressed, no strong slow trend"),
+        (((d == 0) | weak(h4)) & F.coalesce(h1["width_pct"] <= 20, F.lit(False)), "COMPRESSION", "compressed, no strong slow trend"),
         ((d == 0) | weak(h4), "RANGE", "no strong slow trend"),
         ((h1["direction"] != d) | weak(h1), "ALIGNMENT", "fast frame disagrees or is weak"),
         (br.isNull() | br["invalid"] | ~(br["fresh"] | br["retest"]), "WAIT_BREAK", "trend, waiting for a break or a confirmed retest"),
-        (unusable_mark, "DATA", "break level unusable"),
+        (unusable_mark, "DATA", _UNUSABLE),
         (d * (price - line) <= 0, "INVALID", "price lost the confirmation level"),
         (far, "EXTENDED", "price ran away, wait for a retest"),
         (distance < gate["breakout"], "WAIT_RECLAIM", "price not yet outside the level"),
@@ -76,7 +79,9 @@ def verdicts(inputs: DataFrame, features: DataFrame, min_bars: int = fv.GATE["mi
     entered = F.col("setup").isin("BREAKOUT", "PULLBACK")
     marked = entered | F.col("setup").isin("INVALID", "EXTENDED", "WAIT_RECLAIM")
     action = F.when(entered & (d == 1), "BUY").when(entered & (d == -1), "SELL").otherwise("WAIT")
-    direction = F.when(F.col("setup") == "DATA", F.when(marked, d).otherwise(0)).otherwise(d)
+    # The slow direction is known once bars and quote are sound, also where only the break level is not.
+    unsound = (F.col("setup") == "DATA") & (F.col("reason") != _UNUSABLE)
+    direction = F.when(unsound, 0).otherwise(d)
     return t.select("asset", "now", F.lit(fv.GATE_VERSION).alias("version"), action.alias("action"), "setup", "reason",
                     direction.alias("direction"), F.when(marked, br["level"]).alias("level"), F.when(marked, line).alias("invalidation"))
 

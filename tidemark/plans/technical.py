@@ -40,6 +40,11 @@ def closes_at() -> Column:
     return (F.col("time") + F.col("seconds")) * 1000
 
 
+def _last(values: Column, n: int) -> Column:
+    """The last n elements, or all of a shorter array."""
+    return F.slice(values, F.greatest(F.size(values) - (n - 1), F.lit(1)), n)
+
+
 def _mean(values: Column, n: int) -> Column:
     return F.aggregate(F.slice(values, 1, n), F.lit(0.0), lambda a, x: a + x) / F.lit(float(n))
 
@@ -105,14 +110,14 @@ def features(bars: DataFrame, now_ms, continuous: bool = True, min_bars: int = f
 
     # Folds are materialised once by the generator below instead of once per mention.
     once = g.select(*SERIES, "count", F.inline(F.array(F.struct(
-        F.element_at("_s", -1).alias("_b"), F.slice("_s", -13, 13).alias("_tail"),
+        F.element_at("_s", -1).alias("_b"), _last(F.col("_s"), 13).alias("_tail"),
         _smoothed_tail(field("close"), 20, 2 / 21, 6).alias("_e20"), _smoothed_tail(field("close"), 50, 2 / 51, 1).alias("_e50"),
         _smoothed_tail(field("tr", 1), 14, 1 / 14, 14).alias("_atr"), _adx(field("plus", 1), field("minus", 1)).alias("adx"),
-        F.slice(F.filter(field("width"), lambda w: w.isNotNull()), -251, 251).alias("_widths")))))
+        _last(F.filter(field("width"), lambda w: w.isNotNull()), 251).alias("_widths")))))
     last20, last50, atr = F.element_at("_e20", -1), F.element_at("_e50", -1), F.element_at("_atr", -1)
     slope = (last20 - F.get("_e20", F.lit(0))) / F.when(atr != 0, atr).otherwise(F.lit(1.0))
     current = F.element_at("_widths", -1)
-    reference = F.slice("_widths", 1, F.size("_widths") - 1)
+    reference = F.slice("_widths", 1, F.greatest(F.size("_widths") - 1, F.lit(0)))
     f = once.select(
         *SERIES, "count", ((F.col("_b.time") + F.col("seconds")) * 1000).alias("closed_at"), F.col("_b.close").alias("close"),
         F.col("_b.open").alias("open"), F.col("_b.high").alias("high"), F.col("_b.low").alias("low"),
@@ -130,11 +135,11 @@ def features(bars: DataFrame, now_ms, continuous: bool = True, min_bars: int = f
 def _breakout(d: int) -> Column:
     """Newest bar of the last 13 closing beyond its own prior channel; its level and range stay frozen."""
     level = "upper" if d == 1 else "lower"
-    # The newest 13 bars with the range each had: both arrays end at the last bar.
-    pairs = F.zip_with("_tail", F.slice("_atr", -13, 13), lambda x, a: F.struct(
+    # The newest 13 bars, newest first, with the range each had; a bar before the first range has none.
+    pairs = F.zip_with(F.reverse("_tail"), F.reverse(_last(F.col("_atr"), 13)), lambda x, a: F.struct(
         x["time"].alias("time"), x["close"].alias("close"), x[level].alias("level"), a.alias("atr")))
     hits = F.filter(pairs, lambda x: d * (x["close"] - x["level"]) > fv.GATE["breakout"] * x["atr"])
-    hit = F.try_element_at(hits, F.lit(-1))
+    hit = F.get(hits, F.lit(0))
     retest = fv.GATE["retest"]
     later_lost = F.exists("_tail", lambda x: (x["time"] > hit["time"]) & (d * (x["close"] - hit["level"]) < -retest * hit["atr"]))
     b = F.col("_b")
