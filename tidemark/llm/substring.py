@@ -28,14 +28,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ByteHash, Words, grams, slices, sliding_min, utf8
 
 WINDOW = 13
-GRAM = 3
+GRAM = 2
 #: Bytes of text for each bucket, and least number of buckets.
 BUCKET_BYTES = 4 << 20
-LEAST_BUCKETS = 1024
+LEAST_BUCKETS = 512
 OVERFULL = 4
 #: Packed strings that a task remembers to decide copies on the spot; emptied when full.
 REMEMBERED = 150_000
 _CODEC = "zstd"
+_LEVEL = 5
+#: Bytes of text whose packed strings travel together: larger parts compress better.
+SENT_BYTES = 3_500_000
 
 
 class _Runs:
@@ -87,7 +90,8 @@ def _overfull(named: DataFrame, buckets: int) -> np.ndarray:
 
 
 def _packed(values: list[np.ndarray | bytes]) -> list[bytes]:
-    return [pa.compress(v if isinstance(v, bytes) else v.tobytes(), codec=_CODEC, asbytes=True) for v in values]
+    codec = pa.Codec(_CODEC, compression_level=_LEVEL)
+    return [codec.compress(v if isinstance(v, bytes) else v.tobytes(), asbytes=True) for v in values]
 
 
 def _unpacked(data: bytes, size: int) -> bytes:
@@ -103,7 +107,7 @@ def _send(named: DataFrame, buckets: int, overfull: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        for number, part in enumerate(slices(batches)):
+        for number, part in enumerate(slices(batches, most=SENT_BYTES)):
             runs = _Runs(_texts(part), buckets, overfull)
             words = runs.words
             if not len(runs.first):
