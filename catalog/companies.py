@@ -11,8 +11,8 @@ from tidemark.functions.text import normalise, slug, street_key
 from tidemark.operators.phrases import phrase_hits
 from tidemark.plans import dossier, news
 
-# Articles: first line is the headline, every tenth one also names a code. Companies and aliases
-# are opening words of some headlines, so copies and near copies link to them.
+# Articles: first line is the headline, some also name a code. Each document's first line names a
+# company and its second line is an alias of it, so copies and near copies link to them.
 ARTICLES = """
 SELECT concat('https://news.example/', cast(doc_id AS {str})) AS url,
        concat(split_part(text, chr(10), 1), CASE WHEN doc_id % 10 = 3 THEN concat(' cổ phiếu S', cast(doc_id % 97 AS {str})) ELSE '' END) AS title,
@@ -20,8 +20,8 @@ SELECT concat('https://news.example/', cast(doc_id AS {str})) AS url,
 FROM documents
 """
 NAMES = """
-SELECT concat('S', cast(doc_id AS {str})) AS symbol, text AS raw, doc_id FROM documents
-WHERE doc_id % 20 < 2
+SELECT concat('S', cast(doc_id AS {str})) AS symbol, split_part(text, chr(10), 1) AS organ_name, split_part(text, chr(10), 2) AS alias
+FROM documents
 """
 _NORM = "trim(regexp_replace(lower(strip_accents(replace(replace({}, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -32,24 +32,21 @@ def articles(spark, sf):
 
 def listed(spark, sf):
     d = ad._sql(spark, sf, ad._spark_text(NAMES), ["documents"])
-    words = F.split(normalise(F.split_part("raw", F.lit("\n"), F.lit(1))), " ")
-    names = d.where("doc_id % 20 = 0").select("symbol", F.array_join(F.slice(words, 1, 4), " ").alias("organ_name"))
-    aliases = d.where("doc_id % 20 = 1").select(F.concat(F.lit("S"), (F.col("doc_id") - 1).cast("string")).alias("symbol"),
-                                                F.array_join(F.slice(words, 1, 2), " ").alias("alias"))
-    return names, aliases
+    return d.select("symbol", "organ_name"), d.select("symbol", "alias")
 
 
-_DICT = "articles AS (" + ad._duck_text(ARTICLES) + "), d0 AS (" + ad._duck_text(NAMES) + "), " + f"""
-d1 AS (SELECT *, string_split({_NORM.format("split_part(raw, chr(10), 1)")}, ' ') AS w FROM d0),
-names AS (SELECT symbol, array_to_string(w[1:4], ' ') AS phrase FROM d1 WHERE doc_id % 20 = 0),
+_CODES = "list_transform(regexp_extract_all({}, '{}([\\p{{L}}\\p{{N}}_]+)', 1), lambda x: upper(x))"
+_DICT = "articles AS (" + ad._duck_text(ARTICLES) + "), listed AS (" + ad._duck_text(NAMES) + "), " + f"""
+names AS (SELECT symbol, {_NORM.format("organ_name")} AS phrase FROM listed),
 dict AS (SELECT symbol, phrase, 1 AS pr FROM names WHERE length(phrase) >= 10 AND len(string_split(phrase, ' ')) >= 3
-  UNION ALL SELECT 'S' || (doc_id - 1), array_to_string(w[1:2], ' '), 2 FROM d1 WHERE doc_id % 20 = 1),
+  UNION ALL SELECT symbol, {_NORM.format("alias")}, 2 FROM listed),
 tx AS (SELECT *, trim(title || ' ' || regexp_split_to_array(body, '\\s+-\\s+\\d{{2}}-\\d{{2}}-\\d{{4}}')[1]) AS txt FROM articles WHERE trim(title) <> ''),
 nx AS MATERIALIZED (SELECT url, title, txt, ' ' || {_NORM.format('txt')} || ' ' AS nt, ' ' || {_NORM.format('title')} || ' ' AS ntt FROM tx),
 hit AS (SELECT url, symbol, pr, contains(ntt, ' ' || phrase || ' ') AS titled FROM nx JOIN dict ON length(phrase) >= 5 AND contains(nt, ' ' || phrase || ' ')
   UNION ALL
-  SELECT url, symbol, 3, regexp_matches(title, '(^|[^\\p{{L}}\\p{{N}}_])' || symbol || '([^\\p{{L}}\\p{{N}}_]|$)', 'i') FROM nx JOIN names ON length(symbol) >= 3
-   AND regexp_matches(txt, '(mã|cổ phiếu|cp)\\s*[:\\-]?\\s*' || symbol || '([^\\p{{L}}\\p{{N}}_]|$)', 'i')),
+  SELECT url, symbol, 3, list_contains(codes, symbol) FROM (
+    SELECT url, {_CODES.format('title', '')} AS codes, unnest(list_distinct({_CODES.format('txt', '(?i)(?:mã|cổ phiếu|cp)\\s*[:\\-]?\\s*')})) AS code FROM nx)
+  JOIN names ON symbol = code WHERE length(symbol) >= 3),
 best AS (SELECT url, symbol, min(pr) AS p, bool_or(titled) FILTER (pr = 1) AS t1, bool_or(titled) FILTER (pr = 2) AS t2, bool_or(titled) FILTER (pr = 3) AS t3 FROM hit GROUP BY 1, 2),
 links AS (SELECT url, symbol, CASE p WHEN 1 THEN 'name' WHEN 2 THEN 'alias' ELSE 'symbol' END AS matched_by FROM best
   WHERE CASE p WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END)"""
@@ -76,11 +73,11 @@ def q_link_counts(spark, sf):
 
 
 @query("phrase_containment_join", f"""WITH nx AS MATERIALIZED (SELECT doc_id, ' ' || {_NORM.format('text')} || ' ' AS nt FROM documents),
-p AS (SELECT DISTINCT array_to_string(string_split({_NORM.format('text')}, ' ')[1:6], ' ') AS phrase FROM benchmark)
+p AS (SELECT DISTINCT {_NORM.format('text')} AS phrase FROM benchmark)
 SELECT doc_id, phrase FROM nx JOIN p ON length(phrase) >= 5 AND contains(nt, ' ' || phrase || ' ')""")
 def q_phrases(spark, sf):
     docs = ad.table(spark, sf, "documents").select("doc_id", normalise("text").alias("t"))
-    p = ad.table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split(normalise("text"), " "), 1, 6), " ").alias("phrase"))
+    p = ad.table(spark, sf, "benchmark").select(normalise("text").alias("phrase"))
     return phrase_hits(docs, ["doc_id"], "t", p)
 
 
@@ -166,12 +163,12 @@ def q_relations(spark, sf):
 
 
 @query("dossier_events", "WITH " + _FACTS + f""", n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, event_id ORDER BY {_OSQL}) AS rn FROM facts) WHERE rn = 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY public_date DESC NULLS LAST, event_id) AS r FROM n)
-SELECT symbol, r AS position, event_code, title, public_date FROM k WHERE r <= 120""")
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY public_date DESC NULLS LAST, event_id) AS r, count(*) OVER (PARTITION BY symbol) AS c FROM n)
+SELECT symbol, r AS position, event_code, title, public_date, c AS count FROM k WHERE r <= 120""")
 def q_events(spark, sf):
     o = dossier.events(facts(spark, sf), order=_O)
-    return o.select("symbol", F.posexplode("rows").alias("_p", "x")).select(
-        "symbol", (F.col("_p") + 1).alias("position"), "x.event_code", "x.title", "x.public_date")
+    return o.select("symbol", "count", F.posexplode("rows").alias("_p", "x")).select(
+        "symbol", (F.col("_p") + 1).alias("position"), "x.event_code", "x.title", "x.public_date", "count")
 
 
 @query("dossier_statements", "WITH " + _FACTS + f""", n AS (SELECT *, CASE period_type WHEN 'year' THEN 'y' ELSE 'q' END AS cadence FROM (SELECT *, row_number() OVER (PARTITION BY symbol, period, statement, field ORDER BY {_OSQL}) AS rn

@@ -32,11 +32,12 @@ def q_landed_listings(spark, sf):
 
 @query("crawl_shortfalls", """WITH e AS (SELECT c_nationkey AS region, count(*) * CASE WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS expected FROM customer GROUP BY 1),
 g AS (SELECT c_nationkey AS region, count(*) AS got FROM customer GROUP BY 1)
-SELECT region, expected, got FROM e JOIN g USING (region) WHERE expected > 0 AND expected < 10000 AND got < expected * 0.9""")
+SELECT region, expected, got, CASE WHEN expected >= 60 THEN 'source total saturated' ELSE 'short' END AS status
+FROM e JOIN g USING (region) WHERE expected >= 60 OR got < expected * 0.9""")
 def q_shortfalls(spark, sf):
     c = ad.table(spark, sf, "customer").select(F.col("c_nationkey").alias("region"))
     e = c.groupBy("region").agg(F.count(F.lit(1)).alias("n")).select("region", F.when(F.col("region") % 2 == 0, F.col("n") * 2).otherwise(F.col("n")).alias("expected"))
-    return ls.crawl_shortfalls(e, c)
+    return ls.crawl_shortfalls(e, c, cap=60)
 
 
 @query("crawl_load_profile", "WITH " + ad.LISTINGS_SQL + " SELECT count(*) AS rows, count(DISTINCT list_id) AS unique_list_ids, round(1 - count(DISTINCT list_id) / count(*), 4) AS duplicate_rate FROM re_listing")
@@ -67,30 +68,30 @@ def q_unseen(spark, sf):
 # --- HTML ------------------------------------------------------------------------------------
 
 def land_pages(spark, sf):
-    """One page per (province, part size): a few dozen rows, one of them repeated on every page."""
+    """One page per province, part size and thousand parts: a few rows, one of them repeated on every page."""
     p = ad.table(spark, sf, "part").join(ad.table(spark, sf, "region"), F.col("p_partkey") % 5 == F.col("r_regionkey"))
     dots = F.format_number(F.col("p_partkey") * 1000 + 20000, 0)
     cells = [F.col("p_partkey").cast("string"), F.col("p_brand"), F.concat(F.lit("Đường <b>Số "), "p_partkey", F.lit("</b>")),
              F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_type")), F.when(F.col("p_partkey") % 7 == 0, "250").otherwise(F.replace(dots, F.lit(","), F.lit("."))),
              F.replace(dots, F.lit(","), F.lit("."))]
     row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td class='x'>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
-    pages = p.groupBy(F.col("r_name").alias("province"), F.col("p_size").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_rows"))
+    pages = p.groupBy(F.col("r_name").alias("province"), (F.col("p_size") + 100 * F.floor(F.col("p_partkey") / 1000)).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_rows"))
     same = "<tr><td>1</td><td>Q</td><td>Phố Chung</td><td></td><td>99.000.000 (x)</td></tr>"
     return pages.select("province", "page", F.lit(0).alias("fetched_at"), F.concat(
         F.lit("<html>Theo 87/2025/NQ-HĐND<table><tr><th>STT</th></tr>"), "_rows", F.lit(same + "</table></html>")).alias("html"))
 
 
-@query("land_price_pages", """SELECT r_name AS province, p_size AS page, p_brand AS district, 'duong' IS NOT NULL AS ok, 'so ' || p_partkey AS street_key,
+@query("land_price_pages", """SELECT r_name AS province, p_size + 100 * (p_partkey // 1000) AS page, p_brand AS district, 'so ' || p_partkey AS street_key,
   CASE WHEN p_partkey % 4 = 0 THEN 'TRỌN ĐƯỜNG' ELSE p_type END AS segment, cast(p_partkey * 1000 + 20000 AS double) AS price_residential, '87/2025/NQ-HĐND' AS source_doc
   FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE p_partkey % 7 > 0
-UNION ALL SELECT r_name, p_size, 'Q', true, 'chung', 'TRỌN ĐƯỜNG', 99000000.0, '87/2025/NQ-HĐND' FROM (SELECT DISTINCT r_name, p_size FROM part JOIN region ON p_partkey % 5 = r_regionkey)""")
+UNION ALL SELECT r_name, page, 'Q', 'chung', 'TRỌN ĐƯỜNG', 99000000.0, '87/2025/NQ-HĐND' FROM (SELECT DISTINCT r_name, p_size + 100 * (p_partkey // 1000) AS page FROM part JOIN region ON p_partkey % 5 = r_regionkey)""")
 def q_land_pages(spark, sf):
     r = html_tables.land_price_rows(land_pages(spark, sf))
-    return r.select("province", "page", "district", F.col("street").isNotNull().alias("ok"), "street_key", "segment", "price_residential", "source_doc")
+    return r.select("province", "page", "district", "street_key", "segment", "price_residential", "source_doc")
 
 
-@query("land_price_first_seen", """SELECT r_name AS province, 'chung' AS street_key, min(p_size) AS page FROM part JOIN region ON p_partkey % 5 = r_regionkey GROUP BY 1
-UNION ALL SELECT r_name, 'so ' || p_partkey, p_size FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE p_partkey % 7 > 0""")
+@query("land_price_first_seen", """SELECT r_name AS province, 'chung' AS street_key, min(p_size + 100 * (p_partkey // 1000)) AS page FROM part JOIN region ON p_partkey % 5 = r_regionkey GROUP BY 1
+UNION ALL SELECT r_name, 'so ' || p_partkey, p_size + 100 * (p_partkey // 1000) FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE p_partkey % 7 > 0""")
 def q_first_seen(spark, sf):
     return html_tables.first_seen(html_tables.land_price_rows(land_pages(spark, sf))).select("province", "street_key", "page")
 
@@ -255,11 +256,10 @@ def q_ratio_records(spark, sf):
     return rc.ratio_rows(r.withColumn("fetched_at", F.lit(0))).drop("fetched_at")
 
 
-@query("period_columns_unpivot", """SELECT l_suppkey::varchar AS symbol, l_returnflag AS metric, '1997-Q' || quarter(l_shipdate) AS period, round(sum(l_quantity), 2) AS value FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY ALL""")
+@query("period_columns_unpivot", """SELECT l_suppkey::varchar AS symbol, l_returnflag AS metric, year(l_shipdate) || '-Q' || quarter(l_shipdate) AS period, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY ALL""")
 def q_period_columns(spark, sf):
-    li = ad.table(spark, sf, "lineitem").where("year(l_shipdate) = 1997")
-    li = li.withColumn("period", F.concat(F.lit("1997-Q"), F.quarter("l_shipdate").cast("string")))
-    wide = li.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.concat(F.lit(" "), "l_returnflag").alias("metric")).pivot("period", [f"1997-Q{i}" for i in (1, 2, 3, 4)]).agg(rnd(F.sum("l_quantity"), 2))
+    li = ad.table(spark, sf, "lineitem").withColumn("period", F.concat(F.year("l_shipdate").cast("string"), F.lit("-Q"), F.quarter("l_shipdate").cast("string")))
+    wide = li.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.concat(F.lit(" "), "l_returnflag").alias("metric")).pivot("period").agg(rnd(F.sum("l_quantity"), 2))
     return rc.period_columns_rows(wide.withColumn("fetched_at", F.lit(0))).drop("fetched_at")
 
 
@@ -332,7 +332,7 @@ def q_rss(spark, sf):
     c = ad.table(spark, sf, "conversations")
     item = F.concat(F.lit("<item><title>story "), "conv_id", F.lit(" &amp; "), "turn", F.lit("</title><link>https://x.example/"), "conv_id", F.lit("/"), "turn",
                     F.lit("</link><description><![CDATA[<img src='a'/> teaser]]></description><pubDate>Fri, 18 Sep 2026 08:30:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(" +0700</pubDate></item>"))
-    d = c.groupBy(F.col("role").alias("source"), (F.col("conv_id") % 50).alias("_f")).agg(F.array_join(F.collect_list(item), "\n").alias("_i")).select(
+    d = c.groupBy(F.col("role").alias("source"), F.floor(F.col("conv_id") / 100).alias("_f"), F.floor(F.col("turn") / 50).alias("_g")).agg(F.array_join(F.collect_list(item), "\n").alias("_i")).select(
         "source", F.concat(F.lit("<rss><channel><title>feed</title>"), "_i", F.lit("</channel></rss>")).alias("xml"))
     a = rc.feed_articles(d)
     return a.select("url", "source", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "title")

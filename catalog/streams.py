@@ -19,9 +19,23 @@ def _run_folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+# Three deliveries by time; with late rows, a fortieth of the first third arrives with the last delivery.
+_THIRD = "CASE WHEN epoch_us(ts) < lo + (hi - lo) // 3 THEN {first} WHEN epoch_us(ts) < lo + 2 * ((hi - lo) // 3) THEN 1 ELSE 2 END"
+_PARTS = """lim AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+e AS (SELECT events.*, """ + _THIRD.format(first="CASE WHEN event_id % 40 = 0 THEN 2 ELSE 0 END") + """ AS part FROM events, lim)"""
+
+
+def deliveries(spark, sf, out, late=False):
+    """Yields the stream over the folder three times, each time with one more delivery in it: three micro-batches."""
+    events = ad.table(spark, sf, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    third = (hi - lo) // 3
+    first = F.when(F.col("event_id") % 40 == 0, 2).otherwise(0) if late else F.lit(0)
+    part = F.when(at < lo + third, first).when(at < lo + 2 * third, 1).otherwise(2)
+    for k in range(3):
+        events.where(part == k).write.mode("append").parquet(f"{out}/in")
+        yield spark.readStream.schema(events.schema).parquet(f"{out}/in").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def ticks(df):
@@ -30,11 +44,12 @@ def ticks(df):
 
 
 
-@query("streaming_closed_bars", """WITH w AS (SELECT event_type AS asset, time_bucket(INTERVAL 1 HOUR, ts) AS start, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS ticks FROM events GROUP BY 1, 2)
+@query("streaming_closed_bars", """WITH w AS (SELECT event_type AS asset, time_bucket(INTERVAL 1 HOUR, ts) AS start, arg_min(value, row(ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, value)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2)
 SELECT asset, start, open, high, low, close, ticks FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def s_bars(spark, sf):
     out = _run_folder(spark, "bars")
-    stores.run_available(bars.closed_bars(ticks(event_stream(spark, sf)), 3600), f"{out}/data", f"{out}/checkpoint")
+    for events in deliveries(spark, sf, out):
+        stores.run_available(bars.closed_bars(ticks(events), 3600), f"{out}/data", f"{out}/checkpoint")
     r = spark.read.parquet(f"{out}/data")
     return r.select("asset", F.col("start").cast("timestamp_ntz").alias("start"), "open", "high", "low", "close", "ticks")
 
@@ -44,30 +59,29 @@ w AS (SELECT asset, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS start, sum
 SELECT asset, start, round(total, 2) AS total, n FROM w WHERE start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def s_sliding(spark, sf):
     out = _run_folder(spark, "sliding")
-    e = event_stream(spark, sf).select(F.col("event_type").alias("asset"), "ts", "value")
-    stores.run_available(bars.sliding_totals(e), f"{out}/data", f"{out}/checkpoint")
+    for events in deliveries(spark, sf, out):
+        e = events.select(F.col("event_type").alias("asset"), "ts", "value")
+        stores.run_available(bars.sliding_totals(e), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").select("asset", F.col("start").cast("timestamp_ntz").alias("start"), rnd("total", 2).alias("total"), "n")
 
 
-@query("streaming_append_by_key", "SELECT user_id, event_type, arg_min(event_id, event_id) AS event_id FROM events GROUP BY 1, 2")
+@query("streaming_append_by_key", "WITH " + _PARTS + " SELECT user_id, event_type, first(event_id ORDER BY part, event_id) AS event_id FROM e GROUP BY 1, 2")
 def s_append(spark, sf):
+    """Every delivery once, then all of them again by a job that starts over with a new checkpoint."""
     out = _run_folder(spark, "append")
     store = stores.AppendStore(f"{out}/data", ["user_id", "event_type"], ["event_id"])
-    for run in ("first", "again"):                    # a second run from scratch offers every row once more
-        stores.run_available(event_stream(spark, sf), store.sink() if run == "first" else _later(store.sink()), f"{out}/{run}")
+    for events in deliveries(spark, sf, out, late=True):
+        stores.run_available(events, store, f"{out}/first")
+    stores.run_available(events, store, f"{out}/again")
     return store.read(spark).select("user_id", "event_type", "event_id")
 
 
-def _later(sink):
-    """A restarted job numbers its batches anew; keep them apart from the first run's."""
-    return lambda batch, batch_id: sink(batch, batch_id + 1000)
-
-
 @query("streaming_latest_view", "SELECT event_type, user_id, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def s_latest(spark, sf):
     out = _run_folder(spark, "latest")
     view = stores.LatestView(f"{out}/data", ["event_type", "user_id"], ["ts", "event_id"])
-    stores.run_available(event_stream(spark, sf), view.sink(), f"{out}/checkpoint")
+    for events in deliveries(spark, sf, out, late=True):
+        stores.run_available(events, view, f"{out}/checkpoint")
     return view.read(spark).select("event_type", "user_id", "value")
 
 
@@ -79,7 +93,8 @@ SELECT event_id, event_type, user_id, high FROM c WHERE prev IS NULL OR high <>
 def s_changes(spark, sf):
     out = _run_folder(spark, "changes")
     log = stores.ChangeLog(f"{out}/data", ["event_type", "user_id"], "ts", ["high"], ["event_id"])
-    stores.run_available(event_stream(spark, sf).withColumn("high", F.col("value") > 40), log.sink(), f"{out}/checkpoint")
+    for events in deliveries(spark, sf, out):
+        stores.run_available(events.withColumn("high", F.col("value") > 40), log, f"{out}/checkpoint")
     return log.read(spark).select("event_id", "event_type", "user_id", "high")
 
 
@@ -92,15 +107,18 @@ def b_changes(spark, sf):
 @query("streaming_dedupe_within_watermark", "SELECT DISTINCT user_id, event_type FROM events")
 def s_dedupe(spark, sf):
     out = _run_folder(spark, "dedupe")
-    stores.run_available(stores.deduplicated(event_stream(spark, sf), ["user_id", "event_type"], "ts", "60 days"), f"{out}/data", f"{out}/checkpoint")
+    for events in deliveries(spark, sf, out):
+        stores.run_available(stores.deduplicated(events, ["user_id", "event_type"], "ts", "60 days"), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").select("user_id", "event_type")
 
 
-@query("streaming_observations", "SELECT count(*) AS rows, 0 AS late, round(sum(value), 2) AS total FROM events")
+@query("streaming_observations", "WITH " + _PARTS + """, newest AS (SELECT max(epoch_us(ts) // 1000000) AS s FROM e WHERE part < 2)
+SELECT count(*) AS rows, count(*) FILTER (part = 2 AND newest.s - epoch_us(ts) // 1000000 > 3600) AS late, round(sum(value), 2) AS total FROM e, newest""")
 def s_observations(spark, sf):
     out = _run_folder(spark, "observations")
     store = stores.ObservationStore(f"{out}/data", "ts", 3600)
-    stores.run_available(event_stream(spark, sf), store.sink(), f"{out}/checkpoint")
+    for events in deliveries(spark, sf, out, late=True):
+        stores.run_available(events, store, f"{out}/checkpoint")
     return store.read(spark).agg(F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"), rnd(F.sum("value"), 2).alias("total"))
 
 

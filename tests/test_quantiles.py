@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import track_record
-from tidemark.operators.quantiles import UPPER_MIDDLE, exact_quantiles, value_bucket
+from tidemark.operators.quantiles import SKETCH_ACCURACY, UPPER_MIDDLE, _cuts, bucket_of, exact_quantiles
 
 
 def interpolate(xs, p):
@@ -29,10 +29,18 @@ def test_against_sorting_with_one_hot_group(spark):
         assert got[k].um == sorted(xs)[len(xs) // 2]
 
 
-def test_buckets_keep_order(spark):
-    xs = sorted([-1e12, -3.5, -0.001, 0.0, 1e-9, 0.5, 0.501, 99.0, 1e15])
-    b = [r.b for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", value_bucket(F.col("x")).alias("b")).orderBy("i").collect()]
-    assert b == sorted(b)
+def test_buckets_stay_small_where_values_crowd(spark):
+    n = 200_000
+    crowd = spark.range(n).select(F.lit("near zero").alias("k"), (F.col("id") * 2e-8).alias("v")).unionByName(
+        spark.range(n).select(F.lit("far").alias("k"), (F.lit(1e9) + F.col("id") % 20_000 - 10_000 + F.col("id") / n).alias("v")))
+    cuts = crowd.groupBy("k").agg(F.percentile_approx("v", _cuts([0.05, 0.5, 0.95]), SKETCH_ACCURACY).alias("cuts"))
+    held = crowd.join(cuts, "k").select("k", "v", bucket_of(F.col("v"), F.col("cuts")).alias("b"))
+    wanted = [r["count"] for r in held.where("b IN (1, 3, 5)").groupBy("k", "b").count().collect()]
+    assert len(wanted) == 6 and max(wanted) < 0.005 * n
+    got = {r.k: r for r in exact_quantiles(crowd, ["k"], {"v": ("v", {"p05": 0.05, "p50": 0.5})}).collect()}
+    want = {r.k: r for r in crowd.groupBy("k").agg(F.percentile("v", 0.05).alias("p05"), F.percentile("v", 0.5).alias("p50")).collect()}
+    for k, r in want.items():
+        assert abs(got[k].p05 - r.p05) < 1e-6 and abs(got[k].p50 - r.p50) < 1e-6
 
 
 @settings(max_examples=4, deadline=None)

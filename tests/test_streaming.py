@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidemark.operators.pit import changes_only
+from tidemark.operators.pit import changes_only, stored_or_none
 from tidemark.streaming import bars, stores
 
 
@@ -34,17 +36,33 @@ def test_retried_batch_leaves_the_same_rows(spark, tmp_path):
     store = stores.AppendStore(str(tmp_path / "s"), ["k"], ["v"])
     a = spark.createDataFrame([("x", 1), ("y", 1)], "k string, v int")
     b = spark.createDataFrame([("y", 2), ("z", 2)], "k string, v int")
-    sink = store.sink()
     for batch, i in ((a, 0), (b, 1), (b, 1), (a, 2)):
-        sink(batch, i)
+        store.write(batch, "run", i)
     assert sorted(map(tuple, store.read(spark).collect())) == [("x", 1), ("y", 1), ("z", 2)]
 
 
+def test_new_checkpoint_keeps_what_an_earlier_one_stored(spark, tmp_path):
+    schema = "k string, v int, ts timestamp"
+    for time in (None, "ts"):
+        store = stores.AppendStore(str(tmp_path / f"store{time}"), ["k"], ["v"], time)
+        for name, rows in (("one", [("x", 1, T0), ("y", 1, T0)]), ("two", [("z", 5, T0), ("x", 7, T0)])):
+            folder = str(tmp_path / f"{name}{time}")
+            spark.createDataFrame(rows, schema).write.parquet(f"{folder}/in")
+            stores.run_available(spark.readStream.schema(schema).parquet(f"{folder}/in"), store, f"{folder}/checkpoint")
+        assert sorted((r.k, r.v) for r in store.read(spark).collect()) == [("x", 1), ("y", 1), ("z", 5)]
+
+
+def test_only_a_missing_path_counts_as_empty(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        stored_or_none(lambda: spark.range(1).select("no_such_column"))
+    assert stored_or_none(lambda: spark.read.parquet(str(tmp_path / "nothing"))) is None
+
+
 def test_late_rows_become_corrections(spark, tmp_path):
     store = stores.ObservationStore(str(tmp_path / "o"), "ts", 3600)
     mk = lambda h: spark.createDataFrame([("A", T0 + timedelta(hours=h), 1.0)], "k string, ts timestamp, v double")
     for i, h in enumerate((5, 1, 6)):
-        store.sink()(mk(h), i)
+        store.write(mk(h), "run", i)
     assert [r.ts for r in store.corrections(spark).collect()] == [T0 + timedelta(hours=1)] and store.read(spark).count() == 3
 
 
@@ -53,6 +71,6 @@ def test_change_log_across_batches_equals_one_pass(spark, tmp_path):
     df = spark.createDataFrame(rows, "k string, ts timestamp, s string")
     log = stores.ChangeLog(str(tmp_path / "c"), ["k"], "ts", ["s"])
     cut = F.lit(T0 + timedelta(minutes=11 * 18))
-    log.sink()(df.where(F.col("ts") < cut), 0)
-    log.sink()(df.where(F.col("ts") >= cut), 1)
+    log.write(df.where(F.col("ts") < cut), "run", 0)
+    log.write(df.where(F.col("ts") >= cut), "run", 1)
     assert sorted(map(tuple, log.read(spark).collect())) == sorted(map(tuple, changes_only(df, ["k"], "ts", ["s"]).collect()))

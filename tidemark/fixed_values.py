@@ -123,7 +123,6 @@ DOSSIER_METRICS = {
 }
 DOSSIER_PERCENT_KEYS = PERCENT_KEYS + ["dg", "lg"]
 DOSSIER_BILLION_KEYS = ["mc", "ebitda"]
-DOSSIER_ZERO_FILLED_KEYS = ["roic", "gpm", "nim", "npl", "car", "casa", "ldr", "cir", "dg", "lg"]
 MAX_QUARTERS = 36
 MAX_YEARS = 9
 MAX_OWNERS = 40

@@ -91,12 +91,14 @@ def before_related_list(c) -> Column:
     return F.element_at(F.split(col(c), fv.RELATED_LIST_STAMP, 2), 1)
 
 
-def trim_sentences(c, limit: int = fv.MAX_DESCRIPTION) -> Column:
-    """Whole text up to a limit, else cut after its last sentence end past half the limit."""
+def trim_sentences(c, limit: int | None = None) -> Column:
+    """Text without tags and extra blanks: whole, or up to a limit and cut after its last sentence end past half of it."""
     text = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " ")), "<[^>]+>", "")
+    whole = F.when(F.length(text) == 0, F.lit(None)).otherwise(text)
+    if limit is None:
+        return whole
     cut = F.substring(text, 1, limit)
     # Position of the last ". ", "! " or "? " in the cut.
     head = F.regexp_extract(cut, r"(?s)^(.*[.!?]) ", 1)
     body = F.when(F.length(head) > limit * 0.5 + 1, head).otherwise(F.rtrim(cut))
-    return F.when(F.length(text) == 0, F.lit(None)).when(F.length(text) <= limit, text).otherwise(
-        F.concat(body, F.lit(" …")))
+    return F.when(F.length(text) <= limit, whole).otherwise(F.concat(body, F.lit(" …")))

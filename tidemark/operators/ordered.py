@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.quantiles import value_bucket
 
 _TRACKS = ("r", "net")
 
@@ -61,11 +60,12 @@ def _fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFr
 def track_record(trades: DataFrame, group: Sequence[str], series: str, weight: str, step: str) -> DataFrame:
     """One merged record per group; order is weight descending, then series, then step.
 
-    `trades` carries r, net and reason.  A series' trades are bounded by the calendar; a weight slice
-    holds about half a percent of the weight axis; slices are a few thousand at most.
+    `trades` carries r, net and reason.  A series' trades are bounded by the calendar. Series are dealt
+    into ranges of that order with about as many series each, so equal or unknown weights share no slice.
     """
     rows = trades.withColumn("_rec", leaf(F.col("r"), F.col("net"), F.col("reason")))
     per_series = _fold(rows.withColumn("_w", F.coalesce(F.col(weight), F.lit(0.0))), [*group, "_w", series], [F.col(step)])
-    sliced = per_series.withColumn("_slice", value_bucket(F.col("_w")))
+    ranges = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = per_series.repartitionByRange(ranges, *group, -F.col("_w"), F.col(series)).withColumn("_slice", F.spark_partition_id())
     per_slice = _fold(sliced, [*group, "_slice"], [-F.col("_w"), F.col(series)])
-    return _fold(per_slice, list(group), [-F.col("_slice")]).select(*group, "_rec.*")
+    return _fold(per_slice, list(group), [F.col("_slice")]).select(*group, "_rec.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,9 +60,8 @@ def recent_sessions(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def within_recent_sessions(df: DataFrame, column: str, n: int) -> DataFrame:
-    # The other side is one aggregated row, so this is a filter rather than a product.
-    floor = recent_sessions(df, column, n)
-    return df.join(F.broadcast(floor), F.col(column) >= F.col("_floor")).drop("_floor")
+    # A scalar subquery: its value reaches the scan, so older partitions and row groups are not read.
+    return df.where(F.col(column) >= recent_sessions(df, column, n).scalar())
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame | None, key: Sequence[str], order: Sequence[str | Column] | None = None) -> DataFrame:
@@ -92,13 +91,21 @@ def append_observations(spark: SparkSession, path: str, table: str, rows: DataFr
     return spark.createDataFrame([(table, counted.get["rows_new"])], "table string, rows_new long")
 
 
-def _stored_keys(spark: SparkSession, path: str, t) -> DataFrame | None:
+def stored_or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What a reader finds, or None where nothing was stored yet; any other error is one."""
     try:
-        return spark.read.parquet(path).select(*t.key, "fetched_date")
-    except AnalysisException:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
+def _stored_keys(spark: SparkSession, path: str, t) -> DataFrame | None:
+    stored = stored_or_none(lambda: spark.read.parquet(path))
+    return stored if stored is None else stored.select(*t.key, "fetched_date")
+
+
 def latest_runs(run_log: DataFrame) -> DataFrame:
     """Run log as upserts: the last record per (run, collector)."""
     return latest(run_log, ["run_id", "collector"], ["finished_at", "started_at"])

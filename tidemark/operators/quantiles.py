@@ -1,9 +1,11 @@
 """Exact order statistics per group, without gathering any group in one task.
 
 `percentile` keeps every distinct value of a group in one buffer, which a cell holding a third of
-all rows would not survive.  Here values are first counted (map-side) per group, then bucketed by an
-order-preserving function of the value; the few buckets holding a wanted rank are found from bucket
-counts, and only those buckets are sorted.  Results equal linear-interpolation quantiles exactly.
+all rows would not survive.  Here values are first counted (map-side) per group. A mergeable sketch
+of each group (map-side too, of bounded size) names values just below and above every wanted rank;
+they cut the group into buckets that keep its order. The few buckets holding a wanted rank are found
+from exact bucket counts, and only those, a small share of the group whatever its values, are sorted.
+The sketch decides how much is sorted, never the result: linear-interpolation quantiles, exactly.
 """
 
 from __future__ import annotations
@@ -12,17 +14,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tidemark.functions.numeric import col
 
 UPPER_MIDDLE = "upper_middle"   # the element at index n // 2 of the sorted values
 
 
-def value_bucket(value: Column, per_unit: int = 200) -> Column:
-    """Non-decreasing in the value: about half-percent steps, so a bucket stays a small slice of its group."""
-    step = F.floor(F.log1p(F.abs(value)) * F.lit(float(per_unit)))
-    return F.when(value < 0, -step).otherwise(step).cast("long")
+#: Accuracy of the sketch: its ranks are off by less than one in so many rows of the group.
+SKETCH_ACCURACY = 5_000
+
+
+def _cuts(probabilities: Sequence[float]) -> list[float]:
+    """Probabilities just below and above each wanted one, further than the sketch may err."""
+    margin = 4 / SKETCH_ACCURACY
+    return sorted({min(1.0, max(0.0, p + side)) for p in probabilities for side in (-margin, margin)})
+
+
+def bucket_of(value: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts lie at or below the value: never falls as the value rises."""
+    return F.size(F.filter(cuts, lambda c: c <= value))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], measures: dict[str, tuple[str | Column, dict[str, float | str]]]) -> DataFrame:
@@ -35,7 +45,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], measures: dict[str, tupl
         F.struct(F.lit(i).alias("_m"), col(value).cast("double").alias("_v"))
         for i, (value, _) in enumerate(measures.values())
     ]))).where("_v IS NOT NULL")
-    counted = long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bucket(F.col("_v")))
+    probabilities = [0.5 if p == UPPER_MIDDLE else float(p) for _, specs in measures.values() for p in specs.values()]
+    sketch = long.groupBy(*keys, "_m").agg(F.percentile_approx("_v", _cuts(probabilities), SKETCH_ACCURACY).alias("_cuts"))
+    counted = long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c")).join(sketch, [*keys, "_m"]).select(
+        *keys, "_m", "_v", "_c", bucket_of(F.col("_v"), F.col("_cuts")).alias("_b"))
 
     group = Window.partitionBy(*keys, "_m")
     running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -80,11 +93,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], measures: dict[str, tupl
 
 
 def clip_between(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float) -> DataFrame:
-    """Rows whose value lies between its group's two quantiles, bounds included.
-
-    The outcome is read by several later statistics, so it is kept (spilling to disk, recomputed from
-    its lineage where an executor is lost).
-    """
+    """Rows whose value lies between its group's two quantiles, bounds included."""
     bounds = exact_quantiles(df, keys, {"v": (value, {"_lo": low, "_hi": high})})
-    inside = df.join(bounds, list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    return inside.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.join(bounds, list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")

@@ -92,10 +92,11 @@ def relations(df: DataFrame, k: int = fv.MAX_RELATIONS, order: Sequence[str] = (
 
 def events(df: DataFrame, k: int = fv.MAX_EVENTS, order: Sequence[str] = ("fetched_at",)) -> DataFrame:
     newest = latest(df, ["symbol", "event_id"], list(order))
+    counts = newest.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"))
     kept = top_k(newest, ["symbol"], [F.col("public_date").desc_nulls_last(), F.col("event_id")], k, "_r")
     rows = kept.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(
         "_r", "event_code", "title", "public_date", "record_date", "exright_date"))).alias("_rows"))
-    return rows.select("symbol", F.transform("_rows", lambda r: r.dropFields("_r")).alias("rows"))
+    return rows.join(counts, "symbol").select("symbol", F.transform("_rows", lambda r: r.dropFields("_r")).alias("rows"), "count")
 
 
 def statement_points(df: DataFrame, order: Sequence[str] = ("fetched_at",), core=tuple(fv.CORE_STATEMENT_FIELDS),
@@ -137,7 +138,7 @@ def dossiers(listings: DataFrame, fundamentals: DataFrame, companies: DataFrame
     if relation_rows is not None:
         t = t.join(relations(relation_rows, order=order).select(F.col("symbol").alias("s"), F.col("rows").alias("rel"), F.col("count").alias("rel_count")), "s", "left")
     if event_rows is not None:
-        t = t.join(events(event_rows, order=order).select(F.col("symbol").alias("s"), F.col("rows").alias("events")), "s", "left")
+        t = t.join(events(event_rows, order=order).select(F.col("symbol").alias("s"), F.col("rows").alias("events"), F.col("count").alias("events_count")), "s", "left")
     if statements is not None:
         t = t.join(statement_series(statement_points(statements, order)).withColumnRenamed("symbol", "s"), "s", "left")
     return t

@@ -16,8 +16,8 @@ from tidemark.operators.rolling import Series
 def observed_series(metrics: DataFrame, pattern: str, days: int = fv.FLOW_DAYS, order: Sequence[str] = ("fetched_at",)) -> DataFrame:
     """Newest value per (series, as_of), inside the trailing window ending at the newest date of all matched series."""
     rows = latest(metrics.where(F.col("series").like(pattern)), ["series", "as_of"], list(order)).select("series", "as_of", "value")
-    newest = rows.agg(F.max("as_of").alias("_to"))                    # one row
-    return rows.join(F.broadcast(newest), F.col("as_of") >= F.date_sub("_to", days)).drop("_to")
+    newest = metrics.where(F.col("series").like(pattern)).agg(F.max("as_of")).scalar()
+    return rows.where(F.col("as_of") >= F.date_sub(newest, days))
 
 
 def part(n: int):

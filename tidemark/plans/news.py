@@ -61,7 +61,9 @@ def link_articles(articles: DataFrame, listings: DataFrame, aliases: DataFrame |
     links = best.where(confirmed).select("url", "symbol", F.element_at(
         F.array(*[F.lit(m) for m in METHODS]), F.col("_p")).alias("matched_by"))
     carried = [c for c in articles.columns if c not in ("url", "body")]
-    return links.join(articles.dropDuplicates(["url"]).select("url", *carried), "url")
+    # Of articles that share an address the first by title, then by the rest, is the one carried along.
+    rest = [c for c in carried if c != "title"]
+    return links.join(top_k(articles, ["url"], [F.col(c).asc() for c in ("title", *rest)], 1).select("url", *carried), "url")
 
 
 def drop_roundups(links: DataFrame, at_most: int = fv.MAX_SYMBOLS_PER_ARTICLE) -> DataFrame:

@@ -232,7 +232,7 @@ def province_rules(today: Column) -> list[Rule | Total]:
         return parsed.isNull() | (parsed > today)
 
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    land_doc = "^" + fv.LAND_DOCUMENT.replace(r"\d{1,4}/\d{4}", r"\d{1,4}/\d{4}") + "$"
+    land_doc = "^" + fv.LAND_DOCUMENT + "$"
     return [
         Total("all provinces", F.count(F.lit(1)) != fv.PROVINCE_COUNT), Total("some planning cited", F.count("planning_decision") == 0),
         Rule("planning number", ~F.col("planning_decision").rlike(fv.PLANNING_DOCUMENT), applies=has_plan, sample="name"), Rule("planning date", dated("planning_date"), applies=has_plan, sample="name"),

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tidemark import fixed_values as fv
 from tidemark.functions.numeric import cagr_percent, col, pct, ratio, rnd
 from tidemark.functions.text import category_slug, cell_key, slug
 from tidemark.operators.pit import latest
+from tidemark.session import written
 from tidemark.operators.quantiles import clip_between, exact_quantiles
 
 CELL = ["region", "district", "category"]
@@ -50,14 +50,10 @@ def cell_statistics(observations: DataFrame, min_samples: int = fv.MIN_SAMPLES,
     return clipped_statistics(lane(usable, source, band), min_samples)
 
 
-def keep(rows: DataFrame) -> DataFrame:
-    """Cleaned lane rows are read by the bounds, the clip and the medians; one row per property, spilling to disk."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def clipped_statistics(rows: DataFrame, min_samples: int, keys: Sequence[str] = tuple(CELL)) -> DataFrame:
     keys = list(keys)
-    clipped = clip_between(keep(rows), keys, "price_per_m2", fv.CLIP_LOW, fv.CLIP_HIGH)
+    # Cleaned rows are read by the bounds and the clip, clipped ones by the counts and the medians.
+    clipped = written(clip_between(written(rows), keys, "price_per_m2", fv.CLIP_LOW, fv.CLIP_HIGH))
     age = F.greatest(F.lit(0), F.datediff("fetched_at", "as_of"))
     counts = clipped.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"),
@@ -95,7 +91,8 @@ def rent_statistics(observations: DataFrame, min_samples: int = fv.MIN_SAMPLES,
 
 
 def clipped_median(rows: DataFrame, keys: Sequence[str], min_samples: int) -> DataFrame:
-    clipped = clip_between(keep(rows), keys, "price_per_m2", fv.CLIP_LOW, fv.CLIP_HIGH)
+    # Cleaned rows are read by the bounds and the clip, clipped ones by the counts and the medians.
+    clipped = written(clip_between(written(rows), keys, "price_per_m2", fv.CLIP_LOW, fv.CLIP_HIGH))
     n = clipped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples)
     return n.join(exact_quantiles(clipped, keys, {"p": ("price_per_m2", {"median_ppm2": 0.5})}), list(keys))
 
@@ -145,7 +142,7 @@ def with_current_province(df: DataFrame, region: str = "region", dimension: Data
     """Adds the current province; an unknown region keeps its own name."""
     dim = province_dimension(df.sparkSession) if dimension is None else dimension
     joined = df.withColumn("_key", region_lookup_key(region)).join(
-        F.broadcast(dim.select(F.col("key").alias("_key"), F.col("province").alias("_province"))), "_key", "left")
+        dim.select(F.col("key").alias("_key"), F.col("province").alias("_province")), "_key", "left")
     return joined.withColumn(out, F.coalesce("_province", col(region))).drop("_key", "_province")
 
 

@@ -157,7 +157,11 @@ def screener(listings: DataFrame, quotes: DataFrame, fundamentals: DataFrame, me
          .join(share_counts(quotes, quote_order), "symbol", "left")
          .join(foreign_flow(quotes, quote_order), "symbol", "left")
          .join(published_ratios(fundamental_percentiles(fundamentals, fund_order), keys), "symbol", "left"))
-    t = t.join(sectors.select("symbol", "sector"), "symbol", "left") if sectors is not None else t.withColumn("sector", F.lit(None).cast("string"))
+    if sectors is not None:  # the company table gets a row for each refetch: the newest stated sector counts
+        stated = sectors.where("sector IS NOT NULL")
+        newest = latest(stated, ["symbol"], ["fetched_at"]) if "fetched_at" in sectors.columns else stated.groupBy("symbol").agg(F.min("sector").alias("sector"))
+        sectors = newest.select("symbol", "sector")
+    t = t.join(sectors, "symbol", "left") if sectors is not None else t.withColumn("sector", F.lit(None).cast("string"))
     depth_cols: list[str] = []
     if metrics is not None:
         d = board_depth(metrics).drop("as_of", "fetched_at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,3 +57,10 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows from files in the shared folder: read more than once without being computed again, kept by
+    no executor, and removed when no frame refers to them any more (spark.cleaner.referenceTracking.cleanCheckpoints)."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -48,10 +48,12 @@ def unseen_codes(remembered: DataFrame, crawled: DataFrame) -> DataFrame:
 
 
 def crawl_shortfalls(expected: DataFrame, rows: DataFrame, key: str = "region", cap: int = fv.PROVINCE_TOTAL_CAP, share: float = fv.SHORTFALL_SHARE) -> DataFrame:
-    """Regions whose rows fall well below what the source itself reported, where its total is a real count."""
+    """Regions whose rows fall well below what the source itself reported (`status` short), and those whose
+    reported total is at the source's own ceiling and so no real count (`status` source total saturated)."""
     got = rows.groupBy(key).agg(F.count(F.lit(1)).alias("got"))
     t = expected.join(got, key, "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    return t.where((F.col("expected") > 0) & (F.col("expected") < cap) & (F.col("got") < F.col("expected") * share))
+    status = F.when(F.col("expected") >= cap, "source total saturated").when((F.col("expected") > 0) & (F.col("got") < F.col("expected") * share), "short")
+    return t.withColumn("status", status).where("status IS NOT NULL")
 
 
 def load_profile(rows: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:

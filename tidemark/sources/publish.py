@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clean_nulls
+from tidemark.operators.pit import stored_or_none
 
 
 def compact_json(df: DataFrame, out: str = "json", exclude: Sequence[str] = ()) -> DataFrame:
@@ -61,12 +61,9 @@ def write_changed_shards(spark: SparkSession, df: DataFrame, path: str, shard: s
     """
     manifest = f"{path}/_manifest"
     now = shard_hashes(df, [shard], hash_ignore)
-    try:
-        stored = spark.read.option("basePath", manifest).parquet(manifest)
-        version = stored.agg(F.max("v")).first()[0]
-        before = stored.where(F.col("v") == version)
-    except AnalysisException:
-        version, before = 0, now.where(F.lit(False))
+    stored = stored_or_none(lambda: spark.read.option("basePath", manifest).parquet(manifest))
+    version = 0 if stored is None else stored.agg(F.max("v")).first()[0]
+    before = now.where(F.lit(False)) if stored is None else stored.where(F.col("v") == version)
     states_path = f"{path}/_states/v={version + 1}"
     changed_shards(now, before.select(shard, "hash"), [shard]).write.mode("overwrite").parquet(states_path)
     states = spark.read.parquet(states_path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions import parsing
 from tidemark.functions.numeric import denan, finite, ratio, rnd
+from tidemark.session import written
 from tidemark.functions.text import blank_to_null, strip_tags, trim_sentences
 from tidemark.operators.pit import top_k
 from tidemark.schemas import conform
@@ -136,17 +137,21 @@ COIN_SCHEMA = """id string, name string, market_cap_rank int, description struct
  atl_date: struct<usd: string>, price_change_percentage_7d: double, price_change_percentage_30d: double, price_change_percentage_1y: double>"""
 
 
-def coin_profiles(landed: DataFrame) -> DataFrame:
-    """Coin documents (symbol, JSON) flattened; names that announce a superseded token are dropped."""
+def coin_profiles(landed: DataFrame, description_chars: int | None = None, max_categories: int | None = None) -> DataFrame:
+    """Coin documents (symbol, JSON) flattened; names that announce a superseded token are dropped.
+
+    Descriptions and category lists are whole; a publisher that wants them shorter names the limits.
+    """
     c = landed.withColumn("_d", F.from_json("json", COIN_SCHEMA)).where(F.length("_d.name") > 0)
     dead = F.lit(False)
     for marker in fv.DEAD_MARKERS:
         dead = dead | F.contains(F.lower("_d.name"), F.lit(marker))
     m = lambda p: F.col(f"_d.market_data.{p}")
+    named = F.filter("_d.categories", lambda x: F.length(x) > 0)
     day = lambda p: blank_to_null(F.substring(m(p), 1, 10))
     return c.where(~dead).select(
-        "symbol", F.col("_d.name").alias("name"), F.col("_d.id").alias("id"), F.col("_d.market_cap_rank").alias("rank"), trim_sentences("_d.description.en").alias("description"),
-        F.slice(F.filter("_d.categories", lambda x: F.length(x) > 0), 1, 5).alias("categories"), blank_to_null(F.get("_d.links.homepage", F.lit(0))).alias("home"),
+        "symbol", F.col("_d.name").alias("name"), F.col("_d.id").alias("id"), F.col("_d.market_cap_rank").alias("rank"), trim_sentences("_d.description.en", description_chars).alias("description"),
+        (named if max_categories is None else F.slice(named, 1, max_categories)).alias("categories"), blank_to_null(F.get("_d.links.homepage", F.lit(0))).alias("home"),
         m("market_cap.usd").alias("mc"), m("fully_diluted_valuation.usd").alias("fdv"), m("total_volume.usd").alias("vol"), m("circulating_supply").alias("supply"),
         m("max_supply").alias("max_supply"), m("total_supply").alias("total_supply"), m("ath.usd").alias("ath"), m("ath_change_percentage.usd").alias("ath_pct"),
         day("ath_date.usd").alias("ath_date"), m("atl.usd").alias("atl"), day("atl_date.usd").alias("atl_date"), m("price_change_percentage_7d").alias("d7"),
@@ -179,21 +184,28 @@ def feed_articles(landed: DataFrame, xml: str = "xml") -> DataFrame:
     return top_k(a, ["url"], [F.col("published_at").desc_nulls_last(), F.col("source")], 1)
 
 
-def linked_objects(docs: DataFrame, json: str = "json", keys=("title", "source", "published_at", "summary", "excerpt"), max_depth: int = 8) -> DataFrame:
-    """Every {url, title} object at any depth of landed documents: the longest value of each key per URL."""
+def linked_objects(docs: DataFrame, json: str = "json", keys=("title", "source", "published_at", "publishedAt", "summary", "excerpt")) -> DataFrame:
+    """Every {url, title} object at any depth of landed documents: the longest value of each key per URL.
+
+    Each level of nesting is opened once, from the level above it, until nothing is left to open; levels
+    are written to the shared checkpoint folder, so no document is parsed again.
+    """
     spark = docs.sparkSession
-    frontier = docs.select(F.try_parse_json(json).alias("v")).where("v IS NOT NULL")
-    levels = []
-    for _ in range(max_depth):
-        levels.append(frontier.where("try_variant_get(v, '$.url', 'string') IS NOT NULL AND try_variant_get(v, '$.title', 'string') IS NOT NULL"))
-        frontier = spark.sql("SELECT e.value AS v FROM {f} AS t, LATERAL variant_explode(t.v) AS e", f=frontier).where(
-            "schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'")
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
     get = lambda k: F.expr(f"try_variant_get(v, '$.{k}', 'string')")
-    flat = found.select(get("url").alias("url"), *[get(k).alias(k) for k in keys]).where("url LIKE 'http://%' OR url LIKE 'https://%'")
-    return flat.groupBy("url").agg(*[F.max_by(k, F.struct(F.length(k), F.col(k))).alias(k) for k in keys])
+    level = docs.select(F.try_parse_json(json).alias("v")).where("v IS NOT NULL")
+    found = None
+    while True:
+        level = written(level)
+        if level.isEmpty():
+            break
+        here = level.select(get("url").alias("url"), *[get(k).alias(k) for k in keys]).where(
+            "(url LIKE 'http://%' OR url LIKE 'https://%') AND title IS NOT NULL")
+        found = here if found is None else found.unionByName(here)
+        level = spark.sql("SELECT e.value AS v FROM {f} AS t, LATERAL variant_explode(t.v) AS e", f=level).where(
+            "schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'")
+    if found is None:
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in ("url", *keys)))
+    return found.groupBy("url").agg(*[F.max_by(k, F.struct(F.length(k), F.col(k))).alias(k) for k in keys])
 
 
 # --- maintenance -----------------------------------------------------------------------------

@@ -11,11 +11,11 @@ def closed_bars(ticks: DataFrame, seconds: int, delay: str = "10 minutes", key:
 
     In append mode a window is emitted once the watermark passes its exclusive end, so a forming bar
     is never seen; the longer timeframe is built from ticks as well, not from the shorter one.
-    Works on a static frame too, where every window comes out.
+    Works on a static frame too, where every window comes out. Ticks of one instant count in order of price.
     """
     w = F.window(F.col(ts), f"{seconds} seconds")
     g = ticks.withWatermark(ts, delay).groupBy(F.col(key), w.alias("w")).agg(
-        F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"), F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("ticks"))
+        F.min_by(price, F.struct(ts, price)).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, F.struct(ts, price)).alias("close"), F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("ticks"))
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("closed_at"), "open", "high", "low", "close", "volume", "ticks")
 
 

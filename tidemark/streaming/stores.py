@@ -1,111 +1,119 @@
-"""Micro-batch sinks that survive retries.
+"""Micro-batch sinks that survive retries and restarts.
 
-Every batch owns the folder `batch=<id>` of its store and replaces it as a whole, so a batch that is
-run again after a failure leaves the same files.  Nothing is updated in place.
+Every batch of every streaming query owns the folder `run=<query id>/batch=<id>` of its store and
+replaces it as a whole, so a batch that is run again after a failure leaves the same files. The query
+id belongs to the checkpoint: a job that starts over with a new checkpoint numbers its batches from
+zero again, but in a folder of its own. Nothing is updated in place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.pit import changes_only, latest, top_k
+from tidemark.operators.pit import changes_only, latest, stored_or_none, top_k
 
+_OWN = ("run", "batch")
 
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the streaming query that a checkpoint folder belongs to."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
-def _earlier(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame | None:
-    """What other batches stored; None for an empty store."""
-    try:
-        df = spark.read.option("basePath", path).parquet(path)
-        return df if batch_id is None else df.where(F.col("batch") != batch_id)
-    except AnalysisException:
-        return None
 
+class _Store:
+    def __init__(self, path: str):
+        self.path = path
 
-class AppendStore:
-    """Append by key: a key stored by any earlier batch is ignored, also across restarts."""
+    def _write(self, df: DataFrame, run: str, batch_id: int, part: str = "rows", by: Sequence[str] = ()) -> None:
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{part}/run={run}/batch={batch_id}")
 
-    def __init__(self, path: str, key: Sequence[str], order: Sequence[str] = ()):
-        self.path, self.key, self.order = path, list(key), list(order)
+    def _others(self, spark: SparkSession, run: str, batch_id: int, part: str = "rows") -> DataFrame | None:
+        """What other batches of this and of other runs stored; None for an empty store."""
+        stored = stored_or_none(lambda: spark.read.option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}"))
+        return stored if stored is None else stored.where((F.col("run") != run) | (F.col("batch") != batch_id))
 
-    def sink(self) -> Callable[[DataFrame, int], None]:
-        def write(batch: DataFrame, batch_id: int) -> None:
-            spark = batch.sparkSession
-            rows = top_k(batch, self.key, [F.col(c).asc() for c in self.order], 1) if self.order else batch.dropDuplicates(self.key)
-            stored = _earlier(spark, self.path, batch_id)
-            if stored is not None:
-                rows = rows.join(stored.select(*self.key), self.key, "left_anti")
-            _write(rows, self.path, batch_id)
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").drop(*_OWN)
+
+
+class AppendStore(_Store):
+    """Append by key: a key stored by any other batch is ignored, also across restarts.
+
+    With `time`, a column that rows of one key agree in, files lie by its day, and a batch is compared
+    with the days it holds only.
+    """
 
-        return write
+    def __init__(self, path: str, key: Sequence[str], order: Sequence[str], time: str | None = None):
+        super().__init__(path)
+        self.key, self.order, self.time = list(key), list(order), time
+
+    def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
+        rows = top_k(batch, self.key, [F.col(c).asc() for c in self.order], 1)
+        by: tuple[str, ...] = ()
+        stored = self._others(batch.sparkSession, run, batch_id)
+        if self.time:
+            rows, by = rows.withColumn("day", F.to_date(self.time)), ("day",)
+            if stored is not None:
+                days = [r[0] for r in rows.select("day").distinct().collect()]  # one per calendar day of the batch
+                stored = stored.where(F.col("day").isin(days) | F.col("day").isNull())
+        if stored is not None:
+            rows = rows.join(stored.select(*self.key), self.key, "left_anti")
+        self._write(rows, run, batch_id, by=by)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.path).parquet(self.path).drop("batch")
+        return super().read(spark).drop("day") if self.time else super().read(spark)
 
 
-class LatestView:
+class LatestView(_Store):
     """Newest row per key, maintained by appending each batch's own newest rows; reading takes the newest of those."""
 
     def __init__(self, path: str, key: Sequence[str], order: Sequence[str]):
-        self.path, self.key, self.order = path, list(key), list(order)
+        super().__init__(path)
+        self.key, self.order = list(key), list(order)
 
-    def sink(self) -> Callable[[DataFrame, int], None]:
-        return lambda batch, batch_id: _write(latest(batch, self.key, self.order), self.path, batch_id)
+    def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
+        self._write(latest(batch, self.key, self.order), run, batch_id)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return latest(spark.read.option("basePath", self.path).parquet(self.path), self.key, self.order).drop("batch")
+        return latest(super().read(spark), self.key, self.order)
 
 
-class ChangeLog:
-    """Rows that differ from their key's previous row, across batches."""
+class ChangeLog(_Store):
+    """Rows that differ from their key's previous row, across batches; only changes are stored and read again."""
 
     def __init__(self, path: str, key: Sequence[str], ts: str, fields: Sequence[str], tie: Sequence[str] = ()):
-        self.path, self.key, self.ts, self.fields, self.tie = path, list(key), ts, list(fields), list(tie)
-
-    def sink(self) -> Callable[[DataFrame, int], None]:
-        def write(batch: DataFrame, batch_id: int) -> None:
-            stored = _earlier(batch.sparkSession, self.path, batch_id)
-            prior = None if stored is None else latest(stored, self.key, [self.ts, *self.tie])
-            _write(changes_only(batch, self.key, self.ts, self.fields, self.tie, prior), self.path, batch_id)
+        super().__init__(path)
+        self.key, self.ts, self.fields, self.tie = list(key), ts, list(fields), list(tie)
 
-        return write
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.path).parquet(self.path).drop("batch")
+    def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
+        stored = self._others(batch.sparkSession, run, batch_id)
+        prior = None if stored is None else latest(stored, self.key, [self.ts, *self.tie])
+        self._write(changes_only(batch, self.key, self.ts, self.fields, self.tie, prior), run, batch_id)
 
 
-class ObservationStore:
-    """Append-only observations; ones older than what is stored by more than `delay_seconds` are also listed as corrections.
+class ObservationStore(_Store):
+    """Append-only observations; ones older than the newest of other batches by more than `delay_seconds` are also
+    listed as corrections.
 
+    Each batch leaves one row with its newest event time; only those rows are read to judge the next batch.
     A late observation never rewrites anything: views that read the store again simply see it.
     """
 
     def __init__(self, path: str, event_time: str, delay_seconds: int):
-        self.path, self.event_time, self.delay = path, event_time, delay_seconds
-
-    def sink(self) -> Callable[[DataFrame, int], None]:
-        def write(batch: DataFrame, batch_id: int) -> None:
-            stored = _earlier(batch.sparkSession, f"{self.path}/rows", batch_id)
-            if stored is None:
-                late = F.lit(False)
-                rows = batch
-            else:
-                newest = stored.agg(F.max(self.event_time).alias("_newest"))       # one row
-                rows = batch.crossJoin(F.broadcast(newest))
-                late = F.unix_seconds(F.col("_newest").cast("timestamp")) - F.unix_seconds(F.col(self.event_time).cast("timestamp")) > self.delay
-            rows = rows.withColumn("late", F.coalesce(late, F.lit(False))).drop("_newest")
-            _write(rows, f"{self.path}/rows", batch_id)
-
-        return write
+        super().__init__(path)
+        self.event_time, self.delay = event_time, delay_seconds
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").drop("batch")
+    def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
+        at = F.unix_seconds(F.col(self.event_time).cast("timestamp"))
+        marks = self._others(batch.sparkSession, run, batch_id, "marks")
+        newest = None if marks is None else marks.agg(F.max("newest")).first()[0]
+        late = F.lit(False) if newest is None else F.coalesce(F.lit(newest) - at > self.delay, F.lit(False))
+        self._write(batch.withColumn("late", late), run, batch_id)
+        self._write(batch.agg(F.max(at).alias("newest")), run, batch_id, "marks")
 
     def corrections(self, spark: SparkSession) -> DataFrame:
         return self.read(spark).where("late").drop("late")
@@ -116,8 +124,11 @@ def deduplicated(stream: DataFrame, key: Sequence[str], event_time: str = "fetch
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that is there and stop. `sink` is a foreachBatch function or a folder for Parquet files."""
+def run_available(stream: DataFrame, sink: _Store | str, checkpoint: str, mode: str = "append") -> None:
+    """Process everything that is there and stop. `sink` is a store or a folder for Parquet files."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
-    query = writer.foreachBatch(sink).start() if callable(sink) else writer.format("parquet").option("path", sink).start()
+    if isinstance(sink, str):
+        query = writer.format("parquet").option("path", sink).start()
+    else:
+        query = writer.foreachBatch(lambda batch, batch_id: sink.write(batch, run_id(batch.sparkSession, checkpoint), batch_id)).start()
     query.awaitTermination()
