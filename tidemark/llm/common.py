@@ -19,8 +19,10 @@ from tidemark.session import shared_folder
 #: Code points that separate words: blank and U+0009 to U+000D, as `bytes.split()` has them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: A little under 4 MiB, so that the tables of powers have 4 Mi entries.
-SLICE_BYTES = 4_000_000
+#: A little under 1 MiB, so that the tables of powers have 1 Mi entries.
+SLICE_BYTES = 1_000_000
+#: Rows of an Arrow batch: with whole texts, the default of 10,000 holds more than a task may need at once.
+BATCH_ROWS = 1024
 
 # Odd 64-bit multipliers of the word and window hashes.
 _BASE = 0x9E3779B97F4A7C13
@@ -30,8 +32,13 @@ _BYTE_CODES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
