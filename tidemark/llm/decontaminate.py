@@ -31,7 +31,7 @@ from tidemark.llm.common import CodePoints, disjoint, mixed, slices, utf8
 Q = 10
 #: Edits allowed per character, and characters of a segment.
 EDIT_RATE = 0.08
-SEGMENT = 240
+SEGMENT = 120
 #: q-grams that a region must share at least, whatever its length.
 LEAST_SHARED = 5
 #: Characters of benchmark text in one pass over the documents.
