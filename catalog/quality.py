@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import adapters as ad, companies, equity, ingest, markets, realestate as cre, signals
 from catalog.registry import ORACLE, query
+from tidemark import fixed_values as fv
 from tidemark.plans import breadth, browse, gamma, quality as q, signals as sg
 from tidemark.sources import prices as px, records as rc
 
@@ -98,7 +99,17 @@ def g_news(spark, sf):
     return q.evaluate(rows, "news", q.news_rules(F.lit("2024-01-20").cast("date")))
 
 
-@query("gate_flows")
+_FLOW_GATE = [_total("flows", "any asset", "error", "count(*) < 1"), _rule("flows", "has values", "error", "true", "len(v) = 0", sample="asset"),
+              _rule("flows", "dates match values", "error", "true", "len(d) <> len(v)", sample="asset"),
+              _rule("flows", "daily flow plausible", "error", "true", f"len(list_filter(v, lambda x: x < {fv.FLOW_DAY_RANGE[0]} OR x > {fv.FLOW_DAY_RANGE[1]})) > 0", sample="asset"),
+              _rule("flows", "issuers present", "error", "true", "coalesce(issuers, 0) = 0", sample="asset"),
+              _rule("flows", "issuer arrays match", "error", "true", "coalesce(uneven, false)", sample="asset")]
+
+
+@query("gate_flows", "WITH " + markets._OBS + """, per AS (SELECT asset, issuer, count(as_of) AS d, count(v) AS v FROM iss GROUP BY ALL),
+i AS (SELECT asset, count(*) AS issuers, bool_or(d <> v) AS uneven FROM per GROUP BY asset),
+t AS (SELECT net.asset, list(v ORDER BY as_of) AS v, list(as_of ORDER BY as_of) AS d, any_value(issuers) AS issuers, any_value(uneven) AS uneven
+  FROM net LEFT JOIN i ON i.asset = net.asset GROUP BY net.asset) """ + " UNION ALL ".join(_FLOW_GATE))
 def g_flows(spark, sf):
     from tidemark.plans.flows import flow_document
 
@@ -117,25 +128,55 @@ def g_us(spark, sf):
     return q.evaluate(rows, "us", q.us_rules()).unionByName(q.evaluate(rows, "fx", q.fx_rules()))
 
 
-@query("gate_coin_board")
+_COIN_GATE = [_total("coins", "enough rows", "error", "count(*) < 20"), _total("coins", "s unique", "error", "count(DISTINCT s) < count(*)"),
+              _rule("coins", "positive price", "error", "true", "coalesce(p <= 0, true)", sample="s"),
+              _total("coins", "board moves", "error", "count(*) FILTER (abs(coalesce(chp, 0)) > 0.01) < count(*) * 0.5"),
+              _rule("coins", "range position", "error", "pos IS NOT NULL", "NOT pos BETWEEN 0 AND 100", sample="s")]
+
+
+# The day's move is taken from where the price stands in its range.
+@query("gate_coin_board", f"WITH t AS (SELECT *, pos - 58 AS chp FROM ({ORACLE['exchange_board_24h']})) " + " UNION ALL ".join(_COIN_GATE))
 def g_coins(spark, sf):
-    return q.evaluate(ingest.q_board24(spark, sf).withColumn("chp", F.lit(1.0)), "coins", q.coin_board_rules())
+    return q.evaluate(ingest.q_board24(spark, sf).withColumn("chp", F.col("pos") - 58), "coins", q.coin_board_rules())
+
+
+_PROFILE_GATE = [_total("profiles", "not empty", "error", "count(*) < 1"), _total("profiles", "symbol unique", "error", "count(DISTINCT symbol) < count(*)"),
+                 _rule("profiles", "supply within maximum", "error", "max_supply > 0", "supply > max_supply * 1.01", sample="symbol"),
+                 _rule("profiles", "value within diluted value", "error", "fdv > 0", "mc > fdv * 1.01", sample="symbol"),
+                 _rule("profiles", "same coin", "error", "true", "mismatched", sample="symbol"),
+                 _total("profiles", "mostly described", "warn", "count(description) < count(*) * 0.5")]
 
 
-@query("gate_coin_profiles")
+@query("gate_coin_profiles", f"""WITH t AS (SELECT i.*, p_size * 20.0 AS supply, p_retailprice AS max_supply, p_retailprice AS mc, p_retailprice - p_size + 12 AS fdv, p_name AS description
+  FROM ({ORACLE['coin_identity_check']}) i JOIN part ON p_partkey::varchar = i.symbol) """ + " UNION ALL ".join(_PROFILE_GATE))
 def g_profiles(spark, sf):
-    rows = ingest.q_identity(spark, sf)
-    full = rows.select("symbol", "mismatched", F.lit(1000.0).alias("supply"), (F.col("symbol").cast("double") + 900).alias("max_supply"), F.lit(5.0).alias("mc"), F.lit(4.0).alias("fdv"), F.lit("text").alias("description"))
-    return q.evaluate(full, "profiles", q.profile_rules())
+    p = ad.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("symbol"), (F.col("p_size") * 20.0).alias("supply"), F.col("p_retailprice").alias("max_supply"), F.col("p_retailprice").alias("mc"),
+        (F.col("p_retailprice") - F.col("p_size") + 12).alias("fdv"), F.col("p_name").alias("description"))
+    return q.evaluate(ingest.q_identity(spark, sf).join(p, "symbol"), "profiles", q.profile_rules())
 
 
-@query("gate_surfaces")
+_BANDS = " OR ".join(f"(sym = '{k}' AND spot BETWEEN {lo} AND {hi})" for k, (lo, hi) in fv.GEX_SPOT_RANGE.items())
+_GAMMA_GATE = [_total("gex_btc", "not empty", "error", "count(*) < 1"),
+               _rule("gex_btc", "numbers present", "error", "true", "spot IS NULL OR net_gex IS NULL OR gamma_flip IS NULL OR max_pain IS NULL", sample="sym"),
+               _rule("gex_btc", "known symbol", "error", "true", f"sym NOT IN ({', '.join(repr(k) for k in fv.GEX_SPOT_RANGE)})", sample="sym"),
+               _rule("gex_btc", "spot in band", "error", "spot IS NOT NULL", f"NOT ({_BANDS})", sample="sym"),
+               _rule("gex_btc", "has contracts", "error", "true", "coalesce(contracts <= 0, true)"),
+               _rule("gex_btc", "symbol matches file", "error", "true", "sym <> 'btc'", sample="sym")]
+
+
+@query("gate_surfaces", f"WITH t AS (SELECT *, CASE WHEN contracts % 2 = 0 THEN 'eth' ELSE 'btc' END AS sym FROM ({ORACLE['gamma_surface']})) " + " UNION ALL ".join(_GAMMA_GATE))
 def g_gamma(spark, sf):
-    rows = gamma.surface(ad.options(spark, sf)).withColumn("sym", F.lit("eth"))
+    rows = gamma.surface(ad.options(spark, sf)).withColumn("sym", F.when(F.col("contracts") % 2 == 0, "eth").otherwise("btc"))
     return q.evaluate(rows, "gex_btc", q.gamma_rules("btc"))
 
 
-@query("gate_shard_index")
+_INDEX_GATE = [_total("index", "not empty", "error", "count(*) < 1"), _total("index", "k unique", "error", "count(DISTINCT k) < count(*)"),
+               _rule("index", "shard exists", "error", "true", "rows IS NULL", sample="k"), _rule("index", "count agrees", "error", "rows IS NOT NULL", "rows <> n", sample="k")]
+
+
+@query("gate_shard_index", f"""WITH t AS (SELECT x.*, y.rows FROM ({ORACLE['browse_shard_index']}) x
+  LEFT JOIN (SELECT k, count(*) AS rows FROM ({ORACLE['browse_inventory']}) GROUP BY k) y ON y.k = x.k) """ + " UNION ALL ".join(_INDEX_GATE))
 def g_index(spark, sf):
     rows = cre.browse_rows(spark, sf)
     have = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
@@ -151,7 +192,14 @@ def g_dossiers(spark, sf):
     return q.evaluate(d, "dossiers", q.dossier_rules()).unionByName(q.evaluate(m, "manifest", q.manifest_rules()))
 
 
-@query("gate_signals")
+_SIGNAL_GATE = [_total("signals", "has statistics", "error", "count(trades) = 0"), _rule("signals", "universe not empty", "error", "true", "coalesce(universe <= 0, true)"),
+                _rule("signals", "rules stated", "error", "true", "coalesce(rules, '') = ''"), _rule("signals", "benchmark present", "warn", "true", "benchmark IS NULL")]
+
+
+@query("gate_signals", f"""WITH t AS (SELECT r.trades, r.variant AS rules, (SELECT count(*) FROM ({ORACLE['eligible_universe']})) AS universe,
+  (SELECT median_return_pct FROM ({ORACLE['benchmark_return']})) AS benchmark FROM ({ORACLE['track_record']}) r) """ + " UNION ALL ".join(_SIGNAL_GATE))
 def g_signals(spark, sf):
-    rec = sg.summary(signals.walked(spark, sf), signals.caps(spark, sf)).withColumn("universe", F.col("trades")).withColumn("rules", F.lit("stated")).withColumn("benchmark", F.lit(None).cast("double"))
-    return q.evaluate(rec, "signals", q.signal_rules())
+    universe = signals.q_eligible(spark, sf).agg(F.count(F.lit(1)).alias("universe"))
+    benchmark = signals.q_benchmark(spark, sf).select(F.col("median_return_pct").alias("benchmark"))
+    rec = sg.summary(signals.walked(spark, sf), signals.caps(spark, sf)).withColumn("rules", F.col("variant"))
+    return q.evaluate(rec.crossJoin(F.broadcast(universe)).crossJoin(F.broadcast(benchmark)), "signals", q.signal_rules())  # one row each
