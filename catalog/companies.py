@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import adapters as ad
-from catalog.registry import query
+from catalog.registry import ORACLE, query
 from tidemark.functions.numeric import rnd
 from tidemark.functions.text import normalise, slug, street_key
 from tidemark.operators.phrases import phrase_hits
@@ -188,7 +188,7 @@ def build_dossiers(spark, sf):
         F.when(F.col("balance") > 0, F.to_json(F.struct((F.col("balance") / 10000).alias("freeFloatPercentage"), (F.col("balance") / 5000).alias("maximumForeignPercentage"),
                                                         (F.col("balance") * 1e6).alias("averageMatchValue1Month"), F.lit(" 30 ").alias("icbCodeLv2")))).otherwise("{broken").alias("meta"))
     listed_now = ad.companies(spark, sf).withColumn("fetched_at", F.lit(0))
-    return dossier.dossiers(listed_now, ad.fundamentals(spark, sf), None, f, f, f, f, ad.FUND_ORDER, _O), c
+    return dossier.dossiers(listed_now, ad.fundamentals(spark, sf), c, f, f, f, f, ad.FUND_ORDER, _O), c
 
 
 @query("company_json_facts", "WITH " + ad.COMPANIES_SQL + """ SELECT symbol, sector, CASE WHEN balance > 0 AND balance / 10000 BETWEEN 0 AND 1 THEN round(balance / 10000, 4) END AS ff,
@@ -207,7 +207,29 @@ def q_dossiers(spark, sf):
     return d.select("s", "n", F.size("events").alias("events"), F.size("owners").alias("owners"), "rel_count")
 
 
-@query("dossier_manifest", "SELECT count(*) AS count, 0 AS dossiers, count(*) AS statements FROM supplier")
+@query("company_dossier_ratios", ORACLE["dossier_ratio_points"])
+def q_dossier_ratios(spark, sf):
+    """Every point of every ratio of the nested rows."""
+    d, _ = build_dossiers(spark, sf)
+    return d.select(F.col("s").alias("symbol"), F.explode("m").alias("key", "g")).select("symbol", "key", F.lit("q").alias("cadence"), F.inline("g.q"))
+
+
+@query("company_dossier_statements", f"SELECT symbol, field, cadence, period, value FROM ({ORACLE['dossier_statements']})")
+def q_dossier_statements(spark, sf):
+    """Every point of every statement line of the nested rows."""
+    d, _ = build_dossiers(spark, sf)
+    lines = d.select(F.col("s").alias("symbol"), F.explode("st").alias("field", "g"))
+    one = lambda c: lines.select("symbol", "field", F.lit(c).alias("cadence"), F.inline(f"g.{c}"))
+    return one("q").unionByName(one("y"))
+
+
+@query("company_dossier_facts", ORACLE["company_json_facts"])
+def q_dossier_facts(spark, sf):
+    d, _ = build_dossiers(spark, sf)
+    return d.select(F.col("s").alias("symbol"), *[f"co.{c}" for c in ("sector", "ff", "fmax", "liq", "icb2")])
+
+
+@query("dossier_manifest", "SELECT count(*) AS count, count(*) AS dossiers, count(*) AS statements FROM supplier")
 def q_manifest(spark, sf):
     d, _ = build_dossiers(spark, sf)
     return dossier.manifest(d)

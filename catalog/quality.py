@@ -183,12 +183,25 @@ def g_index(spark, sf):
     return q.evaluate(browse.shard_index(rows, 10, cre.dimension(spark, sf)).join(have, "k", "left"), "index", q.shard_index_rules())
 
 
-@query("gate_dossiers")
+_DOSSIER_GATE = [_total("dossiers", "s unique", "error", "count(DISTINCT s) < count(*)"), _rule("dossiers", "has ratios", "error", "true", "keys = 0", sample="s"),
+                 _rule("dossiers", "points have a cadence", "error", "true", "points = 0", sample="s")]
+_MANIFEST_GATE = [_rule("manifest", name, "error", "true", bad) for name, bad in (
+    ("count matches files", "count <> files"), ("broad coverage", "count < 1500"), ("dossier coverage", "dossiers < count * 0.95"),
+    ("statement coverage", "statements < count * 0.90"), ("plausible counts", "dossiers > count OR statements > count"))]
+
+
+@query("gate_dossiers", f"""WITH t AS (SELECT symbol AS s, count(DISTINCT key) AS keys, min(n) AS points FROM
+  (SELECT symbol, key, count(*) AS n FROM ({ORACLE['dossier_ratio_points']}) GROUP BY ALL) GROUP BY symbol),
+m AS (SELECT x.*, (SELECT count(DISTINCT symbol) FROM ({ORACLE['dossier_ratio_points']})) AS files FROM ({ORACLE['dossier_manifest']}) x) """
+       + " UNION ALL ".join([*_DOSSIER_GATE, *[g.replace("FROM t", "FROM m") for g in _MANIFEST_GATE]]))
 def g_dossiers(spark, sf):
-    d, _ = companies.build_dossiers(spark, sf)
+    """The manifest is held against the shards that a write of the same rows would make, one per symbol."""
     from tidemark.plans.dossier import manifest
+    from tidemark.sources.publish import shard_hashes
 
-    m = manifest(d).withColumn("files", F.col("count"))
+    d, _ = companies.build_dossiers(spark, sf)
+    files = shard_hashes(d, ["s"]).agg(F.count(F.lit(1)).alias("files"))
+    m = manifest(d).crossJoin(F.broadcast(files))  # one row each
     return q.evaluate(d, "dossiers", q.dossier_rules()).unionByName(q.evaluate(m, "manifest", q.manifest_rules()))
 
 

@@ -125,13 +125,14 @@ def statement_series(points: DataFrame) -> DataFrame:
 
 def dossiers(listings: DataFrame, fundamentals: DataFrame, companies: DataFrame | None = None, owner_rows: DataFrame | None = None,
              relation_rows: DataFrame | None = None, event_rows: DataFrame | None = None, statements: DataFrame | None = None,
-             fund_order: Sequence[str] = ("fetched_at",), order: Sequence[str] = ("fetched_at",), listing_order: Sequence[str] = ("fetched_at",)) -> DataFrame:
+             fund_order: Sequence[str] = ("fetched_at",), order: Sequence[str] = ("fetched_at",), listing_order: Sequence[str] = ("fetched_at",),
+             company_order: Sequence[str] = ("fetched_at",)) -> DataFrame:
     """One nested row per symbol with any ratio history; parts that were never collected stay NULL."""
     base = latest(listings.where("symbol IS NOT NULL"), ["symbol"], list(listing_order)).select(
         F.col("symbol").alias("s"), F.col("organ_name").alias("n"), F.col("exchange").alias("e"), F.col("industry").alias("i"))
     t = base.join(ratio_series(ratio_points(fundamentals, order=fund_order)).withColumnRenamed("symbol", "s"), "s")
     if companies is not None:
-        co = company_facts(companies, order)
+        co = company_facts(companies, company_order)
         t = t.join(co.select(F.col("symbol").alias("s"), F.struct(*[c for c in co.columns if c != "symbol"]).alias("co")), "s", "left")
     if owner_rows is not None:
         t = t.join(owners(owner_rows, order=order).select(F.col("symbol").alias("s"), F.col("rows").alias("owners")), "s", "left")
