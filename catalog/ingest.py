@@ -412,3 +412,51 @@ def q_changed(spark, sf):
 def q_json(spark, sf):
     c = ad.companies(spark, sf).select("symbol", F.col("organ_name").alias("n"), F.when(F.col("balance") > 5000, 1).alias("big"), F.lit(float("nan")).alias("x"))
     return publish.compact_json(c, exclude=["symbol"])
+
+
+# --- boards in plain units --------------------------------------------------------------------------
+
+_IBOARD_FIELDS = [("foreign_room", "p_size * 100.0"), *[x for i in (1, 2, 3) for x in (
+    (f"bid{i}", f"p_retailprice - {i}"), (f"bid{i}_vol", f"CASE WHEN (p_size + {i}) % 4 > 0 THEN p_size * {i}.0 END"),
+    (f"ask{i}", f"p_retailprice + {i}"), (f"ask{i}_vol", f"p_size + {i}.0"))]]
+
+
+def iboard(spark, sf):
+    """One record per part; every tenth has an unreadable trading date."""
+    text = lambda e: F.expr(f"cast({e} AS string)")
+    landed = {"foreign_room": "remainForeignQtty"} | {f"{side}{i}{v}": f"best{i}{name}{'Vol' if v else ''}" for i in (1, 2, 3)
+                                                      for side, name in (("bid", "Bid"), ("ask", "Offer")) for v in ("", "_vol")}
+    return ad.table(spark, sf, "part").select(
+        F.concat(F.lit(" P"), "p_partkey").alias("stockSymbol"), F.lit("2026-02-01 09:00:00").cast("timestamp").alias("fetched_at"), F.lit("2026-02-01").cast("date").alias("as_of"),
+        F.when(F.col("p_partkey") % 10 == 0, "soon").otherwise(F.concat(F.lit("202601"), F.lpad((1 + F.col("p_partkey") % 28).cast("string"), 2, "0"))).alias("tradingDate"),
+        F.col("p_brand").alias("exchange"), text("p_retailprice").alias("matchedPrice"), text("p_retailprice - 1").alias("refPrice"), text("p_retailprice + 2").alias("openPrice"),
+        text("p_retailprice + 3").alias("highest"), text("p_retailprice - 3").alias("lowest"), text("p_size * 10").alias("nmTotalTradedQty"), text("p_size * 100.5").alias("nmTotalTradedValue"),
+        text("p_size * 2").alias("buyForeignValue"), text("p_size * 3").alias("sellForeignValue"), text("p_size").alias("buyForeignQtty"), text("p_size + 1").alias("sellForeignQtty"),
+        *[text(e).alias(landed[k]) for k, e in _IBOARD_FIELDS])
+
+
+@query("plain_board_quotes", """SELECT 'P' || p_partkey AS symbol, CASE WHEN p_partkey % 10 = 0 THEN DATE '2026-02-01' ELSE make_date(2026, 1, cast(1 + p_partkey % 28 AS int)) END AS as_of,
+  p_brand AS exchange, p_retailprice AS price, p_retailprice - 1 AS ref_price, p_retailprice + 2 AS open_price, p_retailprice + 3 AS high, p_retailprice - 3 AS low, p_size * 10 AS volume,
+  p_size * 100.5 AS value, p_size * 2.0 AS foreign_buy_value, p_size * 3.0 AS foreign_sell_value, p_size AS foreign_buy_vol, p_size + 1 AS foreign_sell_vol FROM part""")
+def q_iboard(spark, sf):
+    return px.iboard_quotes(iboard(spark, sf)).drop("fetched_at", "listed_share")
+
+
+@query("plain_board_depth", "SELECT 'vn.board.P' || p_partkey || '.' || field AS series, value FROM (SELECT p_partkey, unnest(["
+       + ", ".join(f"'{k}'" for k, _ in _IBOARD_FIELDS) + "]) AS field, unnest([" + ", ".join(f"cast({e} AS double)" for _, e in _IBOARD_FIELDS) + "]) AS value FROM part) WHERE value IS NOT NULL")
+def q_iboard_depth(spark, sf):
+    return px.iboard_metrics(iboard(spark, sf)).select("series", "value")
+
+
+@query("wide_board_quotes", """SELECT 'W' || p_partkey AS symbol, p_brand AS exchange, coalesce(CASE WHEN p_size % 3 > 0 THEN p_retailprice END, CASE WHEN p_size % 2 = 0 THEN p_retailprice - 1 END) AS price,
+  p_retailprice + 1 AS ref_price, p_size * 10 AS volume, p_size * 2.5 * 1e6 AS value, p_partkey * 1000 AS listed_share, p_size * 1.0 AS foreign_buy_value, p_size * 2.0 AS foreign_sell_value
+  FROM part WHERE p_partkey % 11 > 0""")
+def q_wide(spark, sf):
+    size = F.col("p_size")
+    board = ad.table(spark, sf, "part").select(
+        F.when(F.col("p_partkey") % 11 > 0, F.concat(F.lit("W"), "p_partkey")).otherwise("").alias("listing.symbol"), F.lit(None).cast("string").alias("symbol"),
+        F.lit("2026-02-01").cast("date").alias("as_of"), F.lit("2026-02-01 09:00:00").cast("timestamp").alias("fetched_at"), F.col("p_brand").alias("listing.exchange"),
+        F.when(size % 3 > 0, F.col("p_retailprice")).otherwise(F.lit(float("nan"))).alias("match.match_price"), F.when(size % 2 == 0, F.col("p_retailprice") - 1).alias("match.avg_match_price"),
+        (F.col("p_retailprice") + 1).alias("listing.ref_price"), (size * 10).alias("match.accumulated_volume"), (size * 2.5).alias("match.accumulated_value"),
+        (F.col("p_partkey") * 1000).alias("listing.listed_share"), size.alias("match.foreign_buy_value"), (size * 2).alias("match.foreign_sell_value"))
+    return px.wide_board_quotes(board).select("symbol", "exchange", "price", "ref_price", "volume", "value", "listed_share", "foreign_buy_value", "foreign_sell_value")

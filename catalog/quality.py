@@ -216,3 +216,61 @@ def g_signals(spark, sf):
     benchmark = signals.q_benchmark(spark, sf).select(F.col("median_return_pct").alias("benchmark"))
     rec = sg.summary(signals.walked(spark, sf), signals.caps(spark, sf)).withColumn("rules", F.col("variant"))
     return q.evaluate(rec.crossJoin(F.broadcast(universe)).crossJoin(F.broadcast(benchmark)), "signals", q.signal_rules())  # one row each
+
+
+_CONTEXT = "SELECT CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN '{p.split('.')[0]}'" for i, (p, _, _) in enumerate(fv.CONTEXT_BOUNDS)) + " END AS section, CASE c_custkey % 8 " + " ".join(
+    f"WHEN {i} THEN '{p.split('.')[1]}'" for i, (p, _, _) in enumerate(fv.CONTEXT_BOUNDS)) + " END AS key, CASE c_custkey % 8 " + " ".join(
+    f"WHEN {i} THEN c_acctbal / 9000 * {float(hi)}" for i, (_, _, hi) in enumerate(fv.CONTEXT_BOUNDS)) + """ END AS value, c_acctbal < -900 AS failed
+FROM customer
+"""
+_CONTEXT_GATE = [_rule("context", p, "error", f"section || '.' || key = '{p}' AND value IS NOT NULL", f"NOT value BETWEEN {float(lo)} AND {float(hi)}") for p, lo, hi in fv.CONTEXT_BOUNDS]
+_CONTEXT_GATE += [_total("context", "enough sections", "error", "count(DISTINCT section) FILTER (section IN ('network', 'market', 'mvrv', 'tvl', 'fng') AND value IS NOT NULL) < 3"),
+                  _rule("context", "sources answered", "warn", "true", "failed", sample="section")]
+
+
+@query("gate_context", f"WITH t AS ({_CONTEXT}) " + " UNION ALL ".join(_CONTEXT_GATE))
+def g_context(spark, sf):
+    return q.evaluate(ad._sql(spark, sf, _CONTEXT, ["customer"]), "context", q.context_rules())
+
+
+_CITATIONS = """SELECT s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN concat(s_suppkey, '/QD') ELSE concat(s_suppkey % 9999, '/QĐ-TTg') END AS planning_decision,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'soon' ELSE concat('202', s_suppkey % 9, '-03-15') END AS planning_date, CASE WHEN s_suppkey % 6 > 0 THEN s_name END AS planning_title, s_name AS planning_source,
+  CASE WHEN s_suppkey % 4 > 0 THEN concat(s_suppkey % 999, '/2025/', CASE WHEN s_suppkey % 3 = 0 THEN 'QĐ-BTC' ELSE 'QĐ-UBND' END) END AS land_decision,
+  concat('2025-0', 1 + s_suppkey % 9, '-01') AS land_date, s_name AS land_issuer, '2025-01-01' AS effective_from, concat('202', 4 + s_suppkey % 5, '-12-31') AS effective_to,
+  CASE s_suppkey % 3 WHEN 0 THEN 'gazette' WHEN 1 THEN 'secondary' ELSE 'hearsay' END AS verified, CASE WHEN s_suppkey % 2 = 0 THEN 'https://x.example' ELSE '' END AS url
+FROM supplier
+"""
+_TODAY = "DATE '2026-06-30'"
+_CITED, _LAND = "planning_decision IS NOT NULL", "land_decision IS NOT NULL"
+_PROVINCE_GATE = [_total("provinces", "all provinces", "error", f"count(*) <> {fv.PROVINCE_COUNT}"), _total("provinces", "some planning cited", "error", "count(planning_decision) = 0")]
+_PROVINCE_GATE += [_rule("provinces", name, "error", applies, bad, sample="name") for name, applies, bad in (
+    ("planning number", _CITED, f"NOT regexp_matches(planning_decision, '{fv.PLANNING_DOCUMENT}')"),
+    ("planning date", _CITED, f"try_cast(planning_date AS date) IS NULL OR try_cast(planning_date AS date) > {_TODAY}"),
+    ("planning title and source", _CITED, "coalesce(planning_title, '') = '' OR coalesce(planning_source, '') = ''"),
+    ("land number", _LAND, f"NOT regexp_matches(land_decision, '^{fv.LAND_DOCUMENT}$')"),
+    ("land date", _LAND, f"try_cast(land_date AS date) IS NULL OR try_cast(land_date AS date) > {_TODAY}"), ("land issuer", _LAND, "coalesce(land_issuer, '') = ''"),
+    ("land period", _LAND, "effective_from > effective_to"), ("land not expired", _LAND, f"try_cast(effective_to AS date) < {_TODAY}"),
+    ("land verification", _LAND, "coalesce(verified, '') NOT IN ('gazette', 'secondary') OR verified = 'gazette' AND coalesce(url, '') = ''"))]
+
+
+@query("gate_provinces", f"WITH t AS ({_CITATIONS}) " + " UNION ALL ".join(_PROVINCE_GATE))
+def g_provinces(spark, sf):
+    return q.evaluate(ad._sql(spark, sf, _CITATIONS, ["supplier"]), "provinces", q.province_rules(F.lit("2026-06-30").cast("date")))
+
+
+_BROKER = f"""SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'BTC' ELSE 'XAU' END AS asset, CASE WHEN s_suppkey % 8 = 0 THEN 'old' ELSE '{fv.GATE_VERSION}' END AS version,
+  CASE WHEN s_suppkey % 7 > 0 THEN 'broker-xauusd' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN 'not_connected' WHEN 1 THEN 'lost' ELSE 'snapshot' END AS status,
+  CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal END AS price, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey END AS quote_at, 250 + s_suppkey % 60 AS h1_count, 300 AS h4_count,
+  s_acctbal AS h1_atr, CASE WHEN s_suppkey % 10 > 0 THEN s_acctbal END AS h4_atr
+FROM supplier
+"""
+_BROKER_GATE = [_rule("broker", name, "error", applies, bad) for name, applies, bad in (
+    ("asset and rule version", "true", f"asset <> 'XAU' OR version <> '{fv.GATE_VERSION}'"), ("broker named", "true", "coalesce(kind <> 'broker-xauusd', true)"),
+    ("known status", "true", "coalesce(status, '') NOT IN ('not_connected', 'snapshot')"), ("no data without a connection", "status = 'not_connected'", "price IS NOT NULL"),
+    ("quote complete", "status = 'snapshot'", "price IS NULL OR quote_at IS NULL"),
+    ("frames complete", "status = 'snapshot'", f"h1_count < {fv.GATE['min_bars']} OR h4_count < {fv.GATE['min_bars']} OR h1_atr IS NULL OR h4_atr IS NULL"))]
+
+
+@query("gate_broker", f"WITH t AS ({_BROKER}) " + " UNION ALL ".join(_BROKER_GATE))
+def g_broker(spark, sf):
+    return q.evaluate(ad._sql(spark, sf, _BROKER, ["supplier"]), "broker", q.broker_rules())

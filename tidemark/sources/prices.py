@@ -136,7 +136,7 @@ def iboard_metrics(board: DataFrame, source: str = "iboard") -> DataFrame:
     fields = {"foreign_room": n("remainForeignQtty")}
     for i in (1, 2, 3):
         fields |= {f"bid{i}": n(f"best{i}Bid"), f"bid{i}_vol": n(f"best{i}BidVol"), f"ask{i}": n(f"best{i}Offer"), f"ask{i}_vol": n(f"best{i}OfferVol")}
-    return _series(board, F.col("stockSymbol"), fields, source)
+    return _series(board.where(F.length(F.trim("stockSymbol")) > 0), F.trim("stockSymbol"), fields, source)
 
 
 def first_of(*names: str) -> Column:
