@@ -178,7 +178,8 @@ def q_snapshot(spark, sf):
 
 
 def board(spark, sf):
-    q = ad.quotes(spark, sf)
+    """Packed records as they would land; a landed board comes in many files, so the test table's one is dealt out."""
+    q = ad.quotes(spark, sf).repartition("symbol")
     k = F.col("part_no")
     level = lambda f, v: F.when(k % 6 == 0, F.concat(F.lit("0|"), v, F.lit("|i"))).otherwise(F.concat((F.col("price") * f / 1000).cast("string"), F.lit("|"), v, F.lit("|d")))
     return q.select(F.col("symbol").alias("sym"), "as_of", "fetched_at", "line_no", "part_no", "value", (F.col("price") / 1000).cast("string").alias("lastPrice"), F.lit("-").alias("r"), F.lit("").alias("openPrice"),

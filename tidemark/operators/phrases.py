@@ -37,6 +37,8 @@ def word_runs(text) -> Column:
 
 def phrase_hits(texts: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """Distinct (text keys, phrase) pairs where the phrase stands at token boundaries."""
+    # Candidates meet their texts by key below, so texts are dealt by it once, before they are expanded.
+    texts = texts.select(*keys, text).repartition(*keys)
     known = phrases.select(phrase).where(F.length(phrase) >= 5).distinct().withColumn("_anchor", anchor(phrase))
     runs = texts.select(*keys, F.explode(word_runs(text)).alias("_anchor"))
     possible = runs.join(known, "_anchor").select(*keys, phrase).distinct()

@@ -46,7 +46,9 @@ def link_articles(articles: DataFrame, listings: DataFrame, aliases: DataFrame |
 
     `articles`: url, title, body and whatever else is to be carried along.
     """
-    a = article_text(articles.where("url <> '' AND trim(title) <> ''"), detail_chars).where("_norm <> ''")
+    # Every join below is by url: articles are dealt by it once, and folded where they then lie.
+    dealt = articles.where("url <> '' AND trim(title) <> ''").repartition("url")
+    a = article_text(dealt, detail_chars).where("_norm <> ''")
     phrases = dictionary(listings, aliases)
     found = phrase_hits(a, ["url"], "_norm", phrases).join(phrases, "phrase").join(a.select("url", "_title"), "url").select(
         "url", "symbol", "priority", contains_phrase("_title", "phrase").alias("titled"))
