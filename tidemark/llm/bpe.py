@@ -26,8 +26,10 @@ from tidemark.llm.common import slices
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces of more bytes are merged one by one with a heap: a round of a matrix costs its width.
 MATRIX_BYTES = 512
+#: Bytes of text whose new pieces are merged together: fuller matrices cost less a piece.
+PIECES_OF_BYTES = 3_000_000
 #: Pieces remembered by a task; the table is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -220,7 +222,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(rank_path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, most=PIECES_OF_BYTES):
             ids = encoder.encode(part.column("text").fill_null("").to_pylist())
             ends = np.cumsum([0, *map(len, ids)])
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
