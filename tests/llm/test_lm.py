@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import SCHEMA, frame, odd_rows, tables, words
@@ -49,3 +50,25 @@ def test_empty_table_and_single_text(spark):
     assert lm.score(spark.createDataFrame([], SCHEMA)).count() == 0
     (row,) = lm.score(spark.createDataFrame([(1, "a b a b")], "doc_id long, text string")).collect()
     assert (row.n_words, row.n_unseen) == (4, 4)
+
+
+def test_a_copied_phrase_scores_above_its_pairs_in_another_order(spark):
+    shared = [(1, "a b c d e f"), (2, "c d x b c y d e z a b")]
+    copied, shuffled = (3, "a b c d e f"), (4, "d e f a b c d")
+    rows = [*shared, copied, shuffled]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    want = plain(rows, 3)
+    assert [(repr(k), g.n_words, g.n_unseen, g.n_backoffs) for k, g in sorted(got.items())] == [w[:4] for w in want]
+    assert got[3].mean_log_score > got[4].mean_log_score
+
+
+def test_order_3_is_a_registered_query_and_asks_only_for_shared_parts(spark):
+    import __spark_entry__
+
+    assert "op4_lm_scoring_order3" in __spark_entry__.queries()
+    block = lm._Block([b"a b c d", b"a b c x", b"p q r s"], 3)
+    block.elsewhere = [None, np.array([-1, 1, 1, 0, -1, 1, 1, 0, -1, 0, 0, 0])]
+    asked, counts = block.asked(3)
+    assert counts.tolist() == [2]  # only "a b c": the others hold a pair that occurs nowhere else
+    every = lm.score(spark.createDataFrame([(k, t) for k, t in enumerate(["a b c d", "a b c d e", "c d e a", "", None])], "doc_id long, text string"), 4)
+    assert sorted(repr(r.doc_id) for r in every.collect()) == ["0", "1", "2", "3", "4"]

@@ -7,7 +7,7 @@ import public_tokenizers
 from catalog.registry import query
 from tidemark.llm import bpe, decontaminate, licenses, lm, mil, quality, secrets, simhash, substring, urls
 from tidemark.llm.common import documents
-from tidemark.llm.sql import LM_SQL, QUALITY_SQL, SUBSTRING_SQL
+from tidemark.llm.sql import LM_ORDER_3_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
 #: The vocabulary of the production queries; every executor has the file.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +50,11 @@ def op4(spark, sf):
     return lm.score(documents(spark, sf))
 
 
+@query("op4_lm_scoring_order3", LM_ORDER_3_SQL)
+def op4_order3(spark, sf):
+    return lm.score(documents(spark, sf), 3)
+
+
 @query("op10_license_scan")
 def op10(spark, sf):
     return licenses.scan(documents(spark, sf))

@@ -79,3 +79,23 @@ SELECT d.doc_id, cast(len(d.words) AS bigint) AS n_words, coalesce(n_unseen, 0)
        round(coalesce(total, 0), 6) AS log_score, round(total / n, 6) AS mean_log_score
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+LM_ORDER_3_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_IS_WORD}+') AS words FROM documents),
+i AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM d WHERE len(words) > 0),
+t AS (SELECT doc_id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS u, CASE WHEN i > 2 THEN words[i - 2] END AS v,
+             (SELECT count(*) FROM i) - len(words) AS rest FROM i),
+c AS (SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS n1,
+             count(*) OVER (PARTITION BY u, w) - count(*) OVER (PARTITION BY doc_id, u, w) AS n2,
+             count(*) OVER (PARTITION BY v, u, w) - count(*) OVER (PARTITION BY doc_id, v, u, w) AS n3 FROM t),
+b AS (SELECT *, lag(n1) OVER p AS nu, lag(n2) OVER p AS nvu, v IS NOT NULL AND n3 > 0 AS three, u IS NOT NULL AND n2 > 0 AS two
+      FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, n1 <= 0 AS unseen,
+             CASE WHEN three THEN 0 ELSE cast(v IS NOT NULL AS int) + CASE WHEN two THEN 0 ELSE cast(u IS NOT NULL AS int) END END AS backed,
+             CASE WHEN three THEN ln(n3 / nvu) WHEN two THEN ln(n2 / nu) WHEN n1 > 0 THEN ln(n1 / rest) ELSE -ln(rest + 1) END AS x FROM b),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (unseen) AS n_unseen, cast(sum(backed) AS bigint) AS n_backoffs,
+             sum(x + backed * ln({lm.BACKOFF})) AS total FROM s GROUP BY doc_id)
+SELECT d.doc_id, cast(len(d.words) AS bigint) AS n_words, coalesce(n_unseen, 0) AS n_unseen, coalesce(n_backoffs, 0) AS n_backoffs,
+       round(coalesce(total, 0), 6) AS log_score, round(total / n, 6) AS mean_log_score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
