@@ -112,3 +112,47 @@ def test_redaction_masks_every_span_and_nothing_else(spark):
     assert out[2].text == "clean é" and out[3].text is None
     counted = spark.createDataFrame([(1, text, len(text)), (2, None, 7)], "doc_id long, text string, n_chars long")
     assert {r.doc_id: r.n_chars for r in secrets.redact(counted).collect()} == {1: len(out[1].text), 2: 7}
+
+
+OID = {"p256": b"\x2a\x86\x48\xce\x3d\x02\x01", "ed448": b"\x2b\x65\x71", "x448": b"\x2b\x65\x6f"}
+P256 = der(0x30, der(2, b"\0") + der(0x30, der(6, OID["p256"]) + der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")) + der(4, der(0x30, der(2, b"\1") + der(4, b"e" * 32))))
+ED448 = der(0x30, der(2, b"\0") + der(0x30, der(6, OID["ed448"])) + der(4, der(4, b"k" * 57)))
+X448 = der(0x30, der(2, b"\0") + der(0x30, der(6, OID["x448"])) + der(4, der(4, b"k" * 56)))
+#: PKCS#8 keys of every size from the least up over all forms of the outer length.
+SIZED = [der(0x30, der(2, b"\0") + der(0x30, der(6, OID["ed448"])) + der(4, b"k" * n)) for n in (*range(14, 130), 200, 240, 250, 300, 5000, 65500, 66000)]
+SIZED += [der(0x30, der(2, b"\1") + der(4, b"e" * n)) for n in range(16, 67)]
+
+
+def spans(text):
+    return [f for f in secrets.find(text.encode()) if f[0] not in KINDS]
+
+
+def test_bare_keys_of_every_length_class_are_found():
+    for key, start in ((P256, "MEECAQAwEwYHKoZIzj0C"), (ED448, "MEcCAQAwBQYDK2Vx"), (X448, "MEYCAQAw")):
+        assert base64.b64encode(key).decode().startswith(start)
+    for key in (P256, ED448, X448, *SIZED):
+        assert secrets.is_der_key(key)
+        for text in (base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")):
+            assert spans(f"é {text} end") == [("der_key", 2, 2 + len(text))]
+        assert spans(f"é {key.hex()} end") == [("der_hex", 2, 2 + 2 * len(key))]
+    assert {k[1] for k in SIZED} >= {*range(0x20, 0x80), 0x81, 0x82, 0x83}
+
+
+def test_keys_glued_to_letters_are_found():
+    for key in (PKCS1, PKCS8, SEC1, P256, ED448):
+        text = base64.b64encode(key).decode()
+        bare = text.rstrip("=")
+        for before in ("/", "_", "+a", "key-", "MIME/MA", "MIIEvQ", "M", "MM"):
+            assert spans(f"é {before}{text} end") == [("der_key", 2 + len(before), 2 + len(before) + len(text))]
+            assert spans(f"{before}{bare}/tail_M") == [("der_key", len(before), len(before) + len(bare))]
+        assert spans(f"{bare}-{text}") == [("der_key", 0, len(bare)), ("der_key", len(bare) + 1, len(bare) + 1 + len(text))]
+        for before, after in (("0x", ""), ("0X", "ff"), ("a", "b"), ("3030", "0"), ("_", "_")):
+            for digits in (key.hex(), key.hex().upper()):
+                assert spans(before + digits + after) == [("der_hex", len(before), len(before) + len(digits))]
+    text = base64.b64encode(ssh_key()).decode()
+    assert spans(f"_/{text}") == [("ssh_key", 2, 2 + len(text))]
+
+
+def test_redaction_masks_glued_and_short_keys(spark):
+    rows = [(k, f"see /{base64.b64encode(key).decode()} end", None, None, None, None) for k, key in enumerate((P256, ED448, X448, PKCS1))]
+    assert {r.text for r in secrets.redact(frame(spark, rows)).collect()} == {"see /[SECRET] end"}

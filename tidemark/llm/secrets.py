@@ -3,7 +3,9 @@
 Base kinds are plain patterns. The method then decodes base64, base64url and hex candidates and
 reports those only whose bytes parse: nested DER lengths of a private key, length-prefixed fields
 of an OpenSSH key, or a signed token whose header and payload are JSON and whose signature has the
-size that the header's algorithm asks for. Spans count code points; the end is exclusive.
+size that the header's algorithm asks for. A key says its own length, so it is found at every place
+of a run, whatever letters it is glued to on either side; of nested keys the outer one is reported.
+Spans count code points; the end is exclusive.
 
 Defined results: null and empty texts have no spans; a base span is never dropped because a
 structural span covers it; repeated rows are scanned alike.
@@ -15,7 +17,7 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,8 +36,13 @@ _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
-_LONG_RUN = re.compile(rb"[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_RUN = re.compile(rb"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+#: The least key that is accepted has 23 bytes: 31 letters without padding.
+_LONG_RUN = re.compile(rb"([A-Za-z0-9+/_-]{31,})={0,2}")
+_HEX_RUN = re.compile(rb"[0-9A-Fa-f]{46,}")
+#: Places where a DER SEQUENCE may begin: 0x30 is M and a letter with two leading zero bits.
+_DER_BEGIN = re.compile(rb"M(?=[A-P])")
+_DER_HEX_BEGIN = re.compile(rb"(?=30(?:[0-7].|81..|82.{4}|83.{6}|84.{8})(?:02010[01]|30))30")
+_SSH_BEGIN = re.compile(rb"b3BlbnNzaC1rZXktdjEA")
 _PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\n]*?)-----END \1PRIVATE KEY-----")
 _TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
@@ -53,6 +60,15 @@ def _unbase64(raw: bytes) -> bytes | None:
         return None
 
 
+def _letters(run: bytes) -> bytes:
+    """Bytes of base64 or base64url letters; a last letter alone holds no byte."""
+    return _unbase64(run[: len(run) - (len(run) % 4 == 1)]) or b""
+
+
+def _nibbles(run: bytes) -> bytes:
+    return binascii.unhexlify(run[: len(run) // 2 * 2])
+
+
 def _element(data: bytes, at: int) -> tuple[int, int, int] | None:
     """(tag, begin, end) of the DER element at `at`, if its length is minimal and fits."""
     if at + 2 > len(data):
@@ -79,51 +95,84 @@ def _children(data: bytes, begin: int, end: int) -> list[tuple[int, int, int]] |
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """Is this a PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1 private key, all nested lengths fitting?"""
-    top = _element(data, 0)
-    if top is None or top[0] != _SEQUENCE or top[2] != len(data):
-        return False
+def _der_end(data: bytes, at: int) -> int | None:
+    """End of the private key that begins at `at`, if all its nested lengths fit."""
+    top = _element(data, at)
+    if top is None or top[0] != _SEQUENCE or data[top[1] : top[1] + 1] not in (b"\x02", b"\x30"):
+        return None
     parts = _children(data, top[1], top[2])
     if not parts:
-        return False
+        return None
     tags = [t for t, _, _ in parts]
     if tags[0] == _SEQUENCE and tags == [_SEQUENCE, _OCTETS]:
         inner = _children(data, *parts[0][1:])
-        return bool(inner) and inner[0][0] == _OBJECT_ID and parts[1][2] - parts[1][1] >= 16
+        return top[2] if inner and inner[0][0] == _OBJECT_ID and parts[1][2] - parts[1][1] >= 16 else None
     if tags[0] != _INTEGER or parts[0][2] - parts[0][1] != 1:
-        return False
+        return None
     version = data[parts[0][1]]
     if version in (0, 1) and len(tags) >= 9 and set(tags[:9]) == {_INTEGER}:
-        return parts[1][2] - parts[1][1] >= 32
+        return top[2] if parts[1][2] - parts[1][1] >= 32 else None
     if version in (0, 1) and tags[1:3] == [_SEQUENCE, _OCTETS]:
         inner = _children(data, *parts[1][1:])
-        return bool(inner) and inner[0][0] == _OBJECT_ID
-    return version == 1 and len(tags) >= 2 and tags[1] == _OCTETS and 16 <= parts[1][2] - parts[1][1] <= 66
+        return top[2] if inner and inner[0][0] == _OBJECT_ID else None
+    if version == 1 and len(tags) >= 2 and tags[1] == _OCTETS and 16 <= parts[1][2] - parts[1][1] <= 66:
+        return top[2]
+    return None
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key container whose length-prefixed fields fill it."""
+def is_der_key(data: bytes) -> bool:
+    """Is this a PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1 private key, all nested lengths fitting?"""
+    return _der_end(data, 0) == len(data)
+
+
+def _ssh_end(data: bytes, at: int) -> int | None:
+    """End of the OpenSSH private key container that begins at `at`, if its length-prefixed fields fit."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at, fields = len(magic), []
+    if not data.startswith(magic, at):
+        return None
+    at, fields = at + len(magic), []
     for _ in range(3):
         if at + 4 > len(data):
-            return False
+            return None
         n = int.from_bytes(data[at : at + 4], "big")
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
     if at + 4 > len(data) or not fields[0].isascii() or not fields[0]:
-        return False
+        return None
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= keys <= 16:
-        return False
+        return None
     for _ in range(keys + 1):
         if at + 4 > len(data):
-            return False
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    return at if at <= len(data) else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """An OpenSSH private key container whose length-prefixed fields fill it."""
+    return _ssh_end(data, 0) == len(data)
+
+
+def _keys_in(run: bytes, begin: re.Pattern, end_of: Callable[[bytes, int], int | None], letters: int, size: int, decode: Callable[[bytes], bytes]) -> Iterator[tuple[int, int]]:
+    """Spans of keys at any place of a run, leftmost first; `size` bytes take `letters` letters.
+
+    The run is decoded once for each way in which places can lie to groups of letters.
+    """
+    decoded: dict[int, bytes] = {}
+    done = 0
+    for m in begin.finditer(run):
+        a = m.start()
+        if a < done:
+            continue
+        phase = a % letters
+        if phase not in decoded:
+            decoded[phase] = decode(run[phase:])
+        at = a // letters * size
+        end = end_of(decoded[phase], at)
+        if end is not None:
+            done = a - (at - end) * letters // size  # rounded up
+            yield a, done
 
 
 def is_signed_token(header: bytes, payload: bytes, signature: bytes) -> bool:
@@ -151,20 +200,13 @@ def _proven(text: bytes) -> Iterator[tuple[str, int, int]]:
             if is_signed_token(*m.groups()):
                 yield "signed_token", *m.span()
     for m in _LONG_RUN.finditer(text):
-        run = m[0]
-        if run.startswith(b"MI") or run.startswith(b"MF") or run.startswith(b"MC") or run.startswith(b"MD") or run.startswith(b"MG") or run.startswith(b"MH"):
-            # DER SEQUENCE headers 30 2x..30 82 in base64.
-            data = _unbase64(run)
-            if data and is_der_key(data):
-                yield "der_key", *m.span()
-        elif run.startswith(b"b3BlbnNzaC1rZXktdjEA"):
-            data = _unbase64(run)
-            if data and is_ssh_key(data):
-                yield "ssh_key", *m.span()
-        elif run.startswith(b"30"):
-            for h in _HEX_RUN.finditer(text, m.start(), m.end()):
-                if is_der_key(bytes.fromhex(h[0].decode())):
-                    yield "der_hex", *h.span()
+        for kind, begin, end_of in (("der_key", _DER_BEGIN, _der_end), ("ssh_key", _SSH_BEGIN, _ssh_end)):
+            for a, b in _keys_in(m[1], begin, end_of, 4, 3, _letters):
+                # Padding belongs to the key that it follows.
+                yield kind, m.start() + a, m.end() if m.start() + b == m.end(1) else m.start() + b
+    for m in _HEX_RUN.finditer(text):
+        for a, b in _keys_in(m[0].lower(), _DER_HEX_BEGIN, _der_end, 2, 1, _nibbles):
+            yield "der_hex", m.start() + a, m.start() + b
 
 
 def find(text: bytes) -> list[tuple[str, int, int]]:
