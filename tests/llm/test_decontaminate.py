@@ -85,3 +85,16 @@ def test_odd_rows(spark):
     assert d.clean(docs, benchmark).count() == docs.count() - 1
     assert d.leaks(docs, benchmark.where("false")).count() == 0
     assert d.leaks(spark.createDataFrame([], SCHEMA), benchmark).count() == 0
+
+
+def test_excerpts_of_the_stated_length_are_found_at_every_offset(spark):
+    rng = random.Random(5)
+    item = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40))
+    segments = d.Segments([(1, item.encode())])
+    excerpts = [item[k : k + d.EXCERPT] for k in range(len(item) - d.EXCERPT + 1)]
+    texts = [f"{'zq' * 30}{x}{'qz' * 30}".encode() for x in excerpts]
+    assert {m[0] for m in d._matches(segments, texts)} == set(range(len(texts)))
+    half = [(k, f"before {item[k : k + 116]} after") for k in range(0, len(item) - 116, 7)]
+    docs = spark.createDataFrame([*half, (1000, "nothing of the kind")], "doc_id long, text string")
+    kept = d.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [1000]

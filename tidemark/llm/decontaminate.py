@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are folded (ASCII letters in lower case, every run of other ASCII
-characters than letters and digits one blank), and each item is cut into overlapping segments. A
-region of a text within e edits of a segment of n characters shares at least n + 1 - q (e + 1)
+characters than letters and digits one blank), and each item is cut into overlapping segments, long
+ones and, for excerpts, short ones at a dense stride: an unedited excerpt of an item is found at any
+offset if it has EXCERPT folded characters. A region of a text within e edits of a segment of n characters shares at least n + 1 - q (e + 1)
 q-grams with it, and all of them lie on e + 1 neighbouring diagonals. Shared q-grams are counted in
 diagonal bands of twice that width that overlap by half, so one band holds them all; bands that
 reach the bound are regions, and every region is verified by banded alignment.
@@ -32,6 +33,9 @@ Q = 10
 #: Edits allowed per character, and characters of a segment.
 EDIT_RATE = 0.08
 SEGMENT = 120
+#: Short segments and the characters from one to the next; an excerpt of EXCERPT characters holds one of them whole.
+SHORT, STRIDE = 60, 15
+EXCERPT = SHORT + STRIDE - 1
 #: q-grams that a region must share at least, whatever its length.
 LEAST_SHARED = 5
 #: Characters of benchmark text in one pass over the documents.
@@ -85,12 +89,15 @@ class Segments:
         for item_id, raw in items:
             code, _, _ = folded([raw])
             code = code[: len(code) - 1] if len(code) and code[-1] == 32 else code
-            last = max(0, len(code) - SEGMENT)
-            for at in sorted({*range(0, last, SEGMENT // 2), last}):
-                part = code[at : at + SEGMENT]
-                if edit_budget(len(part)) >= 0:
-                    self.item.append(item_id)
-                    self.code.append(part)
+            for length, stride in ((SEGMENT, SEGMENT // 2), (SHORT, STRIDE)):
+                if length == SHORT and len(code) <= SHORT:
+                    break  # the item itself is a segment already
+                last = max(0, len(code) - length)
+                for at in sorted({*range(0, last, stride), last}):
+                    part = code[at : at + length]
+                    if edit_budget(len(part)) >= 0:
+                        self.item.append(item_id)
+                        self.code.append(part)
         self.size = np.array([len(c) for c in self.code], np.int64)
         self.budget = np.array([edit_budget(n) for n in self.size.tolist()], np.int64)
         self.bound = np.maximum(1, self.size + 1 - Q * (self.budget + 1))
