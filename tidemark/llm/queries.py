@@ -5,9 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tidemark.llm import bpe, decontaminate, licenses, lm, mil, quality, secrets, simhash, substring, urls
+from tidemark.llm import bpe, decontaminate, fim, licenses, lm, mil, quality, secrets, simhash, substring, urls
 from tidemark.llm.common import documents
-from tidemark.llm.sql import LM_ORDER_3_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
+from tidemark.llm.sql import FIM_SQL, LM_ORDER_3_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
 #: The vocabulary of the production queries; every executor has the file.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,3 +69,8 @@ def op8(spark, sf):
 def op6(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     return urls.judge(pages, urls.labelled_by_rules(pages))
+
+
+@query("op13_fill_in_middle", FIM_SQL)
+def op13(spark, sf):
+    return fim.digests(fim.transform(documents(spark, sf)))

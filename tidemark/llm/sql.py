@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import lm, quality, substring
+from tidemark.llm import fim, lm, quality, substring
 
 _IS_WORD = "[^ \\t\\n\\v\\f\\r]"
 
@@ -99,3 +99,28 @@ SELECT d.doc_id, cast(len(d.words) AS bigint) AS n_words, coalesce(n_unseen, 0)
        round(coalesce(total, 0), 6) AS log_score, round(total / n, 6) AS mean_log_score
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+_UNIT = "[ \\t\\n\\v\\f\\r]*[^ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+"
+
+
+def _part(a: str, b: str) -> str:
+    return f"array_to_string(units[{a} + 1 : {b}], '')"
+
+
+FIM_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS units,
+                  sha256('{fim.SEED}:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, t, units, len(units) AS n, ('0x' || x[1:8])::ubigint AS h1, ('0x' || x[9:16])::ubigint AS h2,
+             ('0x' || x[17:24])::ubigint AS h3, ('0x' || x[25:32])::ubigint AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR doc_id IS NULL OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fim.RATE} THEN 'plain'
+                  WHEN h4 % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, {_part("0", "a")} AS p, {_part("a", "b")} AS m, {_part("b", "n")} AS s FROM c)
+SELECT doc_id, cast(n AS bigint) AS n, form,
+       CASE WHEN form <> 'plain' THEN cast(length(p) AS bigint) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN cast(length(m) AS bigint) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
