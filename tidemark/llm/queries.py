@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tidemark.llm import bpe, decontaminate, fim, licenses, lm, mil, quality, secrets, simhash, substring, urls
+from tidemark.llm import bpe, decontaminate, fim, licenses, lm, mil, neighbours, quality, secrets, simhash, substring, urls
 from tidemark.llm.common import documents
 from tidemark.llm.sql import FIM_SQL, LM_ORDER_3_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
@@ -71,6 +72,11 @@ def op6(spark, sf):
     return urls.judge(pages, urls.labelled_by_rules(pages))
 
 
+@query("op11_nearest_neighbours")
+def op11(spark, sf):
+    return neighbours.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 @query("op13_fill_in_middle", FIM_SQL)
 def op13(spark, sf):
     return fim.digests(fim.transform(documents(spark, sf)))
