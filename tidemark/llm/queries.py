@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tidemark.llm import bpe, decontaminate, fim, licenses, lm, mil, neighbours, quality, secrets, simhash, substring, urls
+from tidemark.llm import bpe, collocations, decontaminate, fim, licenses, lm, mil, neighbours, quality, secrets, simhash, substring, urls
 from tidemark.llm.common import documents
-from tidemark.llm.sql import FIM_SQL, LM_ORDER_3_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
+from tidemark.llm.sql import COLLOCATION_SQL, FIM_SQL, LM_ORDER_3_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
 #: The vocabulary of the production queries; every executor has the file.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -77,6 +77,11 @@ def op11(spark, sf):
     return neighbours.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+@query("op12_phrase_collocations", COLLOCATION_SQL)
+def op12(spark, sf):
+    return collocations.collocations(documents(spark, sf))
+
+
 @query("op13_fill_in_middle", FIM_SQL)
 def op13(spark, sf):
     return fim.digests(fim.transform(documents(spark, sf)))

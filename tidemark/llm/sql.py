@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fim, lm, quality, substring
+from tidemark.llm import collocations, fim, lm, quality, substring
 
 _IS_WORD = "[^ \\t\\n\\v\\f\\r]"
 
@@ -124,3 +124,29 @@ SELECT doc_id, cast(n AS bigint) AS n, form,
        sha256(t) AS restored_sha256
 FROM p
 """
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+COLLOCATION_SQL = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\n\\v\\f\\r]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS words FROM p),
+g AS (SELECT lang, size, unnest(list_transform(generate_series(1, len(words) - size + 1), lambda i: array_to_string(words[i : i + size - 1], ' '))) AS phrase
+      FROM w, generate_series(1, {collocations.SPAN}) AS s(size) WHERE len(words) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+total AS (SELECT lang, cast(sum(a) AS bigint) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND a >= {collocations.MIN_COUNT}),
+k AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c),
+cut AS (SELECT k.*, x.a AS l, y.a AS r, cast({collocations.SCORE} AS hugeint) * k.a // (x.a + y.a) AS score FROM k
+        JOIN f AS x ON x.lang = k.lang AND x.phrase = array_to_string(k.words[: k.k], ' ')
+        JOIN f AS y ON y.lang = k.lang AND y.phrase = array_to_string(k.words[k.k + 1 :], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a, words, size, unnest(generate_series(2, size - 1)) AS n FROM c WHERE size > 2),
+inside AS (SELECT lang, a, unnest(list_transform(generate_series(1, size - n + 1), lambda i: array_to_string(words[i : i + n - 1], ' '))) AS phrase FROM inner_),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase,
+       a, l, r, n, cast(score AS bigint) AS score
+FROM best JOIN total ON total.lang = best.lang LEFT JOIN longer ON longer.lang = best.lang AND longer.phrase = best.phrase
+WHERE longer IS NULL OR cast(100 AS hugeint) * longer < cast({collocations.SHADOW_PERCENT} AS hugeint) * a
+QUALIFY rank <= {collocations.MOST}
+"""
