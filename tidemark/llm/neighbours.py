@@ -48,7 +48,7 @@ CODE_ROWS = 1024
 CALIBRATION, RECALL = 128, 0.96
 #: Probes a query has at most; where they miss RECALL, cells are divided less deeply.
 MOST_PROBES = 16_384
-ROWS, LEAST_ROWS, QUERIES = 65_536, 1024, 8192
+ROWS, LEAST_ROWS, QUERIES = 65_536, 256, 8192
 #: Queries whose distances to a block are held at once.
 _AT_ONCE = 128
 
