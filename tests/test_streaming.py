@@ -5,7 +5,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.operators.pit import changes_only, stored_or_none
-from tidemark.streaming import bars, stores
+from tidemark.plans import decision
+from tidemark.streaming import bars, keyed, stores
 
 
 def write_batches(spark, folder, frames):
@@ -66,11 +67,52 @@ def test_late_rows_become_corrections(spark, tmp_path):
     assert [r.ts for r in store.corrections(spark).collect()] == [T0 + timedelta(hours=1)] and store.read(spark).count() == 3
 
 
-def test_change_log_across_batches_equals_one_pass(spark, tmp_path):
-    rows = [("k", T0 + timedelta(minutes=11 * i), "up" if (i // 4) % 2 else "down") for i in range(40)]
-    df = spark.createDataFrame(rows, "k string, ts timestamp, s string")
-    log = stores.ChangeLog(str(tmp_path / "c"), ["k"], "ts", ["s"])
-    cut = F.lit(T0 + timedelta(minutes=11 * 18))
-    log.write(df.where(F.col("ts") < cut), "run", 0)
-    log.write(df.where(F.col("ts") >= cut), "run", 1)
-    assert sorted(map(tuple, log.read(spark).collect())) == sorted(map(tuple, changes_only(df, ["k"], "ts", ["s"]).collect()))
+def run_disordered(spark, tmp_path, rows, schema, parts, build):
+    """Feeds parts (lists of row numbers) one after the other to a stateful stream and returns what came out."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in parts:
+        spark.createDataFrame([rows[k] for k in part], schema).coalesce(1).write.mode("append").parquet(src)
+        keyed.run_stateful(build(spark.readStream.schema(schema).parquet(src)), f"{out}/data", f"{out}/cp")
+    return spark.read.parquet(f"{out}/data")
+
+
+def test_change_log_with_late_rows_equals_one_pass(spark, tmp_path):
+    schema = "k string, ts timestamp, n int, s string"
+    rows = [("k", T0 + timedelta(minutes=11 * i), i, ["up", "down", None][(i // 4) % 3]) for i in range(40)]
+    rows.append((None, T0 + timedelta(days=9), None, None))  # moves the watermark
+    late = {3, 5, 9, 12}
+    parts = [[i for i in range(20) if i not in late], [*range(20, 33), 5, 3], [12, *range(33, 40), 9], [40]]
+    out = run_disordered(spark, tmp_path, rows, schema, parts, lambda s: keyed.changes(s, ["k"], "ts", ["s"], ["n"], "1 day"))
+    want = changes_only(spark.createDataFrame(rows[:40], schema), ["k"], "ts", ["s"], ["n"])
+    assert sorted((r.n, r.s) for r in out.where("k IS NOT NULL").collect()) == sorted((r.n, r.s) for r in want.collect())
+
+
+def test_bad_bars_of_a_stream_are_named_in_order_of_time(spark, tmp_path):
+    schema = "asset string, seconds long, time long, open double, high double, low double, close double"
+    bar = lambda t, o=5.0, h=6.0, l=4.0, c=5.0: ("A", 3600, t * 3600, o, h, l, c)
+    rows = [bar(0), bar(1), bar(1), bar(2, h=1.0), bar(3, l=0.0), bar(5), bar(6, o=float("nan")), bar(7), bar(8, c=None), bar(9), bar(4000)]
+    out = run_disordered(spark, tmp_path, rows, schema, [[0, 3, 5, 7], [1, 9, 2], [4, 6, 8], [10]], lambda s: keyed.rejected_series(s, "1 day"))
+    got = sorted((r.time // 3600, r.problem) for r in out.collect())
+    assert got == [(1, "duplicate"), (2, "malformed"), (3, "malformed"), (5, "gap"), (6, "malformed"), (8, "malformed")]
+
+
+def test_facts_go_stale_without_new_rows(spark, tmp_path):
+    schema = "asset string, label string, fetched timestamp, observed timestamp, value double, bias int, ttl_ms long"
+    hour = lambda h: T0 + timedelta(hours=h)
+    fact = lambda f, o, v=1.0, b=1, ttl=4: ("A", "x", hour(f), None if o is None else hour(o), v, b, ttl * 3_600_000)
+    rows = [fact(0, 0), fact(2, 1), fact(20, 22), fact(30, 20), fact(40, None), fact(41, 41, v=None), fact(42, 42, v=0.0, b=-1), fact(50, 60, ttl=1), (None, None, hour(900), None, None, None, 0)]
+    out = run_disordered(spark, tmp_path, rows, schema, [[0, 2], [1, 3, 5], [4, 6, 7], [8]], lambda s: keyed.fact_statuses(s, delay="3 days"))
+    at = lambda h, ms=0: int((hour(h) - datetime(1970, 1, 1)).total_seconds() * 1000) + ms
+    got = sorted((r.at_ms, r.status, r.bias) for r in out.where("asset IS NOT NULL").collect())
+    assert got == [(at(0), "ok", 1), (at(2), "ok", 1), (at(5, 1), "stale", 0), (at(20), "future", 0), (at(22), "ok", 1), (at(24, 1), "stale", 0),
+                   (at(30), "stale", 0), (at(40), "missing", 0), (at(41), "missing", 0), (at(42), "ok", -1), (at(46, 1), "stale", 0), (at(50), "future", 0), (at(60), "stale", 0)]
+
+
+def test_statuses_are_those_of_the_batch_rule(spark):
+    schema = "fetched timestamp, observed timestamp, now timestamp, value double, bias int, ttl_ms long"
+    hours = [timedelta(hours=h) for h in (-30, -5, -1, 0, 1, 3, 30)]
+    rows = [(T0, T0 + o, T0 + n, v, 1, ttl) for o in hours for n in hours if n >= timedelta(0) for v in (None, 1.0) for ttl in (0, 3_600_000, 7_200_000)]
+    for row in decision.fact_status(spark.createDataFrame(rows, schema)).collect():
+        ms = lambda t: int(t.timestamp() * 1000)
+        told = keyed._Facts.statuses(ms(row.fetched), ms(row.observed), row.value, row.ttl_ms)
+        assert [s for at, s in told if at <= ms(row.now)][-1] == row.status

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.pit import changes_only, latest, stored_or_none, top_k
+from tidemark.operators.pit import latest, stored_or_none, top_k
 
 _OWN = ("run", "batch")
 
@@ -82,19 +82,6 @@ class LatestView(_Store):
         return latest(super().read(spark), self.key, self.order)
 
 
-class ChangeLog(_Store):
-    """Rows that differ from their key's previous row, across batches; only changes are stored and read again."""
-
-    def __init__(self, path: str, key: Sequence[str], ts: str, fields: Sequence[str], tie: Sequence[str] = ()):
-        super().__init__(path)
-        self.key, self.ts, self.fields, self.tie = list(key), ts, list(fields), list(tie)
-
-    def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
-        stored = self._others(batch.sparkSession, run, batch_id)
-        prior = None if stored is None else latest(stored, self.key, [self.ts, *self.tie])
-        self._write(changes_only(batch, self.key, self.ts, self.fields, self.tie, prior), run, batch_id)
-
-
 class ObservationStore(_Store):
     """Append-only observations; ones older than the newest of other batches by more than `delay_seconds` are also
     listed as corrections.
