@@ -1,4 +1,5 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,27 @@ def test_asof_matches_a_plain_scan(spark):
         known = [r for r in rows if r.k == k and r.t <= p]
         assert v == (max(known, key=lambda r: r.t).v if known else None)
     assert len(got) == 25
+
+
+def test_a_burst_of_one_key_and_hour_is_cut_into_pieces_by_rank(spark):
+    """A third of all rows in a few milliseconds of one key and hour: many pieces, same answers."""
+    rng = random.Random(7)
+    t0 = T(2026, 1, 1, 10)
+    burst = lambda: t0 + timedelta(microseconds=rng.choice([rng.randrange(3000), rng.randrange(3000), 10**6 * rng.randrange(36000)]))
+    keys = ["hot", "hot", "cold", None]
+    facts = [(rng.choice(keys), burst(), rng.randrange(5), float(i) if i % 9 else None) for i in range(3000)]
+    probes = [(rng.choice(keys), burst(), i) for i in range(1500)]
+    f, p = spark.createDataFrame(facts, "k string, t timestamp, tie int, v double"), spark.createDataFrame(probes, "k string, p timestamp, n int")
+    pieces = pit._pieces(f, ["k"], "t", 3600, 100, 15)
+    crowded = {r._piece: r["count"] for r in pieces.where("k = 'hot'").groupBy("_bucket", "_piece").count().collect() if r["count"] > 1}
+    assert len(crowded) > 12 and max(crowded.values()) < 400
+    got = {r.n: (r.t_found, r.v) for r in pit.asof_latest(p, f, ["k"], "p", "t", ["v"], ["tie", "v"], piece_rows=100, cuts=15).collect()}
+    rank = lambda r: (r[1], r[2], r[3] is not None, r[3] or 0)
+    for k, at, n in probes:
+        last = max((r for r in facts if r[0] == k and k is not None and r[1] <= at), key=rank, default=None)
+        assert got[n] == ((last[1], last[3]) if last else (None, None))
+    assert len(got) == 1500
+    f = f.withColumn("n", F.monotonically_increasing_id())
+    fine = pit.changes_only(f, ["k"], "t", ["tie"], ["tie", "n"], piece_rows=50, cuts=15)
+    whole = pit.changes_only(f, ["k"], "t", ["tie"], ["tie", "n"])
+    assert sorted(r.n for r in fine.where("k IS NOT NULL").collect()) == sorted(r.n for r in whole.where("k IS NOT NULL").collect())

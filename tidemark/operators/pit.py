@@ -130,59 +130,67 @@ def merge_schemas(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def asof_latest(probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_ts: str, fact_ts: str,
-                fields: Sequence[str], tie: Sequence[str] = (), bucket_seconds: int = 3600) -> DataFrame:
-    """For every probe, the newest fact of its key at or before the probe's instant.
+#: Rows of one (key, time bucket) that are ordered together; a fuller one is cut into CUTS + 1 pieces by time.
+PIECE_ROWS = 100_000
+CUTS = 255
 
-    Works in two levels so that no key is gathered whole: facts and probes meet inside
-    (key, time bucket); what earlier buckets knew arrives as one carried row per bucket.
+
+def _pieces(df: DataFrame, keys: Sequence[str], at: str, bucket_seconds: int, piece_rows: int, cuts: int) -> DataFrame:
+    """Rows with `_bucket`, and `_piece`: never falls with time inside a bucket, 0 in all but overfull buckets.
+
+    A mergeable sketch of an overfull bucket's instants says where its pieces end, so a burst is spread over tasks
+    by rank, not by the clock. Rows of one instant lie in one piece.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    df = df.withColumn("_bucket", F.floor(micros / F.lit(bucket_seconds * 1_000_000)))
+    counted = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).drop("_n")
+    crowded = df.join(counted, [*keys, "_bucket"], "left_semi").groupBy(*keys, "_bucket").agg(
+        F.percentile_approx(micros, [k / (cuts + 1) for k in range(1, cuts + 1)], 10 * (cuts + 1)).alias("_cuts"))
+    marked = df.join(crowded, [*keys, "_bucket"], "left")
+    return marked.withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < micros)), F.lit(0))).drop("_cuts")
+
+
+def asof_latest(probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_ts: str, fact_ts: str, fields: Sequence[str],
+                tie: Sequence[str] = (), bucket_seconds: int = 3600, piece_rows: int = PIECE_ROWS, cuts: int = CUTS) -> DataFrame:
+    """For every probe, the newest fact of its key at or before the probe's instant; a null key knows nothing.
+
+    No key is gathered whole. Facts of one instant are reduced to the last of them and probes to their instants,
+    both before the shuffle. These meet inside (key, time bucket, piece), see `_pieces`; what earlier pieces
+    and buckets knew arrives as one carried row a piece: a prefix scan in segments.
     """
-    def bucket(c):
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000))
-
-    keys = list(keys)
-    payload = F.struct(F.col(fact_ts).alias("_t"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)],
-                       *[F.col(c).alias(c) for c in fields])
-    order = F.struct(F.col(fact_ts), *[F.col(c) for c in tie])
-    f = facts.withColumn("_bucket", bucket(fact_ts))
-    per_bucket = f.groupBy(*keys, "_bucket").agg(F.max_by(payload, order).alias("_carry"))
-    ids = probes.withColumn("_bucket", bucket(probe_ts))
-    # Last fact before each bucket that has probes: one row per (key, bucket), a short window.
-    marks = (
-        per_bucket.withColumn("_is_probe", F.lit(False))
-        .unionByName(ids.select(*keys, "_bucket").distinct().withColumn("_is_probe", F.lit(True)), allowMissingColumns=True)
-        .groupBy(*keys, "_bucket").agg(F.max("_carry").alias("_carry"), F.max("_is_probe").alias("_is_probe"))
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.withColumn("_carry", F.last("_carry", ignorenulls=True).over(before)).where("_is_probe").select(
-        *keys, "_bucket", "_carry")
-    # Inside the bucket.
-    cols = probes.columns
-    events = ids.withColumn("_at", F.col(probe_ts)).withColumn("_kind", F.lit(1)).unionByName(
-        f.select(*keys, "_bucket", F.col(fact_ts).alias("_at"), F.lit(0).alias("_kind"), payload.alias("_fact"),
-                 *[F.col(c).alias(f"_ord{i}") for i, c in enumerate(tie)]), allowMissingColumns=True)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(
-        "_at", "_kind", *[f"_ord{i}" for i in range(len(tie))]).rowsBetween(Window.unboundedPreceding, 0)
-    hit = events.withColumn("_fact", F.last("_fact", ignorenulls=True).over(within)).where("_kind = 1")
-    found = hit.join(carried, [*keys, "_bucket"], "left").withColumn("_hit", F.coalesce("_fact", "_carry"))
-    return found.select(*cols, F.col("_hit._t").alias(f"{fact_ts}_found"), *[F.col(f"_hit.{c}").alias(c) for c in fields])
+    keys, cols = list(keys), probes.columns
+    payload = F.struct(F.col(fact_ts).cast("timestamp").alias("_t"), *[F.col(c).alias(c) for c in fields])
+    order = F.struct(F.lit(0), *[F.col(c) for c in tie])
+    known = facts.withColumn("_at", F.col(fact_ts).cast("timestamp")).groupBy(*keys, "_at").agg(F.max_by(payload, order).alias("_fact"))
+    asked = probes.select(*keys, F.col(probe_ts).cast("timestamp").alias("_at")).distinct()
+    events = _pieces(known.unionByName(asked.withColumn("_asks", F.lit(True)), allowMissingColumns=True), keys, "_at", bucket_seconds, piece_rows, cuts)
+    place = ["_bucket", "_piece"]
+    # What each piece leaves behind, and so what the next one starts with: one row a piece.
+    ends = events.groupBy(*keys, *place).agg(F.expr("max_by(_fact, _at) FILTER (WHERE _fact IS NOT NULL)").alias("_end"))
+    before = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    # Of one instant the fact comes before the question.
+    within = Window.partitionBy(*keys, *place).orderBy("_at", F.col("_asks").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    told = events.withColumn("_fact", F.last("_fact", ignorenulls=True).over(within)).where("_asks").join(carried, [*keys, *place], "left")
+    hit = told.select(*keys, "_at", F.coalesce("_fact", "_carry").alias("_hit"))
+    found = probes.withColumn("_at", F.col(probe_ts).cast("timestamp")).join(hit, [*keys, "_at"], "left")
+    kind = dict(facts.dtypes)[fact_ts]
+    return found.select(*[found[c] for c in cols], F.col("_hit._t").cast(kind).alias(f"{fact_ts}_found"), *[F.col(f"_hit.{c}").alias(c) for c in fields])
 
 
 def changes_only(df: DataFrame, keys: Sequence[str], ts: str, fields: Sequence[str], tie: Sequence[str] = (),
-                 prior: DataFrame | None = None, bucket_seconds: int = 3600) -> DataFrame:
+                 bucket_seconds: int = 3600, piece_rows: int = PIECE_ROWS, cuts: int = CUTS) -> DataFrame:
     """Rows whose fields differ from their key's previous row (the first row of a key always counts).
 
-    Rows are compared inside (key, time bucket); a bucket's first row is compared with the last row of
-    the bucket before, one row per bucket.  `prior` holds each key's last row from earlier runs.
+    Rows are compared inside (key, time bucket, piece), see `_pieces`; a piece's first row is compared with the last
+    row of the piece before, one row a piece.
     """
     keys, fields = list(keys), list(fields)
-    state = F.struct(*fields)
-    d = df.withColumn("_b", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)))
-    w = Window.partitionBy(*keys, "_b").orderBy(ts, *tie)
+    state, place = F.struct(*fields), ["_bucket", "_piece"]
+    d = _pieces(df, keys, ts, bucket_seconds, piece_rows, cuts)
+    w = Window.partitionBy(*keys, *place).orderBy(ts, *tie)
     d = d.withColumn("_prev", F.lag(state).over(w))
-    ends = d.groupBy(*keys, "_b").agg(F.max_by(state, F.struct(ts, *tie)).alias("_end"))
-    if prior is not None:
-        ends = ends.unionByName(prior.select(*keys, F.lit(-(2 ** 62)).alias("_b"), state.alias("_end")))
-    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b"))).select(*keys, "_b", "_before")
-    joined = d.join(before, [*keys, "_b"], "left").withColumn("_prev", F.coalesce("_prev", "_before"))
+    ends = d.groupBy(*keys, *place).agg(F.max_by(state, F.struct(ts, *tie)).alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy(*place))).select(*keys, *place, "_before")
+    joined = d.join(before, [*keys, *place], "left").withColumn("_prev", F.coalesce("_prev", "_before"))
     return joined.where(F.col("_prev").isNull() | ~state.eqNullSafe(F.col("_prev"))).select(*df.columns)
