@@ -41,8 +41,8 @@ SCORE = 2_000_000
 SHADOW_PERCENT = 80
 MOST = 2000
 #: Bytes of text of a shard and of a prefix range; windows drawn for each range; most ranges.
-SHARD_BYTES = 12 << 20
-RANGE_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
+RANGE_BYTES = 8 << 20
 SAMPLES = 16
 MOST_RANGES = 1 << 16
 #: Shards and ranges that meet in one round of unions; shards of a task, about.
