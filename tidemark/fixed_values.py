@@ -171,6 +171,17 @@ GATE_VERSION = "trend-gate-1.0.0"
 GATE = {"adx": 22.0, "er": 0.35, "slope": 0.05, "breakout": 0.1, "retest": 0.25,
         "chase": 1.0, "quote_age_ms": 90_000, "min_bars": 280}
 GATE_ASSETS = ["BTC", "ETH", "XAU"]
+# Context labels, the assets that each speaks of, and how long a fact of it holds (ms).
+CONTEXT = {
+    "dollar": (("BTC", "ETH", "XAU"), 4 * 86_400_000),
+    "gold_future": (("XAU",), 4 * 86_400_000),
+    "etf_flow": (("BTC", "ETH"), 5 * 86_400_000),
+    "dealer_gamma": (("BTC", "ETH"), 8 * 3_600_000),
+    "sentiment": (("BTC", "ETH"), 2 * 86_400_000),
+    "mvrv": (("BTC",), 3 * 86_400_000),
+    "calendar": (("BTC", "ETH", "XAU"), 0),
+}
+DOLLAR_MOVE_PERCENT = 0.2
 
 # --- fixed values: flows, news, boards -------------------------------------------------------------
 FLOW_DAYS = 730

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
@@ -99,19 +99,86 @@ def fact_status(facts: DataFrame) -> DataFrame:
     return facts.withColumn("status", status).withColumn("bias", F.when(F.col("status") == "ok", F.col("bias")).otherwise(F.lit(0)))
 
 
-def dollar_bias(last: Column, previous: Column, at_least: float = 0.2) -> Column:
+def dollar_bias(last: Column, previous: Column, at_least: float = fv.DOLLAR_MOVE_PERCENT) -> Column:
     """A dollar move of a fifth of a percent or more weighs against the asset."""
     move = (last / F.nullif(previous, F.lit(0.0)) - 1) * 100
     return F.when(F.abs(move) >= at_least, -F.signum(move).cast("int")).otherwise(F.lit(0))
 
 
-def facts_as_known(probes: DataFrame, observations: DataFrame, keys=("asset", "label"), ttl_ms: int = 86_400_000) -> DataFrame:
-    """Context at each probe's `now`: the newest observation retrieved by then, with its status."""
+def context_spec(spark) -> DataFrame:
+    """(asset, label, ttl_ms): which facts an asset is judged with and how long they hold."""
+    rows = [(asset, label, ttl) for label, (assets, ttl) in fv.CONTEXT.items() for asset in assets]
+    return spark.createDataFrame(rows, "asset string, label string, ttl_ms long")
+
+
+def _observation(df: DataFrame, label: str, value: Column, bias: Column, asset: Column | None = None) -> DataFrame:
+    """Observations of one label; without an asset of their own they speak of every asset of the label."""
+    assets = F.array(*[F.lit(a) for a in fv.CONTEXT[label][0]])
+    named = df.withColumn("_asset", F.explode(assets)) if asset is None else df.withColumn("_asset", asset).where(F.array_contains(assets, F.col("_asset")))
+    return named.select(F.col("_asset").alias("asset"), F.lit(label).alias("label"), value.cast("double").alias("value"),
+                        F.col("observed").cast("timestamp").alias("observed"), F.col("fetched").cast("timestamp").alias("fetched"),
+                        F.coalesce(bias, F.lit(0)).cast("int").alias("bias"))
+
+
+def daily_closes(closes: DataFrame, code: str) -> DataFrame:
+    """A series' newest daily closes (code, observed, fetched, close), each with the close of the day before it."""
+    one = closes.where(F.col("code") == code)
+    return one.withColumn("previous", F.lag("close").over(Window.partitionBy("code").orderBy("observed")))
+
+
+def dollar_facts(closes: DataFrame) -> DataFrame:
+    """The dollar index: its move against the close before; without one there is no value."""
+    d = daily_closes(closes, "dxy")
+    known = F.col("previous").isNotNull() & (F.col("previous") != 0)
+    return _observation(d, "dollar", F.when(known, F.col("close")), dollar_bias(F.col("close"), F.col("previous")))
+
+
+def gold_facts(closes: DataFrame) -> DataFrame:
+    """The gold future as a reference only: it never weighs on a side."""
+    d = daily_closes(closes, "gold")
+    return _observation(d, "gold_future", F.when(F.col("previous").isNotNull() & (F.col("previous") != 0), F.col("close")), F.lit(0))
+
+
+def etf_facts(flows: DataFrame, days: int = 5) -> DataFrame:
+    """Published fund flows (asset, observed, fetched, net): the sum of the last days says the side, a zero is a value."""
+    last = Window.partitionBy("asset").orderBy("observed").rowsBetween(-(days - 1), 0)
+    f = flows.where(_finite(F.col("net"))).withColumn("_sum", F.sum("net").over(last))
+    return _observation(f, "etf_flow", F.col("_sum"), F.signum("_sum").cast("int"), F.col("asset"))
+
+
+def gamma_facts(surfaces: DataFrame) -> DataFrame:
+    """Net dealer gamma (asset, observed, contracts, net_gamma) where there are contracts; its sign is a model's assumption, so no side."""
+    s = surfaces.withColumn("fetched", F.col("observed"))
+    return _observation(s, "dealer_gamma", F.when(F.coalesce(F.col("contracts") > 0, F.lit(False)) & _finite(F.col("net_gamma")), F.col("net_gamma")), F.lit(0), F.col("asset"))
+
+
+def sentiment_facts(readings: DataFrame) -> DataFrame:
+    """Sentiment readings (observed, fetched, value)."""
+    return _observation(readings, "sentiment", F.when(_finite(F.col("value")), F.col("value")), F.lit(0))
+
+
+def mvrv_facts(readings: DataFrame) -> DataFrame:
+    """Valuation readings (observed, fetched, value)."""
+    return _observation(readings, "mvrv", F.col("value"), F.lit(0))
+
+
+def facts_as_known(probes: DataFrame, observations: DataFrame, keys=("asset", "label"), ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """Context at each probe's `now`: the newest observation retrieved by then, with its status.
+
+    With `ttl_ms` None the probes bring the time to live of their label.
+    """
     known = asof_latest(probes, observations, list(keys), "now", "fetched", ["value", "observed", "bias"], tie=["observed", "value"])
-    return fact_status(known.withColumnRenamed("fetched_found", "fetched").withColumn("ttl_ms", F.lit(ttl_ms)))
+    known = known.withColumnRenamed("fetched_found", "fetched")
+    return fact_status(known if ttl_ms is None else known.withColumn("ttl_ms", F.lit(ttl_ms)))
+
+
+def context_facts(instants: DataFrame, observations: DataFrame) -> DataFrame:
+    """Every fact of its asset's context at each instant (asset, now), also those that nobody has observed: they are missing."""
+    probes = instants.join(F.broadcast(context_spec(instants.sparkSession)), "asset")
+    return facts_as_known(probes, observations, ttl_ms=None)
 
 
 def counter_facts(verdict: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts that speak against a verdict's direction."""
-    return verdict.select("asset", "direction").join(facts.where("status = 'ok' AND bias <> 0"), "asset").where(
-        F.col("bias") == -F.col("direction"))
+    """Facts that speak against a verdict (asset, now, direction): sound ones with a side, the opposite one."""
+    spoken = facts.where("status = 'ok' AND bias <> 0").select("asset", "now", "label", "value", "bias")
+    return verdict.select("asset", "now", "direction").join(spoken, ["asset", "now"]).where(F.col("bias") == -F.col("direction"))
