@@ -74,5 +74,33 @@ def test_equal_hashes_of_other_windows_are_told_apart(monkeypatch):
     strings = [b" ".join(b"a%d" % (k % 5 + j) for j in range(15)) for k in range(9)]
     docs = np.arange(9)
     want = [x.tolist() for x in substring._removed_here(b"\n".join(strings), docs)]
-    monkeypatch.setattr(substring.ByteHash, "of", lambda self, a, b: np.zeros(len(a), np.uint64))
+    monkeypatch.setattr(substring, "_word_hashes", lambda codes, a, b: np.zeros(len(a), np.uint64))
     assert [x.tolist() for x in substring._removed_here(b"\n".join(strings), docs)] == want
+
+
+def test_copies_of_one_row_are_decided_once(spark):
+    line = " ".join(f"w{k}" for k in range(30))
+    rows = [(5, line)] * 5000 + [(3, "x " + line)] + [(9, line + " y")] * 3
+    out = substring.digests(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    assert sorted(repr(tuple(r)) for r in out.collect()) == plain(rows)
+
+
+def test_a_hot_passage_in_falling_order_travels_once_a_slice(spark):
+    line = " ".join(f"w{k}" for k in range(20))
+    rows = [(k, f"a{k} {line} b{k}") for k in range(3000, 0, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    named = docs.withColumn("sig", substring.F.xxhash64("text"))
+    sent = substring._send(named, 4, np.zeros(0, np.int64))
+    # Windows that begin in the middle of the passage are the same in all rows.
+    assert sent.where("size > 0").agg(substring.F.sum("rows")).first()[0] < 2 * len(rows) + 50
+    out = substring.digests(substring.deduplicate(docs))
+    assert sorted(repr(tuple(r)) for r in out.collect()) == plain(rows)
+
+
+def test_buckets_sort_their_windows_in_parts(monkeypatch):
+    texts = [t.encode() for _, t in corpus(4) if len(words(t)) > 12]
+    strings, docs = b"\n".join(b" ".join(t.split()) for t in texts), np.arange(len(texts))[::-1].copy()
+    want = [x.tolist() for x in substring._removed_here(strings, docs)]
+    monkeypatch.setattr(substring, "SORTED", 50)
+    monkeypatch.setattr(substring, "_HASHED", 40)
+    assert [x.tolist() for x in substring._removed_here(strings, docs)] == want and want[0]

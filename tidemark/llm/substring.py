@@ -6,10 +6,12 @@ all windows are written out and sorted, so that equal windows are neighbours: wi
 exactly, equal hashes are confirmed by their bytes. A word goes if a window that covers it also
 starts in a document with a smaller doc_id.
 
-Skew. A packed string that a task has seen in a smaller document is decided where it lies and does
-not travel, so a passage of a third of all documents is sent about once a task. A count of packed
-strings by bucket runs first; buckets of more than OVERFULL times the mean (a phrase of a few words
-in ever other surroundings) are dealt out again window by window, by the hash of the whole window.
+Skew. A packed string that its slice, or the task before, holds in a smaller document is decided where
+it lies and does not travel, so a passage of a third of all documents is sent at most once a slice, in
+whatever order the documents come. A row that repeats another is sent once a task and its ranges are
+made distinct before they go back. A count of packed strings by bucket runs first; buckets of more
+than OVERFULL times the mean (a phrase of a few words in ever other surroundings) are dealt out again
+window by window, by the hash of the whole window. A bucket sorts its windows in parts of bounded size.
 
 Defined results: null and empty texts have no words; a document with a null doc_id keeps all its
 words and removes none elsewhere; rows that repeat a doc_id are documents of their own that remove
@@ -29,16 +31,30 @@ from tidemark.llm.common import ByteHash, Words, grams, slices, sliding_min, utf
 
 WINDOW = 13
 GRAM = 2
-#: Bytes of text for each bucket, and least number of buckets.
-BUCKET_BYTES = 4 << 20
-LEAST_BUCKETS = 512
-OVERFULL = 4
-#: Packed strings that a task remembers to decide copies on the spot; emptied when full.
-REMEMBERED = 150_000
+#: Bytes of text for each bucket; windows that a bucket sorts at once.
+BUCKET_BYTES = 8 << 20
+OVERFULL = 3
+SORTED = 1 << 20
+#: Bytes of packed strings, and rows, that a task remembers to decide copies on the spot; emptied when full.
+REMEMBERED_BYTES = 12 << 20
+REMEMBERED_ROWS = 100_000
 _CODEC = "zstd"
 _LEVEL = 5
-#: Bytes of text whose packed strings travel together: larger parts compress better.
-SENT_BYTES = 3_500_000
+#: Bytes of text whose packed strings travel together: larger parts compress better. Bytes hashed at once.
+SENT_BYTES = 4_000_000
+_HASHED = 1_000_000
+
+
+def _word_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """ByteHash of the words of a buffer, computed part by part: its tables take many times the bytes of a part."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        until = max(at + 1, int(np.searchsorted(end, start[at] + _HASHED, "right")))
+        base, to = int(start[at]), int(end[until - 1])
+        out[at:until] = ByteHash(codes[base:to]).of(start[at:until] - base, end[at:until] - base)
+        at = until
+    return out
 
 
 class _Runs:
@@ -46,7 +62,8 @@ class _Runs:
 
     def __init__(self, texts: list[bytes], buckets: int, overfull: np.ndarray | None):
         self.words = words = Words(texts)
-        least = sliding_min(grams(words.hashes(), GRAM), WINDOW - GRAM + 1)
+        hashes = _word_hashes(words.codes, words.start, words.end)
+        least = sliding_min(grams(hashes, GRAM), WINDOW - GRAM + 1)
         window = np.flatnonzero(words.has_window(WINDOW)[: len(least)])
         least = least[window]
         if not len(window):
@@ -60,7 +77,7 @@ class _Runs:
             split = np.isin(self.bucket, overfull)
             size = (self.last - self.first + 1)[split]
             single = np.repeat(self.first[split] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            alone = ByteHash(words.codes).of(words.start[single], words.end[single + WINDOW - 1])
+            alone = grams(hashes, WINDOW)[single]
             self.first = np.concatenate([self.first[~split], single])
             self.last = np.concatenate([self.last[~split], single])
             self.bucket = np.concatenate([self.bucket[~split], _bucket(alone, buckets)])
@@ -70,17 +87,23 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _texts(part: pa.RecordBatch) -> list[bytes]:
-    """Texts that take part; that of a null doc_id counts as empty."""
-    return [t if i is not None else b"" for i, t in zip(part.column("doc_id").to_pylist(), utf8(part.column("text")), strict=True)]
+def _texts(part: pa.RecordBatch, known: set[tuple[int, int]]) -> list[bytes]:
+    """Texts that take part: that of a null doc_id, and of a row that the task has had before, counts as empty."""
+    if len(known) > REMEMBERED_ROWS:
+        known.clear()
+    rows = zip(part.column("doc_id").to_pylist(), part.column("sig").to_pylist(), strict=True)
+    # set.add gives None: a name is taken once.
+    fresh = [i is not None and (i, sig) not in known and known.add((i, sig)) is None for i, sig in rows]
+    return [t if f else b"" for f, t in zip(fresh, utf8(part.column("text")), strict=True)]
 
 
 def _overfull(named: DataFrame, buckets: int) -> np.ndarray:
     """Buckets with more than OVERFULL times the mean number of packed strings: at most 1 / OVERFULL of all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int]] = set()
         for part in slices(batches):
-            bucket, n = np.unique(_Runs(_texts(part), buckets, None).bucket, return_counts=True)
+            bucket, n = np.unique(_Runs(_texts(part, known), buckets, None).bucket, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
 
     counts = named.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -99,7 +122,7 @@ def _unpacked(data: bytes, size: int) -> bytes:
 
 
 _SENT = "bucket int, rows int, size int, texts binary, doc_ids binary, sigs binary, places binary, lengths binary"
-_REMOVED = "doc_id long, sig int, place int, n int"
+_REMOVED = "doc_id long, sig long, place int, n int"
 
 
 def _send(named: DataFrame, buckets: int, overfull: np.ndarray) -> DataFrame:
@@ -107,35 +130,39 @@ def _send(named: DataFrame, buckets: int, overfull: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        held = 0
+        known: set[tuple[int, int]] = set()
         for number, part in enumerate(slices(batches, most=SENT_BYTES)):
-            runs = _Runs(_texts(part), buckets, overfull)
+            runs = _Runs(_texts(part, known), buckets, overfull)
             words = runs.words
             if not len(runs.first):
                 continue
-            if len(seen) > REMEMBERED:
-                seen.clear()
             order = np.argsort(runs.bucket, kind="stable")
             first, last, bucket = runs.first[order], runs.last[order], runs.bucket[order]
             text = words.text[first]
             doc_id = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)[text]
             sig = part.column("sig").to_numpy()[text]
             place, length = words.place[first].astype(np.int32), (last - first + WINDOW).astype(np.int32)
-            strings, travels = [], np.ones(len(first), bool)
             begin, end = words.start[first].tolist(), words.end[last + WINDOW - 1].tolist()
-            for k, (a, b, doc) in enumerate(zip(begin, end, doc_id.tolist(), strict=True)):
-                string = words.data[a:b]
-                known = seen.get(string)
-                if known is None or doc < known:
+            strings = [words.data[a:b] for a, b in zip(begin, end, strict=True)]
+            # The least document of every string, in this slice and in what the task remembers.
+            docs = doc_id.tolist()
+            for string, doc in zip(strings, docs, strict=True):
+                least = seen.get(string)
+                if least is None:
+                    held += len(string)
+                if least is None or doc < least:
                     seen[string] = doc
-                elif doc > known:
-                    travels[k] = False
-                    continue
-                strings.append(string)
+            travels = np.fromiter((seen[string] >= doc for string, doc in zip(strings, docs, strict=True)), bool, len(docs))
+            if held > REMEMBERED_BYTES:
+                seen.clear()
+                held = 0
             rows = []
             own = np.flatnonzero(travels)
             name, at = np.unique(bucket[own], return_index=True)
             for b, i, j in zip(name.tolist(), at.tolist(), [*at[1:].tolist(), len(own)], strict=True):
-                mine, joined = own[i:j], b"\n".join(strings[i:j])
+                mine = own[i:j]
+                joined = b"\n".join([strings[k] for k in mine.tolist()])
                 rows.append((b, len(mine), len(joined), *_packed([joined, doc_id[mine], sig[mine], place[mine]]), None))
             done = np.flatnonzero(~travels)
             if len(done):
@@ -154,30 +181,44 @@ class _Bucket:
 
     def __init__(self, strings: bytes):
         self.codes = codes = np.frombuffer(strings, np.uint8)
-        gaps = np.flatnonzero((codes == 32) | (codes == 10))
-        start, end = np.append(0, gaps + 1), np.append(gaps, len(codes))
-        string = np.append(0, np.cumsum(codes[gaps] == 10))
+        gaps = np.flatnonzero((codes == 32) | (codes == 10)).astype(np.int32)
+        start, end = np.append(np.int32(0), gaps + np.int32(1)), np.append(gaps, np.int32(len(codes)))
+        string = np.append(0, np.cumsum(codes[gaps] == 10)).astype(np.int32)
         window = np.flatnonzero(string[: len(string) - WINDOW + 1] == string[WINDOW - 1 :])
+        self.name = grams(_word_hashes(codes, start, end), WINDOW)[window]
         self.string = string[window]
         self.start, self.end = start[window], end[window + WINDOW - 1]
-        first = np.searchsorted(self.string, self.string, "left")
-        self.offset = np.arange(len(window)) - first
-
-    def groups(self) -> np.ndarray:
-        """A number for each window, equal for equal windows only."""
-        name = ByteHash(self.codes).of(self.start, self.end)
+        first = np.searchsorted(self.string, self.string, "left").astype(np.int32)
+        self.offset = np.arange(len(window), dtype=np.int32) - first
+
+    def gone(self, doc: np.ndarray) -> np.ndarray:
+        """Windows that occur in a smaller document too, in order; equal windows lie in one part, parts are sorted one by one."""
+        parts = len(self.name) // SORTED + 1
+        share = (self.name >> np.uint64(5)) % np.uint64(parts) if parts > 1 else None
+        out = []
+        for k in range(parts):
+            at = np.arange(len(self.name)) if share is None else np.flatnonzero(share == np.uint64(k))
+            group = self.groups(at)
+            least = np.full(int(group.max(initial=0)) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, doc[self.string[at]])
+            out.append(at[doc[self.string[at]] > least[group]])
+        return np.sort(np.concatenate(out))
+
+    def groups(self, at: np.ndarray) -> np.ndarray:
+        """A number for each of some windows, equal for equal windows only."""
+        name = self.name[at]
         order = np.argsort(name, kind="stable")
         ordered = name[order]
-        fresh = np.append(True, ordered[1:] != ordered[:-1])
+        fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(name)]
         group = np.empty(len(name), np.int64)
         group[order] = np.cumsum(fresh) - 1
         leader = order[np.flatnonzero(fresh)][group]
-        wrong = group[~self._same(np.arange(len(name)), leader)]
+        wrong = group[~self._same(at, at[leader])]
         if len(wrong):  # other windows with the same hash: name these groups by their bytes
             known: dict[bytes, int] = {}
             data, base = self.codes.tobytes(), len(name)
             for k in np.flatnonzero(np.isin(group, wrong)).tolist():
-                group[k] = base + known.setdefault(data[self.start[k] : self.end[k]], len(known))
+                group[k] = base + known.setdefault(data[self.start[at[k]] : self.end[at[k]]], len(known))
         return group
 
     def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,11 +238,7 @@ class _Bucket:
 def _removed_here(strings: bytes, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first word in it, words) of the ranges whose windows start in a smaller document too."""
     bucket = _Bucket(strings)
-    group = bucket.groups()
-    doc = doc_id[bucket.string]
-    least = np.full(int(group.max(initial=0)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, doc)
-    gone = np.flatnonzero(doc > least[group])
+    gone = bucket.gone(doc_id)
     if not len(gone):
         return gone, gone, gone
     string, offset = bucket.string[gone], bucket.offset[gone]
@@ -216,7 +253,7 @@ def _meet(table: pa.Table) -> pa.Table:
     for row in table.to_pylist():
         n = row["rows"]
         doc_id = np.frombuffer(_unpacked(row["doc_ids"], 8 * n), np.int64)
-        sig, place = (np.frombuffer(_unpacked(row[c], 4 * n), np.int32) for c in ("sigs", "places"))
+        sig, place = np.frombuffer(_unpacked(row["sigs"], 8 * n), np.int64), np.frombuffer(_unpacked(row["places"], 4 * n), np.int32)
         if row["texts"] is None:
             out.append((doc_id, sig, place, np.frombuffer(_unpacked(row["lengths"], 4 * n), np.int32)))
         else:
@@ -227,13 +264,13 @@ def _meet(table: pa.Table) -> pa.Table:
         string, first, n = _removed_here(b"\n".join(strings), doc_id)
         out.append((doc_id[string], sig[string], place[string] + first, n))
     columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-    return pa.table([pa.array(columns[0]), *[pa.array(c.astype(np.int32)) for c in columns[1:]]], ["doc_id", "sig", "place", "n"])
+    return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["doc_id", "sig", "place", "n"])
 
 
 def repeated_ranges(named: DataFrame) -> DataFrame:
     """(doc_id, sig, text) -> (doc_id, sig, place, n): ranges of words that a smaller document has too."""
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, int(size // BUCKET_BYTES))
+    buckets = int(size // BUCKET_BYTES) + 1
     return _send(named, buckets, _overfull(named, buckets)).groupBy("bucket").applyInArrow(_meet, _REMOVED)
 
 
@@ -258,11 +295,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_words, n_removed, kept): the words that stay, joined by one blank.
 
-    Rows are named by doc_id and a hash of the text, so rows that repeat a doc_id keep their own ranges.
+    Rows are named by doc_id and a 64-bit hash of the text, so rows that repeat a doc_id keep their own ranges.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = named.withColumn("sig", F.hash("text"))
-    ranges = repeated_ranges(named).groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "n")).alias("ranges"))
+    named = named.withColumn("sig", F.xxhash64("text"))
+    ranges = repeated_ranges(named).groupBy("doc_id", "sig").agg(F.collect_set(F.struct("place", "n")).alias("ranges"))
     joined = named.join(ranges, ["doc_id", "sig"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
