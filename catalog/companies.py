@@ -9,6 +9,7 @@ from catalog.registry import ORACLE, query
 from tidemark.functions.numeric import rnd
 from tidemark.functions.text import normalise, slug, street_key
 from tidemark.operators.phrases import phrase_hits
+from tidemark.session import spread
 from tidemark.plans import dossier, news
 
 # Articles: first line is the headline, some also name a code. Each document's first line names a
@@ -76,7 +77,7 @@ def q_link_counts(spark, sf):
 p AS (SELECT DISTINCT {_NORM.format('text')} AS phrase FROM benchmark)
 SELECT doc_id, phrase FROM nx JOIN p ON length(phrase) >= 5 AND contains(nt, ' ' || phrase || ' ')""")
 def q_phrases(spark, sf):
-    docs = ad.table(spark, sf, "documents").select("doc_id", normalise("text").alias("t"))
+    docs = spread(ad.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", normalise("text").alias("t"))
     p = ad.table(spark, sf, "benchmark").select(normalise("text").alias("phrase"))
     return phrase_hits(docs, ["doc_id"], "t", p)
 

@@ -1,45 +1,104 @@
 """Which dictionary phrases occur in which texts, as an equality join.
 
-A phrase can only occur where its first words do.  Texts are expanded to their distinct runs of one to
-three words, joined by equality with each phrase's opening run, and only those pairs are checked in
-full.  Whole texts are read; nothing compares every text with every phrase.
+Every phrase has an anchor: of its runs of up to three words the one that the fewest phrases of the dictionary
+hold. A filter of fixed size says which words begin an anchor and which runs may be one, so a text gives only
+its runs that the filter lets through, each with up to CONTEXT words to both sides. These rows meet the
+dictionary by anchor and are checked where they are; only pairs of a phrase that is longer than that, and
+agrees with all the words around the anchor, are checked against the whole text. Nothing compares every text
+with every phrase, and no other run is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import col
 from tidemark.functions.text import contains_phrase
+from tidemark.session import written
 
 ANCHOR_WORDS = 3
+#: Words that a run carries to both sides.
+CONTEXT = 32
+#: Shortest phrase that counts, in characters.
+LEAST_CHARS = 5
+#: Bits of a membership filter: 16 KiB, whatever the size of the dictionary. A full filter lets more runs through, never fewer.
+FILTER_BITS = 1 << 17
 
 
-def anchor(phrase) -> Column:
-    return F.array_join(F.slice(F.split(col(phrase), " "), 1, ANCHOR_WORDS), " ")
+def membership(values: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that holds for every value of a column, and for few others."""
+    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = values.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bits = [0] * (FILTER_BITS // 64)
+    for row in words.collect():  # at most FILTER_BITS / 64 rows
+        bits[row["word"]] = row["bits"]
+    # A constant, so that it is folded once and not carried by rows.
+    known = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
 
+    def holds(value: Column) -> Column:
+        at = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
+        return F.getbit(F.element_at(known, (F.floor(at / 64) + 1).cast("int")), at % 64) == 1
 
-def word_runs(text) -> Column:
-    """Distinct runs of one, two and three words of a normalised text."""
-    words = F.split(col(text), " ")
+    return holds
 
-    def shifted(n):
-        return F.slice(words, 1 + n, F.greatest(F.size(words) - n, F.lit(0)))
 
-    pairs = F.slice(F.zip_with(words, shifted(1), lambda a, b: F.concat_ws(" ", a, b)), 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    triples = F.slice(F.zip_with(F.zip_with(words, shifted(1), lambda a, b: F.concat_ws(" ", a, b)), shifted(2),
-                                 lambda a, b: F.concat_ws(" ", a, b)), 1, F.greatest(F.size(words) - 2, F.lit(0)))
-    return F.array_distinct(F.concat(words, pairs, triples))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once: inside a lambda an expression is worked out again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def anchored(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """(phrase, anchor, local, whole): the rarest run of each phrase, the phrase's words around it, and whether these are all."""
+
+    def runs(words: Column) -> Column:
+        width = F.least(F.size(words), F.lit(ANCHOR_WORDS))
+        return F.transform(F.sequence(F.lit(1), F.size(words) - width + 1),
+                           lambda i: F.struct(F.array_join(F.slice(words, i, width), " ").alias("run"), i.alias("at")))
+
+    words = F.split(col(phrase), " ")
+    size = F.size(words)
+    each = phrases.select(phrase, F.explode(bound(words, runs)).alias("r")).select(phrase, "r.run", "r.at")
+    counted = each.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(phrase).orderBy("n", "at")
+    rarest = each.join(counted, "run").withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    first = F.greatest(F.col("at") - CONTEXT, F.lit(1))
+    last = F.least(F.col("at") + CONTEXT, size)
+    return rarest.select(phrase, F.col("run").alias("anchor"), F.array_join(F.slice(words, first, last - first + 1), " ").alias("local"),
+                         ((first == 1) & (last == size)).alias("whole"))
 
 
 def phrase_hits(texts: DataFrame, keys: Sequence[str], text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """Distinct (text keys, phrase) pairs where the phrase stands at token boundaries."""
-    # Candidates meet their texts by key below, so texts are dealt by it once, before they are expanded.
-    texts = texts.select(*keys, text).repartition(*keys)
-    known = phrases.select(phrase).where(F.length(phrase) >= 5).distinct().withColumn("_anchor", anchor(phrase))
-    runs = texts.select(*keys, F.explode(word_runs(text)).alias("_anchor"))
-    possible = runs.join(known, "_anchor").select(*keys, phrase).distinct()
-    return possible.join(texts.select(*keys, text), list(keys)).where(contains_phrase(text, phrase)).select(*keys, phrase)
+    # Written once: the filters and both joins read it.
+    known = written(anchored(phrases.select(phrase).where(F.length(phrase) >= LEAST_CHARS).distinct(), phrase))
+    begins = membership(known.select(F.split("anchor", " ")[0].alias("word")), "word")
+    is_anchor = membership(known, "anchor")
+
+    def runs(words: Column) -> Column:
+        size = F.size(words)
+
+        def run(i: Column, n: Column) -> Column:
+            return F.array_join(F.slice(words, i, n), " ")
+
+        def around(i: Column) -> Column:
+            first = F.greatest(i - CONTEXT, F.lit(1))
+            return F.array_join(F.slice(words, first, i - first + CONTEXT + 1), " ")
+
+        def found(i: Column) -> Column:
+            lengths = F.array(*[F.lit(n) for n in range(1, ANCHOR_WORDS + 1)])
+            fitting = F.filter(lengths, lambda n: (i + n - 1 <= size) & is_anchor(run(i, n)))
+            return F.transform(fitting, lambda n: F.struct(run(i, n).alias("anchor"), around(i).alias("around")))
+
+        starts = F.filter(F.sequence(F.lit(1), size), lambda i: begins(F.element_at(words, i)))
+        return F.array_distinct(F.flatten(F.transform(starts, found)))
+
+    rows = texts.where(F.length(text) > 0).select(*keys, F.explode(bound(F.split(col(text), " "), runs)).alias("_run"))
+    rows = rows.select(*keys, F.col("_run.anchor").alias("_anchor"), F.col("_run.around").alias("_around"))
+    possible = rows.join(known.select(phrase, "local", "whole", F.col("anchor").alias("_anchor")), "_anchor").where(contains_phrase("_around", "local"))
+    pairs = possible.select(*keys, phrase, "whole").distinct()
+    longer = pairs.where(~F.col("whole")).join(texts.select(*keys, F.col(text).alias("_whole_text")), list(keys)).where(contains_phrase("_whole_text", phrase))
+    return pairs.where("whole").select(*keys, phrase).unionByName(longer.select(*keys, phrase).distinct())

@@ -11,6 +11,7 @@ from tidemark import fixed_values as fv
 from tidemark.functions.text import before_related_list, company_phrase, contains_phrase, normalise
 from tidemark.operators.phrases import phrase_hits
 from tidemark.operators.pit import latest, top_k
+from tidemark.session import spread, written
 
 METHODS = ("name", "alias", "symbol")        # in order of trust
 
@@ -46,15 +47,16 @@ def link_articles(articles: DataFrame, listings: DataFrame, aliases: DataFrame |
 
     `articles`: url, title, body and whatever else is to be carried along.
     """
-    # Every join below is by url: articles are dealt by it once, and folded where they then lie.
-    dealt = articles.where("url <> '' AND trim(title) <> ''").repartition("url")
-    a = article_text(dealt, detail_chars).where("_norm <> ''")
+    # Folding a text costs more than reading it: the folded texts are written once and read by the three searches.
+    a = written(article_text(spread(articles.where("url <> '' AND trim(title) <> ''")), detail_chars).where("_norm <> ''").select(
+        "url", F.upper("title").alias("_upper"), "_title", "_text", "_norm"))
     phrases = dictionary(listings, aliases)
-    found = phrase_hits(a, ["url"], "_norm", phrases).join(phrases, "phrase").join(a.select("url", "_title"), "url").select(
+    # The headline goes with the hits: it is short, and so no text is met twice.
+    found = phrase_hits(a, ["url", "_title"], "_norm", phrases).join(phrases, "phrase").select(
         "url", "symbol", "priority", contains_phrase("_title", "phrase").alias("titled"))
     codes = listings.where((F.length("symbol") >= 3) & ~F.col("symbol").isin(fv.SYMBOL_BLOCKLIST)).select(
         "symbol", F.upper("symbol").alias("_code")).distinct()
-    title_words = F.split(F.upper("title"), r"[^\p{L}\p{N}_]+")
+    title_words = F.split("_upper", r"[^\p{L}\p{N}_]+")
     by_code = a.select("url", title_words.alias("_words"), F.explode(F.array_distinct(context_codes(F.col("_text")))).alias("_code")).join(
         codes, "_code").select("url", "symbol", F.lit(3).alias("priority"), F.array_contains("_words", F.col("_code")).alias("titled"))
     best = found.unionByName(by_code).groupBy("url", "symbol").agg(

@@ -64,3 +64,9 @@ def written(df: DataFrame) -> DataFrame:
     no executor, and removed when no frame refers to them any more (spark.cleaner.referenceTracking.cleanCheckpoints)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For heavy work on rows: a table that lies in fewer pieces than there are cores is dealt out to all of them first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
