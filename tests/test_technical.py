@@ -104,3 +104,39 @@ def test_book_without_a_crossing_has_no_flip(spark):
 def test_short_series_are_folded_when_the_minimum_allows(spark, n):
     f = technical.features(spark.createDataFrame(rows(n), COLS), NOW, min_bars=20).first()
     assert f["count"] == n and f.direction in (0, 1) and (n < 21 or f.width_pct is not None)
+
+
+def test_flip_is_that_of_forty_halvings_with_few_valuations(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    books = {f"s{n}": (spot, [(spot * rng.uniform(0.8, 1.2), rng.choice("CP"), rng.uniform(1, 50), rng.uniform(0.3, 0.9), rng.uniform(0.5, 40)) for _ in range(rng.choice([2, 5, 30]))])
+             for n, spot in enumerate([100.0, 64000.0, 3000.0, 1.0] * 5)}
+
+    def value(spot, book, price):
+        total = 0.0
+        for strike, kind, oi, iv, days in book:
+            t = days / gamma.YEAR_DAYS
+            d1 = (math.log(price / strike) + iv * iv / 2 * t) / (iv * math.sqrt(t))
+            g = math.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi) / (price * iv * math.sqrt(t))
+            total += g * oi * price * price * 0.01 * (1 if kind == "C" else -1)
+        return total
+
+    want = {}
+    for name, (spot, book) in books.items():
+        lo, hi = spot * fv.FLIP_BAND[0], spot * fv.FLIP_BAND[1]
+        low = value(spot, book, lo) < 0
+        want[name] = None
+        if low != (value(spot, book, hi) < 0):
+            for _ in range(fv.FLIP_STEPS):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (value(spot, book, mid) < 0) == low else (lo, mid)
+            want[name] = (lo + hi) / 2
+    rows = [(n, spot, *c) for n, (spot, book) in books.items() for c in book]
+    chain = spark.createDataFrame(rows, "snapshot string, spot double, strike double, kind string, oi double, iv double, days double")
+    got = {r.snapshot: r.gamma_flip for r in gamma.gamma_flip(chain).collect()}
+    assert set(got) == set(want) and sum(v is not None for v in want.values()) > 5
+    assert all((got[n] is None) == (w is None) and (w is None or abs(got[n] - w) < 0.0051) for n, w in want.items())
+    # Two ends, two rounds of halvings, two rounds around the interpolated zero.
+    assert 2 + sum(2 ** n - 1 for n in gamma.FLIP_LEVELS) + 2 * (2 * len(gamma.FLIP_OFFSETS) + 2) <= 150

@@ -13,6 +13,7 @@ from tidemark.functions import parsing
 from tidemark.functions.numeric import ratio, rnd
 from tidemark.functions.options_math import YEAR_DAYS, expected_move, greeks, touch_probability
 from tidemark.operators.pit import latest, top_k
+from tidemark.session import written
 
 KEY = "snapshot"
 
@@ -89,43 +90,79 @@ def max_pain(strikes: DataFrame) -> DataFrame:
     return strikes.withColumn("pain", rnd(pain, 4)).groupBy(KEY).agg(F.min_by("strike", F.struct("pain", "strike")).alias("max_pain"))
 
 
-def gamma_flip(chain: DataFrame, band=fv.FLIP_BAND, steps: int = fv.FLIP_STEPS, levels: int = 8) -> DataFrame:
+#: Halvings of the first two rounds, and the width (of the spot price) at which a bracket is narrow enough.
+FLIP_LEVELS, FLIP_WIDTH = (6, 4), 1e-9
+#: Later rounds look at the interpolated zero and at these parts of the bracket's width to both sides of it.
+FLIP_OFFSETS = tuple(4.0 ** -k for k in range(1, 8))
+
+
+def gamma_flip(chain: DataFrame, band=fv.FLIP_BAND, most_rounds: int = 12) -> DataFrame:
     """Price at which the whole book's signed gamma changes sign, NULL without a change inside the band.
 
-    Bisection by `levels` halvings at a time: each round revalues the book on the inner points of the
-    current bracket with one partially aggregated sum per (snapshot, point), so a snapshot holding a
-    large part of all contracts is never gathered; then it walks the halvings over the signs.
+    Each round revalues the book at a few prices of the current bracket with one partially aggregated sum per
+    (snapshot, price), so a snapshot holding a large part of all contracts is never gathered, and keeps a bracket
+    with a change of sign. The first rounds are halvings (so of several changes it is the one that bisection
+    finds); then the zero of the line between the bracket's ends is tried with prices ever closer to it on both
+    sides, which narrows the bracket by orders of magnitude and by half at least (the middle is tried too). 112 valuations of a contract
+    where the curve is smooth; only snapshots whose bracket is still too wide get more.
     """
     book = chain.groupBy(KEY, "spot", "strike", "kind", "iv", "days").agg(F.sum("oi").alias("oi"))
     years = F.col("days") / YEAR_DAYS
 
-    def book_value(rows: DataFrame, extra: list[str]) -> DataFrame:
+    def values_at(bracket: DataFrame, prices: Column) -> DataFrame:
+        """The brackets with the book's value at the given prices of each, as a sorted list of (price, value)."""
+        own = [c for c in bracket.columns if c != KEY]
+        points = book.drop("spot").join(bracket.select("*", F.explode(prices).alias("_price")), KEY)
         gamma = greeks("_price", "strike", years, "iv")["gamma"]
         v = gamma * F.col("oi") * F.col("_price") * F.col("_price") * 0.01 * sign()
-        return rows.groupBy(KEY, *extra).agg(F.sum(v).alias("_g"))
-
-    lo, hi = F.col("spot") * band[0], F.col("spot") * band[1]
-    edges = book.withColumn("_e", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_price", F.when(F.col("_e") == 0, lo).otherwise(hi))
-    ends = book_value(edges, ["spot", "_e"]).groupBy(KEY, "spot").agg(
-        F.max(F.when(F.col("_e") == 0, F.col("_g") < 0)).alias("_neg"), F.max(F.when(F.col("_e") == 1, F.col("_g") < 0)).alias("_neg_hi"))
-    bracket = ends.where("_neg <> _neg_hi").select(KEY, lo.alias("_lo"), hi.alias("_hi"), "_neg")
-    done = 0
-    while done < steps:
-        n = min(levels, steps - done)
-        parts = 2 ** n
-        points = book.select(KEY, "strike", "kind", "iv", "days", "oi").join(bracket, KEY).withColumn(
-            "_j", F.explode(F.sequence(F.lit(1), F.lit(parts - 1)))).withColumn(
-            "_price", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_j") / F.lit(float(parts)))
-        same = book_value(points, ["_lo", "_hi", "_neg", "_j"]).groupBy(KEY, "_lo", "_hi", "_neg").agg(
-            F.collect_set(F.when((F.col("_g") < 0) == F.col("_neg"), F.col("_j"))).alias("_same"))
-        halves = F.array(*[F.lit(2 ** i) for i in range(n - 1, -1, -1)])
-        at = F.aggregate(halves, F.lit(0), lambda a, h: F.when(F.array_contains(F.col("_same"), a + h), a + h).otherwise(a))
-        step = same.withColumn("_at", at)
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(parts))
-        bracket = step.select(KEY, (F.col("_lo") + width * F.col("_at")).alias("_lo"), (F.col("_lo") + width * (F.col("_at") + 1)).alias("_hi"), "_neg")
-        done += n
-    found = bracket.select(KEY, rnd((F.col("_lo") + F.col("_hi")) / 2, 2).alias("gamma_flip"))
-    return ends.select(KEY).join(found, KEY, "left")
+        sums = points.groupBy(KEY, *own, "_price").agg(F.sum(v).alias("_g"))
+        return sums.groupBy(KEY, *own).agg(F.array_sort(F.collect_list(F.struct(F.col("_price").alias("p"), F.col("_g").alias("g")))).alias("_at"))
+
+    def ends_of(bracket: DataFrame, lower: Column, upper: Column) -> DataFrame:
+        return bracket.select(KEY, "spot", lower["p"].alias("_lo"), lower["g"].alias("_glo"), upper["p"].alias("_hi"), upper["g"].alias("_ghi"))
+
+    edges = chain.groupBy(KEY).agg(F.first("spot").alias("spot"))
+    first = F.array(F.col("spot") * band[0], F.col("spot") * band[1])
+    ends = values_at(edges, first)
+    bracket = ends_of(ends.where((F.col("_at")[0]["g"] < 0) != (F.col("_at")[1]["g"] < 0)), F.col("_at")[0], F.col("_at")[1])
+    low_point = F.struct(F.col("_lo").alias("p"), F.col("_glo").alias("g"))
+    high_point = F.struct(F.col("_hi").alias("p"), F.col("_ghi").alias("g"))
+    width = F.col("_hi") - F.col("_lo")
+
+    for levels in FLIP_LEVELS:
+        parts = 2 ** levels
+        inner = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda j: F.col("_lo") + width * j / F.lit(float(parts)))
+        known = values_at(bracket, inner).withColumn("_all", F.concat(F.array(low_point), F.col("_at"), F.array(high_point)))
+        halves = F.array(*[F.lit(2 ** i) for i in range(levels - 1, -1, -1)])
+        same = lambda k: (F.get(F.col("_all"), k)["g"] < 0) == (F.col("_glo") < 0)
+        known = known.withColumn("_k", F.aggregate(halves, F.lit(0), lambda k, h: F.when(same(k + h), k + h).otherwise(k)))
+        bracket = ends_of(known, F.get("_all", F.col("_k")), F.get("_all", F.col("_k") + 1))
+
+    def narrowed(bracket: DataFrame) -> DataFrame:
+        zero = F.col("_lo") - F.col("_glo") * width / (F.col("_ghi") - F.col("_glo"))
+        tried = F.array((F.col("_lo") + F.col("_hi")) / 2, zero, *[zero + side * width * part for part in FLIP_OFFSETS for side in (-1, 1)])
+        inside = F.array_distinct(F.filter(tried, lambda p: (p > F.col("_lo")) & (p < F.col("_hi"))))
+        known = values_at(bracket, inside).withColumn("_all", F.concat(F.array(low_point), F.col("_at"), F.array(high_point)))
+        # The last price, from below, with the sign of the lower end: the next one has the other.
+        steps = F.sequence(F.lit(0), F.size("_all") - 2)
+        change = lambda k: ((F.get("_all", k)["g"] < 0) == (F.col("_glo") < 0)) & ((F.get("_all", k + 1)["g"] < 0) != (F.col("_glo") < 0))
+        known = known.withColumn("_k", F.filter(steps, change)[0])
+        return ends_of(known, F.get("_all", F.col("_k")), F.get("_all", F.col("_k") + 1))
+
+    # One row a snapshot: written so that what follows does not value the book again.
+    bracket = written(narrowed(narrowed(bracket)))
+    wide = width > F.col("spot") * FLIP_WIDTH
+    done = bracket.where(~wide)
+    for _ in range(most_rounds):
+        rest = bracket.where(wide)
+        if rest.isEmpty():
+            break
+        bracket = written(narrowed(rest))
+        done = done.unionByName(bracket.where(~wide))
+    else:
+        done = done.unionByName(bracket.where(wide))
+    found = done.select(KEY, rnd((F.col("_lo") + F.col("_hi")) / 2, 2).alias("gamma_flip"))
+    return edges.select(KEY).join(found, KEY, "left")
 
 
 def pin_risk(strikes: DataFrame, moves: DataFrame) -> DataFrame:
