@@ -62,13 +62,21 @@ def test_a_copied_phrase_scores_above_its_pairs_in_another_order(spark):
     assert got[3].mean_log_score > got[4].mean_log_score
 
 
-def test_order_3_is_a_registered_query_and_asks_only_for_shared_parts(spark):
+def test_the_registered_query_has_order_3_and_asks_only_for_shared_parts(spark):
     import __spark_entry__
 
-    assert "op4_lm_scoring_order3" in __spark_entry__.queries()
+    assert "op4_lm_scoring" in __spark_entry__.queries()
     block = lm._Block([b"a b c d", b"a b c x", b"p q r s"], 3)
     block.elsewhere = [None, np.array([-1, 1, 1, 0, -1, 1, 1, 0, -1, 0, 0, 0])]
     asked, counts = block.asked(3)
     assert counts.tolist() == [2]  # only "a b c": the others hold a pair that occurs nowhere else
     every = lm.score(spark.createDataFrame([(k, t) for k, t in enumerate(["a b c d", "a b c d e", "c d e a", "", None])], "doc_id long, text string"), 4)
     assert sorted(repr(r.doc_id) for r in every.collect()) == ["0", "1", "2", "3", "4"]
+
+
+def test_repeats_of_a_row_lie_in_many_blocks_and_vouch_for_each_other(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm, "PART_BYTES", 4000)
+    rows = [(5, "the same words in a row")] * 1500 + [(6, "other words entirely")]
+    got = sorted((repr(r.doc_id), r.n_words, r.n_unseen, r.n_backoffs, r.log_score) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect())
+    assert got == plain(rows, 3)

@@ -5,7 +5,7 @@ it and copies do. S(w | context) is count(context w) / count(context) where the
 elsewhere, else BACKOFF times the score with a context shorter by one word; a word that occurs
 nowhere else scores 1 / (N + 1), N the words elsewhere.
 
-The work is relational, with rows packed: texts are dealt into blocks of bounded size; each block
+The work is relational, with rows packed: texts are dealt into blocks of bounded size, equal rows too; each block
 explodes its n-grams, combines equal ones and sends hash and count to the partition of the count
 table that owns the hash. Each partition sums its counts and joins the totals back to the blocks
 that asked; a block then meets its totals and sums the scores by document. A word that is in every
@@ -32,10 +32,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, grams, mixed, utf8
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 2 << 20
-LEAST_BLOCKS = 256
+#: Bytes of text for each hash partition of the count table: some blocks' worth, so that what a block sends to one is not a few bytes.
+PART_BYTES = 8 << 20
+LEAST_BLOCKS = 16
+#: Rows that repeat each other are dealt over so many blocks.
+SPREAD = 997
 #: n-grams up to this order are asked for in one round.
 TOGETHER = 2
 #: The empty n-gram; its count is the number of words.
@@ -205,8 +209,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, int(size // BLOCK_BYTES))
-    bits = (blocks - 1).bit_length()
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_packed, "doc_id long, block long, bytes long, packed binary")
+    bits = max(2, int(size // PART_BYTES).bit_length())
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(blocks))).mapInArrow(_packed, "doc_id long, block long, bytes long, packed binary")
     later = range(TOGETHER + 1, order + 1)
     # Answers of several rounds meet their texts where they lie: all are dealt by block alike, and only once.
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from tidemark.llm import bpe, collocations, decontaminate, fim, licenses, lm, mil, neighbours, quality, secrets, simhash, substring, urls
 from tidemark.llm.common import documents
-from tidemark.llm.sql import COLLOCATION_SQL, FIM_SQL, LM_ORDER_3_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
+from tidemark.llm.sql import COLLOCATION_SQL, FIM_SQL, LM_ORDER_2_SQL, LM_SQL, QUALITY_SQL, SUBSTRING_SQL
 
 #: The vocabulary of the production queries; every executor has the file.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,9 +51,9 @@ def op4(spark, sf):
     return lm.score(documents(spark, sf))
 
 
-@query("op4_lm_scoring_order3", LM_ORDER_3_SQL)
-def op4_order3(spark, sf):
-    return lm.score(documents(spark, sf), 3)
+@query("op4_lm_scoring_order2", LM_ORDER_2_SQL)
+def op4_order2(spark, sf):
+    return lm.score(documents(spark, sf), 2)
 
 
 @query("op10_license_scan")

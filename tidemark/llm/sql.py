@@ -59,7 +59,7 @@ SELECT w.doc_id, cast(len(words) AS bigint) AS n_words, cast(coalesce(len(gone),
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """
 
-LM_SQL = f"""
+LM_ORDER_2_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_IS_WORD}+') AS words FROM documents),
 t AS (SELECT doc_id, unnest(words) AS w, unnest(list_prepend(NULL, words[: len(words) - 1])) AS u FROM d WHERE len(words) > 0),
 one AS (SELECT w, count(*) AS n FROM t GROUP BY w),
@@ -80,7 +80,7 @@ SELECT d.doc_id, cast(len(d.words) AS bigint) AS n_words, coalesce(n_unseen, 0)
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
-LM_ORDER_3_SQL = f"""
+LM_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_IS_WORD}+') AS words FROM documents),
 i AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM d WHERE len(words) > 0),
 t AS (SELECT doc_id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS u, CASE WHEN i > 2 THEN words[i - 2] END AS v,
