@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import adapters as ad, companies, equity, ingest, markets, realestate as cre, signals
 from catalog.registry import ORACLE, query
 from tidemark import fixed_values as fv
+from tidemark.functions.numeric import rnd
 from tidemark.plans import breadth, browse, gamma, quality as q, signals as sg
-from tidemark.sources import prices as px, records as rc
+from tidemark.session import shared_folder
+from tidemark.sources import artifacts, prices as px, records as rc
 
 _ROW = "SELECT '{a}' AS artifact, '{r}' AS rule, '{s}' AS severity, cast({c} AS bigint) AS n_checked, cast({b} AS bigint) AS n_bad, {f} AS failed, cast({x} AS varchar) AS sample FROM t"
 
@@ -122,7 +127,19 @@ def _market_rows(spark, sf):
     return rows.join(px.published_history(bars).withColumnRenamed("symbol", "s"), "s", "left")
 
 
-@query("gate_market_rows")
+# The test documents carry the close as open, high and low, so candles are upright; a symbol's days are distinct and in order.
+def _market_gate(artifact, least, points, gap, severity):
+    rules = [_total(artifact, "enough rows" if artifact == "us" else "not empty", "error", f"count(*) < {least}"), _total(artifact, "s unique", "error", "count(DISTINCT s) < count(*)"),
+             _rule(artifact, "positive price", "error", "true", "coalesce(p <= 0, true)", sample="s"), _rule(artifact, "history long enough", "error", "true", f"coalesce(n < {points}, true)", sample="s"),
+             _rule(artifact, "history in order", "error", "true", "days < n", sample="s"), _rule(artifact, "quote near last close", severity, "true", f"abs(p / nullif(last, 0) - 1) > {gap}", sample="s")]
+    return rules + ([_rule(artifact, "candles upright", "error", "true", "false", sample="s")] if artifact == "us" else [])
+
+
+_MARKET_GATE = [*_market_gate("us", fv.US_MIN_ROWS, fv.US_MIN_SESSIONS, 0.10, "warn"), *_market_gate("fx", 1, 20, 0.20, "error")]
+
+
+@query("gate_market_rows", "WITH " + ad.BARS_SQL + ", " + ingest._CHART + """, h AS (SELECT symbol, least(count(*), 260) AS n, least(count(DISTINCT as_of), 260) AS days, round(arg_max(close, as_of), 3) AS last FROM cb GROUP BY 1),
+t AS (SELECT x.s, x.p, n, days, last FROM (""" + ORACLE["market_snapshot_rows"] + ") x LEFT JOIN h ON h.symbol = x.s) " + " UNION ALL ".join(_MARKET_GATE))
 def g_us(spark, sf):
     rows = _market_rows(spark, sf)
     return q.evaluate(rows, "us", q.us_rules()).unionByName(q.evaluate(rows, "fx", q.fx_rules()))
@@ -274,3 +291,143 @@ _BROKER_GATE = [_rule("broker", name, "error", applies, bad) for name, applies,
 @query("gate_broker", f"WITH t AS ({_BROKER}) " + " UNION ALL ".join(_BROKER_GATE))
 def g_broker(spark, sf):
     return q.evaluate(ad._sql(spark, sf, _BROKER, ["supplier"]), "broker", q.broker_rules())
+
+
+# --- builds against the build before, both read back from stored versions -----------------------------
+
+def two_builds(spark, before, now, name, by=()):
+    """Publishes two builds of an artifact and gives back (current, previous) as readers find them."""
+    store = artifacts.Artifact(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    store.write(before, name, "yesterday", by, 5000)
+    store.write(now, name, "today", by, 5000)
+    return store.read(spark, now.schema), store.previous(spark, before.schema), store
+
+
+_SHARD_BUILD = "cast(floor(p) AS bigint) % 3 > 0"
+
+
+@query("artifact_district_shards", f"SELECT k, count(*) AS n, count(*) FILTER ({_SHARD_BUILD}) AS n_before, round(sum(p), 3) AS total FROM ({ORACLE['browse_inventory']}) GROUP BY k")
+def g_district_shards(spark, sf):
+    """District shards in two versions: what the current one and the one before hold of every district."""
+    rows = cre.browse_rows(spark, sf)
+    now, before, _ = two_builds(spark, rows.where(_SHARD_BUILD), rows, "districts", ["k"])
+    both = artifacts.compared(now, before, ["k"], {"n": F.count(F.lit(1)), "total": F.sum("p")})
+    return both.select("k", "n", F.coalesce("n_before", F.lit(0)).alias("n_before"), rnd("total", 3).alias("total"))
+
+
+@query("artifact_ticker_shards", f"SELECT symbol AS s, count(DISTINCT key) AS metrics, count(*) AS points FROM ({ORACLE['dossier_ratio_points']}) GROUP BY 1")
+def g_ticker_shards(spark, sf):
+    """One shard per ticker, written and read back with its nested parts."""
+    d, _ = companies.build_dossiers(spark, sf)
+    d = d.select("s", "n", "m")
+    now, _, _ = two_builds(spark, d.limit(0), d, "tickers", ["s"])
+    points = now.select("s", F.explode("m").alias("key", "g")).select("s", "key", F.size("g.q").alias("n"))
+    return points.groupBy("s").agg(F.count(F.lit(1)).alias("metrics"), F.sum("n").cast("long").alias("points"))
+
+
+@query("artifact_provenance", "SELECT 'orders' AS source, 'today' AS updated_at, count(*) AS n, count(*) FILTER (o_orderkey % 10 > 0) AS n_before FROM orders")
+def g_provenance(spark, sf):
+    o = ad.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    _, before, store = two_builds(spark, o.where("o_orderkey % 10 > 0"), o, "orders", ["o_orderpriority"])
+    return store.provenance(spark).crossJoin(F.broadcast(before.agg(F.count(F.lit(1)).alias("n_before"))))  # one row each
+
+
+def _coverage(artifact, severity, sql, key, kept, limit=fv.MAX_ROW_DROP, name="coverage against the previous build", bad=None):
+    """SQL of a rule over the keys of an artifact, of which the current build has those that `kept` says."""
+    counts = f"SELECT count(DISTINCT {key}) AS p, count(DISTINCT {key}) FILTER ({kept}) AS c FROM ({sql})"
+    bad = bad or f"1 - c / p > {limit}"
+    return (f"SELECT '{artifact}' AS artifact, '{name}' AS rule, '{severity}' AS severity, cast(p AS bigint) AS n_checked, cast(({bad}) AS bigint) AS n_bad, "
+            f"({bad}) AS failed, cast(NULL AS varchar) AS sample FROM ({counts})")
+
+
+_SNAPSHOT = ORACLE["market_snapshot_rows"]
+_KEPT = {"cells": "n % 9 > 0", "us": "ascii(right(s, 1)) % 10 > 0", "fx": "s <> (SELECT min(s) FROM ({}))", "coins": "ascii(right(s, 1)) % 9 > 0", "shards": "n > 3"}
+
+
+@query("gate_coverage", " UNION ALL ".join([
+    _coverage("cells", "warn", ORACLE["published_cells"], "slug", _KEPT["cells"]), _coverage("us", "error", _SNAPSHOT, "s", _KEPT["us"]),
+    _coverage("fx", "warn", _SNAPSHOT, "s", _KEPT["us"], bad="c < p"), _coverage("coins", "error", ORACLE["exchange_board_24h"], "s", _KEPT["coins"]),
+    _coverage("shards", "error", ORACLE["browse_shard_index"], "k", _KEPT["shards"])]))
+def g_coverage(spark, sf):
+    """Cells, series, coins and districts that the current build has lost."""
+    snapshot = ingest.q_snapshot(spark, sf).select("s", "p")
+    index = browse.shard_index(cre.browse_rows(spark, sf), 10, cre.dimension(spark, sf)).select("k", "n")
+    parts = [("cells", cre.cells(spark, sf).select("slug", "n"), "slug", _KEPT["cells"], q.coverage_rules("warn")), ("us", snapshot, "s", _KEPT["us"], q.coverage_rules()),
+             ("fx", snapshot, "s", _KEPT["us"], q.fx_coverage_rules()), ("coins", ingest.q_board24(spark, sf).select("s", "p"), "s", _KEPT["coins"], q.coverage_rules()),
+             ("shards", index, "k", _KEPT["shards"], q.coverage_rules())]
+    out = None
+    for name, rows, key, kept, rules in parts:
+        now, before, _ = two_builds(spark, rows, rows.where(kept), name)
+        report = q.evaluate(artifacts.compared(now, before, [key]), name, rules)
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+@query("gate_breadth_history", f"""WITH t AS (SELECT *, lag(as_of) OVER (ORDER BY as_of) AS after FROM ({ORACLE['market_breadth']})), m AS (SELECT max(as_of) AS last FROM t)
+SELECT 'breadth' AS artifact, 'history shrank' AS rule, 'error' AS severity, count(*) AS n_checked, cast(count(*) FILTER (as_of < last - 9) < count(*) - 5 AS bigint) AS n_bad,
+  count(*) FILTER (as_of < last - 9) < count(*) - 5 AS failed, cast(NULL AS varchar) AS sample FROM t, m
+UNION ALL SELECT 'breadth', 'sessions in order', 'error', count(*) FILTER (after IS NOT NULL), 0, false, NULL FROM t, m WHERE as_of < last - 9""")
+def g_breadth_history(spark, sf):
+    """The current build lacks the last sessions; its own are in order."""
+    rows = breadth.published_breadth(equity.bars(spark, sf)).select("as_of", "n")
+    last = rows.agg(F.date_sub(F.max("as_of"), 9).alias("last"))
+    now, before, _ = two_builds(spark, rows, rows.where(F.col("as_of") < last.scalar()), "breadth")
+    order = now.withColumn("after", F.lag("as_of").over(Window.orderBy("as_of")))  # one row a session: bounded by the calendar
+    in_order = [r for r in q.breadth_rules(["after"]) if r.name == "sessions in order"]
+    return q.evaluate(artifacts.compared(now, before, ["as_of"]), "breadth", q.breadth_history_rules()).unionByName(q.evaluate(order, "breadth", in_order))
+
+
+_FELL = """SELECT '{a}' AS artifact, '{r}' AS rule, 'warn' AS severity, count(*) FILTER (here) AS n_checked, count(*) FILTER (here AND c < p) AS n_bad,
+  count(*) FILTER (here AND c < p) > 0 AS failed, min({k}) FILTER (here AND c < p) AS sample FROM {t}"""
+
+
+@query("gate_flow_days", "WITH " + markets._OBS + """, lim AS (SELECT max(as_of) AS last, min(asset) AS one FROM net),
+t AS (SELECT asset, count(*) AS p, count(*) FILTER (as_of < last - 3 OR asset <> one) AS c, count(*) FILTER (as_of < last - 3 OR asset <> one) > 0 AS here FROM net, lim GROUP BY asset)
+""" + _FELL.format(a="flows", r="days fell", k="asset", t="t"))
+def g_flow_days(spark, sf):
+    """One asset has lost its last days."""
+    rows = markets.net(spark, sf).select("asset", "as_of", "v")
+    lim = rows.agg(F.date_sub(F.max("as_of"), 3).alias("last"), F.min("asset").alias("one"))
+    now, before, _ = two_builds(spark, rows, rows.crossJoin(F.broadcast(lim)).where("as_of < last OR asset <> one").drop("last", "one"), "flows")  # one row
+    return q.evaluate(artifacts.compared(now, before, ["asset"], {"n": F.count(F.lit(1))}), "flows", q.fell_rules("n", "days fell", "asset"))
+
+
+@query("gate_signal_trades", f"""WITH t AS (SELECT variant, trades AS p, CASE WHEN length(variant) % 2 = 0 THEN trades - 1 ELSE trades + 1 END AS c, true AS here FROM ({ORACLE['track_record']}) WHERE trades > 0)
+""" + _FELL.format(a="signals", r="trades fell", k="variant", t="t"))
+def g_signal_trades(spark, sf):
+    rows = sg.summary(signals.walked(spark, sf), signals.caps(spark, sf)).select("variant", "trades")
+    edited = rows.withColumn("trades", F.when(F.length("variant") % 2 == 0, F.col("trades") - 1).otherwise(F.col("trades") + 1))
+    now, before, _ = two_builds(spark, rows, edited, "signals")
+    return q.evaluate(artifacts.compared(now, before, ["variant"], {"trades": F.max("trades")}), "signals", q.fell_rules("trades", "trades fell", "variant"))
+
+
+_SHAPE_GATE = [_rule("shapes", name, "error", applies, bad, sample="s") for name, applies, bad in (
+    ("company part has a profile", "has_company", "ascii(right(s, 1)) % 5 = 0"), ("statements not empty", "lines > 0", "false"),
+    ("statements have label and series", "lines > 0", "ascii(right(s, 1)) % 7 = 0"))]
+
+
+@query("gate_dossier_shapes", f"""WITH t AS (SELECT r.s, true AS has_company, l.lines FROM (SELECT DISTINCT symbol AS s FROM ({ORACLE['dossier_ratio_points']})) r
+  LEFT JOIN (SELECT symbol, count(DISTINCT field) AS lines FROM ({ORACLE['dossier_statements']}) GROUP BY 1) l ON l.symbol = r.s) """ + " UNION ALL ".join(_SHAPE_GATE))
+def g_shapes(spark, sf):
+    """Some companies have lost their profile, some statement lines their label."""
+    d, _ = companies.build_dossiers(spark, sf)
+    last = F.ascii(F.right("s", F.lit(1)))
+    label = lambda k, x: x.withField("label", F.when(last % 7 == 0, "").otherwise(F.concat(F.lit("line "), k)))
+    rows = d.select("s", "m", F.col("co").isNotNull().alias("has_company"), F.when(last % 5 > 0, F.lit("makes things")).alias("profile"), F.transform_values("st", label).alias("st"))
+    return q.evaluate(rows, "shapes", q.dossier_rules(rows.columns)[3:])
+
+
+_FIELD_GATE = [_rule("broker fields", f"only allowed fields in {section}", "error", "true", bad, sample="asset") for section, bad in (
+    ("snapshot", "s_suppkey % 11 = 0"), ("source", "s_suppkey % 7 = 0"), ("quote", "s_suppkey % 5 = 0"))]
+
+
+@query("gate_broker_fields", "WITH t AS (SELECT *, s_name AS asset FROM supplier) " + " UNION ALL ".join(_FIELD_GATE))
+def g_fields(spark, sf):
+    """Snapshots as landed: some carry account data."""
+    names = lambda base, every, extra: F.when(F.col("s_suppkey") % every == 0, F.array(*[F.lit(x) for x in (*base, extra)])).otherwise(F.array(*[F.lit(x) for x in base]))
+    s = ad.table(spark, sf, "supplier")
+    rows = s.select(F.col("s_name").alias("asset"), F.lit("live").alias("status"), F.lit(None).cast("string").alias("version"), F.lit(None).cast("string").alias("kind"),
+                    F.lit(None).cast("double").alias("price"), F.lit(None).cast("long").alias("quote_at"), *[F.lit(None).cast("double").alias(c) for c in ("h1_count", "h4_count", "h1_atr", "h4_atr")],
+                    F.create_map(F.lit("snapshot"), names(["asset", "status"], 11, "account"), F.lit("source"), names(["kind"], 7, "login"),
+                                 F.lit("quote"), names(["price", "at"], 5, "balance")).alias("fields"))
+    return q.evaluate(rows, "broker fields", q.broker_rules(rows.columns)[:3])

@@ -171,6 +171,12 @@ GATE_VERSION = "trend-gate-1.0.0"
 GATE = {"adx": 22.0, "er": 0.35, "slope": 0.05, "breakout": 0.1, "retest": 0.25,
         "chase": 1.0, "quote_age_ms": 90_000, "min_bars": 280}
 GATE_ASSETS = ["BTC", "ETH", "XAU"]
+# What a broker snapshot may hold, by section.
+BROKER_FIELDS = {
+    "snapshot": ["version", "asset", "status", "source", "quote", "h1", "h4", "updated_at"],
+    "source": ["kind", "name"],
+    "quote": ["price", "ask", "at"],
+}
 # Context labels, the assets that each speaks of, and how long a fact of it holds (ms).
 CONTEXT = {
     "dollar": (("BTC", "ETH", "XAU"), 4 * 86_400_000),

@@ -76,6 +76,29 @@ def row_drop(current: DataFrame, previous: DataFrame, artifact: str, severity: s
     return evaluate(n, artifact, [Rule("row drop", 1 - ratio("_n", "_p") > limit, severity, F.col("_p") > 0)])
 
 
+def coverage_rules(severity: str = "error", limit: float = fv.MAX_ROW_DROP) -> list[Rule | Total]:
+    """Two builds side by side (`compared`): did more than `limit` of the keys go?"""
+    here, before = F.count_if("here"), F.count_if("before")
+    return [Total("coverage against the previous build", F.coalesce(1 - ratio(here, before) > limit, F.lit(False)), severity, before)]
+
+
+def fx_coverage_rules() -> list[Rule | Total]:
+    """Of so few series none may go unnoticed."""
+    here, before = F.count_if("here"), F.count_if("before")
+    return [Total("coverage against the previous build", here < before, "warn", before)]
+
+
+def breadth_history_rules(slack: int = 5) -> list[Rule | Total]:
+    here, before = F.count_if("here"), F.count_if("before")
+    return [Total("history shrank", (before > 0) & (here < before - slack), "error", before)]
+
+
+def fell_rules(measure: str, name: str, sample: str, severity: str = "warn") -> list[Rule | Total]:
+    """A count per key that only grows: days of a flow series, closed trades of a rule. A key that is gone counts as none."""
+    before = F.coalesce(F.col(f"{measure}_before"), F.lit(0))
+    return [Rule(name, F.coalesce(F.col(measure), F.lit(0)) < before, severity, F.col("here") & (before > 0), sample=sample)]
+
+
 def _between(c: str, lo: float, hi: float) -> Column:
     return ~F.col(c).between(lo, hi)
 
@@ -144,8 +167,11 @@ def coin_board_rules() -> list[Rule | Total]:
             Rule("range position", _between("pos", 0, 100), applies=F.col("pos").isNotNull(), sample="s")]
 
 
-def breadth_rules() -> list[Rule | Total]:
+def breadth_rules(columns: Sequence[str] = ()) -> list[Rule | Total]:
+    """With `after`, the session that stands before a row in the published order, the order is held too."""
     rules: list[Rule | Total] = [_total_rows("enough sessions", 20), _unique("as_of")]
+    if "after" in columns:
+        rules.append(Rule("sessions in order", F.col("as_of") <= F.col("after"), applies=F.col("after").isNotNull(), sample="as_of"))
     rules += [Rule(f"{k} is a percentage", _between(k, 0, 100), applies=F.col(k).isNotNull(), sample="as_of") for k in ("a50", "a200", "uv")]
     return [*rules, Rule("covers the market", F.col("n") < F.col("median_universe") * 0.6 * 0.5, "warn", F.col("median_universe") > 0, sample="as_of")]
 
@@ -190,9 +216,18 @@ def manifest_rules(at_least: int = 1500) -> list[Rule | Total]:
             Rule("statement coverage", F.col("statements") < F.col("count") * 0.90), Rule("plausible counts", (F.col("dossiers") > F.col("count")) | (F.col("statements") > F.col("count")))]
 
 
-def dossier_rules() -> list[Rule | Total]:
-    return [_unique("s"), Rule("has ratios", F.coalesce(F.size("m") == 0, F.lit(True)), sample="s"),
-            Rule("points have a cadence", F.exists(F.map_values("m"), lambda g: g["q"].isNull() & g["y"].isNull()), sample="s")]
+def dossier_rules(columns: Sequence[str] = ()) -> list[Rule | Total]:
+    """With `profile` (has_company, a flag, says whether there is a company part) and `st`, the map of statements, their shapes too."""
+    rules: list[Rule | Total] = [
+        _unique("s"), Rule("has ratios", F.coalesce(F.size("m") == 0, F.lit(True)), sample="s"),
+        Rule("points have a cadence", F.exists(F.map_values("m"), lambda g: g["q"].isNull() & g["y"].isNull()), sample="s")]
+    if "profile" in columns:
+        rules.append(Rule("company part has a profile", F.coalesce(F.col("profile"), F.lit("")) == "", applies=F.col("has_company"), sample="s"))
+    if "st" in columns:
+        blank = lambda x: F.coalesce(x["label"], F.lit("")) == ""
+        rules += [Rule("statements not empty", F.size("st") == 0, applies=F.col("st").isNotNull(), sample="s"),
+                  Rule("statements have label and series", F.exists(F.map_values("st"), lambda x: blank(x) | (x["q"].isNull() & x["y"].isNull())), applies=F.col("st").isNotNull(), sample="s")]
+    return rules
 
 
 def shard_rules(band=fv.PRICE_BAND, tolerance: float = fv.CONSISTENCY_TOLERANCE) -> list[Rule | Total]:
@@ -249,10 +284,19 @@ def land_ratio_rules(min_streets: int = fv.MIN_STREETS, band=fv.RATIO_BAND) -> l
             Rule("document named", F.coalesce(F.col("doc"), F.lit("")) == "", sample="d"), Rule("document is current", F.col("doc") != F.col("cited"), "warn", F.col("cited").isNotNull(), sample="d")]
 
 
-def broker_rules() -> list[Rule | Total]:
-    """Broker snapshots in long form: asset, version, kind, status, price, quote_at, timeframe columns."""
+def broker_rules(columns: Sequence[str] = ()) -> list[Rule | Total]:
+    """Broker snapshots in long form: asset, version, kind, status, price, quote_at, timeframe columns.
+
+    With `fields` (section -> names found in it), only what is meant to be published may be there.
+    """
     live = F.col("status") == "snapshot"
-    return [Rule("asset and rule version", (F.col("asset") != "XAU") | (F.col("version") != fv.GATE_VERSION)), Rule("broker named", F.coalesce(F.col("kind") != "broker-xauusd", F.lit(True))),
+    allowed: list[Rule | Total] = []
+    if "fields" in columns:
+        for section, names in fv.BROKER_FIELDS.items():
+            found = F.coalesce(F.col("fields")[section], F.array().cast("array<string>"))
+            extra = F.size(F.array_except(found, F.array(*[F.lit(n) for n in names]))) > 0
+            allowed.append(Rule(f"only allowed fields in {section}", extra, sample="asset"))
+    return [*allowed, Rule("asset and rule version", (F.col("asset") != "XAU") | (F.col("version") != fv.GATE_VERSION)), Rule("broker named", F.coalesce(F.col("kind") != "broker-xauusd", F.lit(True))),
             Rule("known status", ~F.coalesce(F.col("status").isin("not_connected", "snapshot"), F.lit(False))), Rule("no data without a connection", F.col("price").isNotNull(), applies=F.col("status") == "not_connected"),
             Rule("quote complete", F.col("price").isNull() | F.col("quote_at").isNull(), applies=live),
             Rule("frames complete", (F.col("h1_count") < fv.GATE["min_bars"]) | (F.col("h4_count") < fv.GATE["min_bars"]) | F.col("h1_atr").isNull() | F.col("h4_atr").isNull(), applies=live)]
