@@ -68,3 +68,12 @@ def test_odd_rows_and_missing_labels(spark):
     some = spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int")
     assert mil.classify(docs, some).count() == docs.count()
     assert mil.classify(spark.createDataFrame([], SCHEMA), some).count() == 0
+
+
+def test_repeats_of_a_labelled_id_and_long_texts_leave_one_bounded_bag(spark):
+    long = "\n".join(f"passage {k} with some words in it and an end ." for k in range(4000))
+    one, two, three = [k for k in range(50) if zlib.crc32(str(k).encode()) % 3 != 1][:3]
+    rows = [(one, "a short text of one passage")] * 5000 + [(one, "another text of the same id"), (two, long), (three, "good words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    bags, y = mil.training_bags(docs, spark.createDataFrame([(one, 0), (two, 1), (three, 1)], "doc_id long, quality int"))
+    assert y.tolist() == [0, 1, 1] and [len(b) for b in bags][1] == mil.TRAIN_PASSAGES and max(map(len, bags)) <= mil.TRAIN_PASSAGES

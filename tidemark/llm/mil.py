@@ -30,6 +30,8 @@ from tidemark.llm.common import Words, slices, utf8
 PASSAGE = 64
 #: Labelled documents that training reads at most.
 TRAIN_DOCS = 3000
+#: Passages of one document that are learned from.
+TRAIN_PASSAGES = 64
 HASHED = 96
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.01, 1e-4
@@ -158,8 +160,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Encoded passages and label of at most `most` labelled documents that are not held out."""
+def training_bags(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, passages: int = TRAIN_PASSAGES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Encoded passages and label of at most `most` labelled documents that are not held out, one bag each.
+
+    Of texts that share a doc_id the one with the least hash is learned from, and of a text with more than `passages`
+    passages so many at equal distances: what reaches the driver is bounded. Scores are of all passages.
+    """
     clear = (labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other"))
     chosen = clear.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "label")
@@ -170,11 +176,17 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
         for part in slices(batches):
             features, owner = encode(utf8(part.column("text")))
             begin = np.searchsorted(owner, np.arange(part.num_rows + 1))
-            packed = [features[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "bag"])
-
-    rows = texts.select("doc_id", "label", "text").mapInArrow(bags, f"doc_id long, label {chosen.schema['label'].dataType.simpleString()}, bag binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.bag))
+            packed = []
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                at = np.arange(a, b) if b - a <= passages else np.linspace(a, b - 1, passages).astype(np.int64)
+                packed.append(features[at].tobytes())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "named")), pa.array(packed, pa.binary())], ["doc_id", "label", "named", "bag"])
+
+    named = texts.select("doc_id", "label", F.xxhash64("text").alias("named"), "text")
+    found = named.mapInArrow(bags, f"doc_id long, label {chosen.schema['label'].dataType.simpleString()}, named long, bag binary")
+    # Combined where they lie: one bag a document leaves each task.
+    rows = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("bag", F.struct("named", "bag")).alias("bag")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return [np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in rows], np.array([r.label for r in rows], np.float64)
 
 
