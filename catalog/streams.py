@@ -77,6 +77,17 @@ def s_append(spark, sf):
     return store.read(spark).select("user_id", "event_type", "event_id")
 
 
+@query("streaming_append_by_day", "SELECT cast(ts AS date) AS day, count(*) AS rows, sum(event_id) AS ids FROM events GROUP BY 1")
+def s_append_day(spark, sf):
+    """Three deliveries, the last two of which bring rows again; each is compared with its own days and slots only."""
+    out = _run_folder(spark, "append")
+    store = stores.AppendStore(f"{out}/data", ["event_id"], ["ts"], time="ts", slots=4)
+    events = ad.table(spark, sf, "events")
+    for k in range(3):
+        store.write(events.where((F.col("event_id") % 3 <= k) & (F.col("event_id") % 7 != 6 - k) | (F.lit(k) == 2)), "job", k)
+    return store.read(spark).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("ids"))
+
+
 @query("streaming_latest_view", "SELECT event_type, user_id, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def s_latest(spark, sf):
     out = _run_folder(spark, "latest")

@@ -53,6 +53,21 @@ def test_new_checkpoint_keeps_what_an_earlier_one_stored(spark, tmp_path):
         assert sorted((r.k, r.v) for r in store.read(spark).collect()) == [("x", 1), ("y", 1), ("z", 5)]
 
 
+def test_a_batch_is_compared_with_its_days_and_slots_only(spark, tmp_path):
+    store = stores.AppendStore(str(tmp_path / "s"), ["k"], ["v"], "ts", 8)
+    rows = [(f"k{i}", i, T0 + timedelta(days=i % 5)) for i in range(200)]
+    schema = "k string, v int, ts timestamp"
+    for n, part in enumerate((rows[:90], rows[40:150], rows[100:])):
+        store.write(spark.createDataFrame(part, schema), "run", n)
+    assert sorted((r.k, r.v) for r in store.read(spark).collect()) == sorted((k, v) for k, v, _ in rows)
+    again = spark.createDataFrame([r for r in rows if r[2] == T0][:1], schema)
+    plan = store.known(again, "run", 9)._jdf.queryExecution().toString()
+    scan = plan[plan.rindex("PartitionFilters"):].split("PushedFilters")[0]
+    assert "day" in scan and "slot" in scan
+    with pytest.raises(ValueError, match="different days"):
+        store.write(spark.createDataFrame([("x", 1, T0), ("x", 2, T0 + timedelta(days=1))], schema), "run", 5)
+
+
 def test_only_a_missing_path_counts_as_empty(spark, tmp_path):
     with pytest.raises(AnalysisException):
         stored_or_none(lambda: spark.range(1).select("no_such_column"))

@@ -43,29 +43,53 @@ class _Store:
 class AppendStore(_Store):
     """Append by key: a key stored by any other batch is ignored, also across restarts.
 
-    With `time`, a column that rows of one key agree in, files lie by its day, and a batch is compared
-    with the days it holds only.
+    Files lie by a hash of the key (`slots`) and, with `time`, a column that rows of one key agree in, by its day. A batch
+    is compared with the days and slots that it holds only: these are constants of the plan, so files of other folders are
+    not read. A batch in which rows of one key lie on different days is refused: its key would be stored under both.
     """
 
-    def __init__(self, path: str, key: Sequence[str], order: Sequence[str], time: str | None = None):
+    def __init__(self, path: str, key: Sequence[str], order: Sequence[str], time: str | None = None, slots: int = 1):
         super().__init__(path)
-        self.key, self.order, self.time = list(key), list(order), time
+        self.key, self.order, self.time, self.slots = list(key), list(order), time, slots
 
-    def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
-        rows = top_k(batch, self.key, [F.col(c).asc() for c in self.order], 1)
-        by: tuple[str, ...] = ()
+    def _placed(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        by = {}
+        if self.time:
+            by["day"] = F.to_date(self.time)
+        if self.slots > 1:
+            by["slot"] = F.pmod(F.xxhash64(*self.key), F.lit(self.slots)).cast("int")
+        return rows.withColumns(by) if by else rows, list(by)
+
+    def known(self, batch: DataFrame, run: str, batch_id: int) -> DataFrame | None:
+        """Keys that other batches have stored in the batch's days and slots."""
         stored = self._others(batch.sparkSession, run, batch_id)
+        if stored is None:
+            return None
+        rows, by = self._placed(batch)
+        if by:
+            places = rows.select(*by).distinct().collect()  # at most the days of the batch times the slots
+            for c in by:
+                values = sorted({p[c] for p in places if p[c] is not None})
+                blank = F.col(c).isNull() if any(p[c] is None for p in places) else F.lit(False)
+                stored = stored.where(F.col(c).isin(values) | blank)
+        return stored.select(*self.key)
+
+    def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
         if self.time:
-            rows, by = rows.withColumn("day", F.to_date(self.time)), ("day",)
-            if stored is not None:
-                days = [r[0] for r in rows.select("day").distinct().collect()]  # one per calendar day of the batch
-                stored = stored.where(F.col("day").isin(days) | F.col("day").isNull())
-        if stored is not None:
-            rows = rows.join(stored.select(*self.key), self.key, "left_anti")
+            torn = batch.groupBy(*self.key).agg(F.min(F.to_date(self.time)).alias("a"), F.max(F.to_date(self.time)).alias("b")).where("a < b")
+            if not torn.isEmpty():
+                raise ValueError(f"rows of one key lie on different days of {self.time}: {torn.first().asDict()}")
+        rows, by = self._placed(top_k(batch, self.key, [F.col(c).asc() for c in self.order], 1))
+        known = self.known(batch, run, batch_id)
+        if known is not None:
+            rows = rows.join(known, self.key, "left_anti")
         self._write(rows, run, batch_id, by=by)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return super().read(spark).drop("day") if self.time else super().read(spark)
+        return super().read(spark).drop(*self._placed_by())
+
+    def _placed_by(self) -> list[str]:
+        return [c for c, used in (("day", self.time), ("slot", self.slots > 1)) if used]
 
 
 class LatestView(_Store):
