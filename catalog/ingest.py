@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog import adapters as ad
 from catalog.equity import bars, build_screener
-from catalog.registry import query
+from catalog.registry import ORACLE, query
 from tidemark.functions.numeric import clean_nulls, rnd
 from tidemark.operators import pit
 from tidemark.sources import html_tables, listings as ls, prices as px, publish, records as rc
@@ -461,3 +461,65 @@ def q_wide(spark, sf):
         (F.col("p_retailprice") + 1).alias("listing.ref_price"), (size * 10).alias("match.accumulated_volume"), (size * 2.5).alias("match.accumulated_value"),
         (F.col("p_partkey") * 1000).alias("listing.listed_share"), size.alias("match.foreign_buy_value"), (size * 2).alias("match.foreign_sell_value"))
     return px.wide_board_quotes(board).select("symbol", "exchange", "price", "ref_price", "volume", "value", "listed_share", "foreign_buy_value", "foreign_sell_value")
+
+
+# --- records of companies, turnover history, restored share counts, run records -----------------------------
+
+@query("profile_records", """SELECT s_suppkey::varchar AS symbol, s_name AS organ_name, s_name AS profile, CASE WHEN s_suppkey % 3 = 0 THEN 'Bank' ELSE 'Other' END AS sector,
+  CASE WHEN s_suppkey % 4 > 0 THEN make_date(2000 + s_suppkey % 20, 1 + s_suppkey % 12, 15) END AS listing_date, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal / 10000 END AS state_percent,
+  CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal END AS target_price FROM supplier""")
+def q_profiles(spark, sf):
+    """Profiles as landed: the local sector goes before the general one, dates and numbers are texts, some unreadable."""
+    k = F.col("s_suppkey")
+    day = F.format_string("%d-%02d-15", 2000 + k % 20, 1 + k % 12)
+    doc = F.struct(
+        F.col("s_name").alias("viOrganName"), F.concat(F.lit("<p>"), "s_name", F.lit("</p>")).alias("profile"), F.when(k % 3 == 0, "Bank").alias("sectorVn"), F.lit("Other").alias("sector"),
+        F.when(k % 4 > 0, day).otherwise("soon").alias("listingDate"), F.when(k % 5 > 0, (F.col("s_acctbal") / 10000).cast("string")).alias("statePercentage"),
+        F.when(k % 6 > 0, F.col("s_acctbal").cast("string")).otherwise("n/a").alias("targetPrice"))
+    landed = ad.table(spark, sf, "supplier").select(k.cast("string").alias("symbol"), F.lit(0).cast("timestamp").alias("fetched_at"), F.to_json(doc).alias("json"))
+    return rc.profile_rows(landed).select("symbol", "organ_name", "profile", "sector", "listing_date", "state_percent", "target_price")
+
+
+@query("event_records", """SELECT c_nationkey::varchar AS symbol, c_custkey::varchar AS event_id, c_mktsegment AS event_code, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'Title ' || c_name END AS title,
+  CASE WHEN c_custkey % 4 > 0 THEN DATE '2024-01-01' + cast(c_custkey % 300 AS int) ELSE DATE '2025-06-30' END AS public_date, CASE WHEN c_custkey % 5 > 0 THEN DATE '2024-02-01' + cast(c_custkey % 300 AS int) END AS record_date
+FROM customer WHERE c_custkey % 11 > 0""")
+def q_event_records(spark, sf):
+    """Events in one document per symbol; one without an id is none."""
+    k = F.col("c_custkey")
+    day = lambda first: F.date_format(F.date_add(F.lit(first).cast("date"), (k % 300).cast("int")), "yyyy-MM-dd")
+    item = F.struct(
+        F.when(k % 11 > 0, F.concat(F.lit(" "), k.cast("string"))).otherwise(" ").alias("id"), F.col("c_mktsegment").alias("eventCode"),
+        F.when(k % 3 > 0, F.concat(F.lit("Title "), "c_name")).alias("eventTitleVi"), F.col("c_name").alias("eventNameVi"), F.when(k % 4 > 0, day("2024-01-01")).alias("publicDate"),
+        F.lit("2025-06-30").alias("displayDate1"), F.when(k % 5 > 0, day("2024-02-01")).otherwise("later").alias("recordDate"))
+    landed = ad.table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("symbol")).agg(F.to_json(F.struct(F.collect_list(item).alias("content"))).alias("json"))
+    return rc.event_rows(landed.withColumn("fetched_at", F.lit(0).cast("timestamp"))).select("symbol", "event_id", "event_code", "title", "public_date", "record_date")
+
+
+@query("turnover_history", f"SELECT 'crypto.' || s || '.turnover_musd' AS series, DATE '2026-02-01' AS as_of, v AS value FROM ({ORACLE['exchange_board_24h']})")
+def q_turnover(spark, sf):
+    """The day's turnover of every coin on the board as rows of the series table."""
+    rows = rc.turnover_series(q_board24(spark, sf), "2026-02-01 07:00:00")
+    return rows.select("series", F.to_date("as_of").alias("as_of"), "value")
+
+
+@query("restored_share_counts", "WITH " + ad.QUOTES_SQL + ", " + ad.COMPANIES_SQL + """, q AS (SELECT symbol, max(CASE WHEN symbol::int % 3 > 0 THEN listed_share END) AS listed_share FROM eq_quote GROUP BY 1)
+SELECT symbol, DATE '2026-01-30' AS as_of, floor(balance) AS listed_share FROM eq_listing
+WHERE floor(balance) > 0 AND symbol NOT IN (SELECT symbol FROM q WHERE listed_share > 0)""")
+def q_restored(spark, sf):
+    """A third of the symbols has lost its share counts; the published table still states them."""
+    published = ad.companies(spark, sf).select(F.col("symbol").alias("s"), F.floor("balance").alias("sh"))
+    quotes = ad.quotes(spark, sf).withColumn("listed_share", F.when(F.col("symbol").cast("int") % 3 > 0, F.col("listed_share")))
+    rows = rc.restored_share_counts(published, quotes, "2026-01-30", "2026-01-30 16:00:00")
+    return rows.select("symbol", "as_of", "listed_share")
+
+
+@query("run_records", """SELECT 'r1' AS run_id, event_type AS collector, 'ok' AS status, count(*) AS rows_in, count(DISTINCT user_id) AS rows_new, '{"newest":' || max(event_id) || '}' AS detail FROM events GROUP BY 2""")
+def q_run_records(spark, sf):
+    """One run-log row per collector from the counts of its job."""
+    e = ad.table(spark, sf, "events")
+    out = None
+    for kind in ("click", "error", "purchase", "signup", "view"):
+        counts = e.where(F.col("event_type") == kind).agg(F.count(F.lit(1)).alias("rows_in"), F.count_distinct("user_id").alias("rows_new"), F.max("event_id").alias("newest"))
+        row = pit.run_record(counts, "r1", kind, "2026-01-01 00:00:00", "2026-01-01 00:10:00").where("rows_in > 0")
+        out = row if out is None else out.unionByName(row)
+    return pit.latest_runs(out).select("run_id", "collector", "status", "rows_in", "rows_new", "detail")

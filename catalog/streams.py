@@ -55,6 +55,17 @@ def s_bars(spark, sf):
     return r.select("asset", F.col("start").cast("timestamp_ntz").alias("start"), "open", "high", "low", "close", "ticks")
 
 
+@query("streaming_four_hour_bars", """WITH w AS (SELECT event_type AS asset, time_bucket(INTERVAL 4 HOUR, ts) AS start, arg_min(value, row(ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, value)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2)
+SELECT asset, start, open, high, low, close, ticks FROM w WHERE start + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def s_bars_4h(spark, sf):
+    """The longer timeframe from ticks, as the shorter one."""
+    out = _run_folder(spark, "bars4")
+    for events in deliveries(spark, sf, out):
+        stores.run_available(bars.closed_bars(ticks(events), 14400), f"{out}/data", f"{out}/checkpoint")
+    r = spark.read.parquet(f"{out}/data")
+    return r.select("asset", F.col("start").cast("timestamp_ntz").alias("start"), "open", "high", "low", "close", "ticks")
+
+
 @query("streaming_sliding_totals", """WITH o AS (SELECT event_type AS asset, ts, value, unnest(range(0, 24)) AS k FROM events),
 w AS (SELECT asset, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS start, sum(value) AS total, count(*) AS n FROM o GROUP BY 1, 2)
 SELECT asset, start, round(total, 2) AS total, n FROM w WHERE start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")

@@ -215,6 +215,17 @@ def missing_rows(reference: DataFrame, existing: DataFrame, keys=("symbol",)) ->
     return reference.join(existing.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def restored_share_counts(reference: DataFrame, quotes: DataFrame, session, published_at) -> DataFrame:
+    """Share counts of a published table (s, sh) for symbols whose quotes state none, as quote rows of its session.
+
+    These are observations that were made before, not new ones: they carry the stamp of their publication.
+    """
+    known = quotes.where("listed_share > 0").select("symbol")
+    rows = reference.where(F.col("sh") > 0).select(F.col("s").alias("symbol"), F.lit(session).cast("date").alias("as_of"),
+                                                   F.lit(published_at).cast("timestamp").alias("fetched_at"), F.col("sh").cast("double").alias("listed_share"))
+    return missing_rows(rows, known)
+
+
 def without_quarter(symbols: DataFrame, fundamentals: DataFrame, at) -> DataFrame:
     """Symbols not yet collected for the latest completed quarter."""
     done = fundamentals.where(F.col("period") == parsing.latest_completed_quarter(F.lit(at)))
