@@ -431,3 +431,15 @@ def g_fields(spark, sf):
                     F.create_map(F.lit("snapshot"), names(["asset", "status"], 11, "account"), F.lit("source"), names(["kind"], 7, "login"),
                                  F.lit("quote"), names(["price", "at"], 5, "balance")).alias("fields"))
     return q.evaluate(rows, "broker fields", q.broker_rules(rows.columns)[:3])
+
+
+_PANEL_GATE = [*_CELL_GATE]
+_PANEL_GATE += [_rule("cells", f"{k} in range", "error", f"{k} IS NOT NULL", f"NOT {k} BETWEEN {lo} AND {hi}", sample="slug") for k, lo, hi in (
+    ("pc", 0, 100), ("gr", 0, 100), ("grx", 0, 100), ("dmc", 0, 100), ("pcm", -100, 0))]
+_PANEL_GATE += [_rule("cells", "time on market", "error", "dm IS NOT NULL", "dm < 0"), _rule("cells", "cut rate has a denominator", "error", "pc IS NOT NULL", "coalesce(pcn, 0) = 0")]
+
+
+@query("gate_cells_panel", f"WITH t AS ({ORACLE['published_cells_panel']}) " + " UNION ALL ".join(_PANEL_GATE))
+def g_panel_cells(spark, sf):
+    rows = cre.panel_cells(spark, sf)
+    return q.evaluate(rows, "cells", q.cell_rules(rows.columns, 5))

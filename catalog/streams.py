@@ -108,6 +108,18 @@ def s_latest(spark, sf):
     return view.read(spark).select("event_type", "user_id", "value")
 
 
+@query("streaming_latest_view_folded", "SELECT event_type, user_id, arg_max(value, row(ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def s_latest_folded(spark, sf):
+    """The same view, folded after every delivery but the last."""
+    out = _run_folder(spark, "latest")
+    view = stores.LatestView(f"{out}/data", ["event_type", "user_id"], ["ts", "event_id"])
+    for k, events in enumerate(deliveries(spark, sf, out, late=True)):
+        stores.run_available(events, view, f"{out}/checkpoint")
+        if k < 2:
+            view.fold(spark)
+    return view.read(spark).select("event_type", "user_id", "value")
+
+
 _CHANGES = """WITH c AS (SELECT event_id, event_type, user_id, value > 40 AS high, lag(value > 40) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS prev FROM events)
 SELECT event_id, event_type, user_id, high FROM c WHERE prev IS NULL OR high <> prev"""
 

@@ -68,6 +68,20 @@ def test_a_batch_is_compared_with_its_days_and_slots_only(spark, tmp_path):
         store.write(spark.createDataFrame([("x", 1, T0), ("x", 2, T0 + timedelta(days=1))], schema), "run", 5)
 
 
+def test_a_folded_view_reads_only_later_batches(spark, tmp_path):
+    view = stores.LatestView(str(tmp_path / "v"), ["k"], ["v"])
+    mk = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    view.write(mk(("a", 1), ("b", 5)), "run", 0)
+    view.write(mk(("a", 3)), "run", 1)
+    view.fold(spark)
+    view.write(mk(("a", 2), ("c", 1)), "run", 2)
+    view.fold(spark)
+    view.write(mk(("b", 9)), "again", 0)
+    assert sorted(map(tuple, view.read(spark).collect())) == [("a", 3), ("b", 9), ("c", 1)]
+    fold, rest = view._parts(spark)
+    assert fold.count() == 3 and [(r.k, r.v) for r in rest.collect()] == [("b", 9)]
+
+
 def test_only_a_missing_path_counts_as_empty(spark, tmp_path):
     with pytest.raises(AnalysisException):
         stored_or_none(lambda: spark.range(1).select("no_such_column"))

@@ -93,7 +93,8 @@ class AppendStore(_Store):
 
 
 class LatestView(_Store):
-    """Newest row per key, maintained by appending each batch's own newest rows; reading takes the newest of those."""
+    """Newest row per key, maintained by appending each batch's own newest rows; reading takes the newest of those, of
+    batches before the last `fold` only what that has left."""
 
     def __init__(self, path: str, key: Sequence[str], order: Sequence[str]):
         super().__init__(path)
@@ -102,8 +103,36 @@ class LatestView(_Store):
     def write(self, batch: DataFrame, run: str, batch_id: int) -> None:
         self._write(latest(batch, self.key, self.order), run, batch_id)
 
+    def _parts(self, spark: SparkSession) -> tuple[DataFrame | None, DataFrame | None]:
+        """The newest fold with what it covers, and the rows of batches that it does not."""
+        rows = stored_or_none(lambda: spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows"))
+        folds = stored_or_none(lambda: spark.read.option("basePath", f"{self.path}/folds").parquet(f"{self.path}/folds"))
+        if rows is None or folds is None:
+            return None, rows
+        number = folds.agg(F.max("number")).first()[0]
+        fold = folds.where(F.col("number") == number).drop("number")
+        covered = spark.read.parquet(f"{self.path}/covered/number={number}")
+        return fold, rows.join(covered, list(_OWN), "left_anti")
+
     def read(self, spark: SparkSession) -> DataFrame:
-        return latest(super().read(spark), self.key, self.order)
+        fold, rest = self._parts(spark)
+        if rest is None:
+            return super().read(spark)  # fails as a read of nothing does
+        rest = rest.drop(*_OWN)
+        return latest(rest if fold is None else fold.unionByName(rest), self.key, self.order)
+
+    def fold(self, spark: SparkSession) -> None:
+        """Writes the newest row of every key as one part, which later reads take instead of the batches that it covers.
+
+        Nothing is removed: a fold is a new folder, and what it covers is written before it appears.
+        """
+        rows = stored_or_none(lambda: spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows"))
+        if rows is None:
+            return
+        folds = stored_or_none(lambda: spark.read.option("basePath", f"{self.path}/folds").parquet(f"{self.path}/folds"))
+        number = 0 if folds is None else folds.agg(F.max("number")).first()[0] + 1
+        rows.select(*[F.col(c).cast("string").alias(c) for c in _OWN]).distinct().write.mode("overwrite").parquet(f"{self.path}/covered/number={number}")
+        self.read(spark).write.mode("overwrite").parquet(f"{self.path}/folds/number={number}")
 
 
 class ObservationStore(_Store):
