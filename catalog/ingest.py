@@ -523,3 +523,35 @@ def q_run_records(spark, sf):
         row = pit.run_record(counts, "r1", kind, "2026-01-01 00:00:00", "2026-01-01 00:10:00").where("rows_in > 0")
         out = row if out is None else out.unionByName(row)
     return pit.latest_runs(out).select("run_id", "collector", "status", "rows_in", "rows_new", "detail")
+
+
+_READINGS = """rd AS (SELECT event_type || user_id % 3 AS source, cast(ts AS date) AS as_of, CASE WHEN event_type = 'error' OR day(ts) % 5 = 0 THEN 'n/a' ELSE cast(count(*) AS varchar) END AS value FROM events GROUP BY 1, 2, event_type, day(ts))"""
+
+
+def readings(spark, sf):
+    """A daily reading per source as text; on some days, and for some sources always, it is none."""
+    d = ad.table(spark, sf, "events").groupBy(F.concat("event_type", (F.col("user_id") % 3).cast("string")).alias("source"), F.to_date("ts").alias("as_of"), "event_type").agg(
+        F.count(F.lit(1)).cast("string").alias("value"))
+    return d.withColumn("value", F.when((F.col("event_type") == "error") | (F.dayofmonth("as_of") % 5 == 0), "n/a").otherwise(F.col("value")))
+
+
+@query("sentiment_summary", "WITH " + _READINGS + """, w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY as_of DESC) AS r FROM rd WHERE value <> 'n/a')
+SELECT source, max(cast(value AS bigint)) FILTER (r = 1) AS value, max(as_of) AS as_of, cast(round(avg(cast(value AS bigint))) AS bigint) AS mean_7d FROM w WHERE r <= 7 GROUP BY 1""")
+def q_sentiment(spark, sf):
+    return rc.sentiment_summary(readings(spark, sf))
+
+
+@query("failed_sources", "WITH " + _READINGS + " SELECT source FROM rd GROUP BY 1 HAVING count(*) FILTER (value <> 'n/a') = 0")
+def q_failed(spark, sf):
+    r = readings(spark, sf)
+    return rc.failed_sources(r, rc.sentiment_summary(r))
+
+
+@query("fx_snapshot_rows", "WITH " + ad.BARS_SQL + ", " + _CHART + """, z AS (SELECT *, CASE symbol::int % 3 WHEN 0 THEN close * 1.01 WHEN 1 THEN 0 END AS quote FROM cr WHERE back = 1),
+f AS (SELECT *, coalesce(nullif(quote, 0), close) AS px FROM z)
+SELECT symbol AS s, round(px, 5) AS p, round((px / prev - 1) * 100, 2) AS chp, round((close / c21 - 1) * 100, 2) AS m1, round(hi, 5) AS h52, round(lo, 5) AS l52, as_of AS asof FROM f""")
+def q_fx(spark, sf):
+    """Rates at the document's own quote where it has one, else at the last close, with five digits."""
+    k = F.col("symbol").cast("int") % 3
+    b = px.chart_bars(chart_documents(spark, sf)).withColumn("quote", F.when(k == 0, F.col("close") * 1.01).when(k == 1, 0.0))
+    return px.snapshot_rows(b, "quote", 5).select("s", "p", "chp", "m1", "h52", "l52", "asof")

@@ -131,6 +131,19 @@ def latest_and_change(points: DataFrame, keys, order: str, value: str, back: int
     return g.where("level IS NOT NULL").select(*keys, "level", rnd((ratio("level", "_prior") - 1) * 100, 2).alias("change"))
 
 
+def sentiment_summary(readings: DataFrame, keys=("source",), days: int = 7) -> DataFrame:
+    """Newest reading of each source and the mean of its last seven; readings (as_of, value as text) that are no whole number do not count."""
+    whole = readings.where(F.coalesce(F.col("value").rlike(r"^\d+$"), F.lit(False))).withColumn("_v", F.col("value").cast("long"))
+    last = top_k(whole, list(keys), ["as_of"], days, "_r")
+    return last.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 1, F.col("_v"))).alias("value"), F.max("as_of").alias("as_of"),
+                                   rnd(F.avg("_v"), 0).cast("long").alias("mean_7d"))
+
+
+def failed_sources(expected: DataFrame, answered: DataFrame, key: str = "source") -> DataFrame:
+    """Sources that were asked and gave nothing usable: named, so that a missing section is not read as a zero."""
+    return expected.select(key).distinct().join(answered.select(key).distinct(), key, "left_anti")
+
+
 COIN_SCHEMA = """id string, name string, market_cap_rank int, description struct<en: string>, categories array<string>, links struct<homepage: array<string>>, genesis_date string,
  market_data struct<market_cap: struct<usd: double>, fully_diluted_valuation: struct<usd: double>, total_volume: struct<usd: double>, circulating_supply: double,
  max_supply: double, total_supply: double, ath: struct<usd: double>, ath_change_percentage: struct<usd: double>, ath_date: struct<usd: string>, atl: struct<usd: double>,
