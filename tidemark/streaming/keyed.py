@@ -223,17 +223,23 @@ def fact_statuses(facts: DataFrame, keys: Sequence[str] = ("asset", "label"), de
     return _with_state(rows, keys, _Facts(keys, held, ["observed_ms", "value", "bias"]), out)
 
 
-def run_stateful(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Process everything that is there and stop; rows go to Parquet files in `folder`."""
-    conf = stream.sparkSession.conf
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name, None)
-    conf.set(name, STATE_STORE)
+def run_stateful(stream: DataFrame, folder: str, checkpoint: str, partitions: int | None = None) -> None:
+    """Process everything that is there and stop; rows go to Parquet files in `folder`.
+
+    The state has as many partitions as the cluster has cores, or `partitions`; the checkpoint keeps the first run's number.
+    """
+    spark = stream.sparkSession
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+              "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         stream.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).format("parquet").option(
             "path", folder).start().awaitTermination()
     finally:
-        if before is None:
-            conf.unset(name)
-        else:
-            conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
