@@ -66,3 +66,15 @@ def test_blocks_of_templates_and_odd_rows(spark, monkeypatch):
     assert sorted(map(tuple, licenses.scan(docs).collect())) == whole
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
     assert licenses.scan(docs, templates=(("tiny", "too short"),)).count() == 0
+
+
+def test_licenses_that_differ_in_a_number_are_told_apart(spark):
+    by_name = {}
+    for name, template in licenses.TEMPLATES:
+        by_name.setdefault(name, []).append(template)
+    texts = ["This work is licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2.",
+             max(by_name["AGPL-3.0"], key=len), max(by_name["LGPL-3.0"], key=len), max(by_name["GPL-3.0"], key=len)]
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in out} == {(0, "GPL-3.0"), (1, "GPL-2.0"), (2, "AGPL-3.0"), (3, "LGPL-3.0"), (4, "GPL-3.0")}
+    both = texts[0] + " And also: " + texts[1]
+    assert {r.license for r in licenses.scan(spark.createDataFrame([(0, both)], "doc_id long, text string")).collect()} == {"GPL-2.0", "GPL-3.0"}

@@ -16,12 +16,14 @@ Templates go with the tasks; their total size is checked against TEMPLATE_BYTES,
 are scanned in blocks of that size.
 
 Defined results: null and empty texts match nothing; templates of fewer than SHINGLE words are not
-looked for; of overlapping matches of one template the best, then the first, is reported; repeated
-rows are scanned alike.
+looked for; of overlapping matches of one template the best, then the first, is reported; a match is
+left out where one of another license holds more of its own template and covers half of the match or
+more (of templates in one block); repeated rows are scanned alike.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -237,6 +239,20 @@ def _windows(own: np.ndarray, low: int, high: int, length: int, shingles: np.nda
     return out
 
 
+def _clearest(hits: list[tuple]) -> list[tuple]:
+    """Without the matches that a better one of another license covers by half or more: licenses that differ in a number."""
+    hits = sorted(hits, key=lambda h: (h[2], h[3], h[1]))
+    starts = [h[2] for h in hits]
+    longest = max(h[3] - h[2] for h in hits)
+    out = []
+    for hit in hits:
+        _, name, a, b, share = hit
+        near = hits[bisect_left(starts, a - longest) : bisect_left(starts, b)]
+        if not any(n != name and s > share and 2 * (min(b, d) - max(a, c)) >= b - a for _, n, c, d, s in near):
+            out.append(hit)
+    return out
+
+
 def _scan_with(templates: Templates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -246,7 +262,7 @@ def _scan_with(templates: Templates):
             for k, hits in groupby(find(templates, texts), key=lambda h: h[0]):
                 points = CodePoints(texts[k])
                 begin, end = points.words()
-                rows += [(ids[k], name, points.before(int(begin[a])), points.before(int(end[b - 1])), share) for _, name, a, b, share in hits]
+                rows += [(ids[k], name, points.before(int(begin[a])), points.before(int(end[b - 1])), share) for _, name, a, b, share in _clearest(list(hits))]
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64())
             columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
