@@ -112,3 +112,12 @@ def test_scores_past_64_bits():
     rows = [(0, "counts", None, None, None, counts.packed()), (0, "answer", None, len(parts), 0, collocations._packed(counts.composed(parts)))]
     out = collocations._scored(collocations._summed(rows)).to_pylist()
     assert [(r["phrase"], r["l"], r["r"], r["score"]) for r in out] == [("a b", 1 << 60, 1 << 61, 2_000_000 * ((1 << 60) - 7) // (3 << 60))]
+
+
+def test_no_round_gathers_more_than_about_one_shard():
+    """A little over `fan` ranges: a group of the first round holds `step` shards' pieces of one of its ranges."""
+    for ranges in (1, 2, 255, 256, 257, 300, 750, 5000, 65_536):
+        rounds, step = collocations._rounds(ranges, 256)
+        assert step <= 256 and step**rounds >= ranges > 256 ** (rounds - 1) * (ranges > 1)
+        first = -(-ranges // step ** (rounds - 1))
+        assert rounds == 1 or step / first <= 1.3

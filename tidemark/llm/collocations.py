@@ -45,9 +45,9 @@ SHARD_BYTES = 6 << 20
 RANGE_BYTES = 8 << 20
 SAMPLES = 16
 MOST_RANGES = 1 << 16
-#: Shards and ranges that meet in one round of unions; shards of a task, about.
+#: Most shards and ranges that meet in one round of unions; tasks whose shards are told apart, at most.
 FAN = 256
-TASK_SHARDS = 16
+MOST_TASKS = 1 << 20
 #: Bytes of a text that are split into words at once.
 SEGMENT = 1 << 20
 _CODEC = "zstd"
@@ -491,12 +491,24 @@ def _scored(table: pa.Table) -> pa.Table:
                     [c.split()[0] for c in _CANDIDATE.split(", ")])
 
 
-def _merged(texts: DataFrame, bounds: list[Prefix], shard_bytes: int, fan: int) -> DataFrame:
-    """Every range's pieces of all shards, at most about `fan` of them in a task."""
-    ranges = len(bounds) + 1
+def _rounds(ranges: int, fan: int) -> tuple[int, int]:
+    """How many rounds of unions lead to `ranges` ranges, and the shards and ranges that meet in each of them.
+
+    Alike in all rounds: `step` shards meet in one of `step` ranges, so a group holds about as much as one shard. With
+    `fan` of them in every round the first one's ranges would be few, and each of its groups the work of many shards.
+    """
     rounds = 1
     while fan**rounds < ranges:
         rounds += 1
+    step = 1
+    while step**rounds < ranges:
+        step += 1
+    return rounds, step
+
+
+def _merged(texts: DataFrame, bounds: list[Prefix], shard_bytes: int, fan: int) -> DataFrame:
+    """Every range's pieces of all shards; groups of unions on the way hold about one shard's worth."""
+    rounds, fan = _rounds(len(bounds) + 1, fan)
 
     def wide(n: int) -> tuple[list[Prefix], int]:
         """Bounds of the ranges of round n and how many last ranges each holds."""
@@ -509,9 +521,10 @@ def _merged(texts: DataFrame, bounds: list[Prefix], shard_bytes: int, fan: int)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["part", "salt", "piece"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() * TASK_SHARDS
+        task = TaskContext.get().partitionId()
+        # Shards of one place in their tasks are neighbours, whatever the number of shards of a task.
         for k, shard in enumerate(shards(batches, shard_bytes)):
-            yield cut(shard, base + k, 0)
+            yield cut(shard, k * MOST_TASKS + task, 0)
 
     def again(n: int) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
