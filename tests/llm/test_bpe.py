@@ -54,3 +54,15 @@ def test_round_trip_and_odd_rows(spark, plain):
     assert got == sorted(want)
     assert bpe.encode(spark.createDataFrame([], SCHEMA), RANKS, P.PATTERN).count() == 0
     assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), RANKS).first().decoded == b""
+
+
+def test_lists_are_joined_without_python_objects():
+    """Empty and null lists, slices and ids outside the vocabulary."""
+    import pyarrow as pa
+
+    vocabulary = pa.array([b"a", b"bc", None, b""], pa.binary())
+    ids = pa.array([[9], [1, 0, 3, 1], None, [], [0]], pa.list_(pa.int32()))
+    assert bpe._joined(ids.slice(1), vocabulary).to_pylist() == [b"bcabc", b"", b"", b"a"]
+    for bad in (2, 9):
+        with pytest.raises((ValueError, IndexError)):
+            bpe._joined(pa.array([[0, bad]], pa.list_(pa.int32())), vocabulary)

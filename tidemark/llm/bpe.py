@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ NO_RANK = np.int32(2**31 - 1)
 #: Pieces of more bytes are merged one by one with a heap: a round of a matrix costs its width.
 MATRIX_BYTES = 512
 #: Bytes of text whose new pieces are merged together: fuller matrices cost less a piece.
-PIECES_OF_BYTES = 3_000_000
+PIECES_OF_BYTES = 2_000_000
 #: Pieces remembered by a task; the table is emptied when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -210,8 +211,22 @@ def _encoder(rank_path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(rank_path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(rank_path).items()}
+def _vocabulary(rank_path: str) -> pa.Array:
+    """Bytes of every id; null where no token has the id."""
+    ranks = read_ranks(rank_path)
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.binary())
+
+
+def _joined(ids: pa.Array, vocabulary: pa.Array) -> pa.Array:
+    """Bytes of the tokens of each list; an id that no token has is an error."""
+    tokens = vocabulary.take(ids.flatten())
+    if tokens.null_count:
+        raise ValueError("an id that no token has")
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), b"")
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -235,13 +250,12 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """(doc_id, ids) -> (doc_id, ids, decoded binary): the bytes of the tokens in order; null ids give no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _vocabulary(rank_path).__getitem__
+        vocabulary = _vocabulary(rank_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = part.column("ids")
-                decoded = [b"".join(map(token, x or ())) for x in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _joined(ids, vocabulary)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
