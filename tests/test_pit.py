@@ -81,3 +81,13 @@ def test_a_burst_of_one_key_and_hour_is_cut_into_pieces_by_rank(spark):
     fine = pit.changes_only(f, ["k"], "t", ["tie"], ["tie", "n"], piece_rows=50, cuts=15)
     whole = pit.changes_only(f, ["k"], "t", ["tie"], ["tie", "n"])
     assert sorted(r.n for r in fine.where("k IS NOT NULL").collect()) == sorted(r.n for r in whole.where("k IS NOT NULL").collect())
+
+
+def test_rows_that_cannot_be_newest_go_and_newest_never(spark):
+    rows = [(f"k{k % 50}" if k % 11 else None, k * k % 997 if k % 13 else None, k) for k in range(3000)] + [("old", 1, -1), ("none", None, -2)]
+    df = spark.createDataFrame(rows, "key string, at long, k int")
+    newest = lambda d: {(r.key, r.at) for r in d.groupBy("key").agg(F.max("at").alias("at")).collect()}
+    for slots in (1, 4, 1 << 14):
+        kept = pit.maybe_newest(df, ["key"], F.col("at"), slots)
+        assert newest(kept) == newest(df)
+    assert kept.where("at IS NOT NULL").count() < len(rows) / 10

@@ -102,20 +102,35 @@ def board_quotes(board: DataFrame) -> DataFrame:
 
 
 def board_metrics(board: DataFrame, source: str = "board") -> DataFrame:
-    """Depth, foreign room and put-through volume as series rows; an empty level gives no row."""
-    fields = {"foreign_room": parsing.number("fRoom") * fv.BOARD_ROOM_SCALE}
-    for i in (1, 2, 3):
-        bid, ask = parsing.packed_level(f"g{i}"), parsing.packed_level(f"g{i + 3}")
-        fields |= {f"bid{i}": bid["price"], f"bid{i}_vol": bid["volume"], f"ask{i}": ask["price"], f"ask{i}_vol": ask["volume"]}
-    pt = parsing.number("ptVol")
-    fields["put_through_vol"] = F.when(pt != 0, pt)
-    return _series(board.where(F.length(F.trim("sym")) > 0), F.trim("sym"), fields, source)
+    """Depth, foreign room and put-through volume as series rows; an empty level gives no row.
+
+    Every packed text becomes a row before it is read, so it is split and parsed once (see `parsing.packed_level`).
+    """
+    texts = {"foreign_room": "fRoom", "put_through_vol": "ptVol", **{f"bid{i}": f"g{i}" for i in (1, 2, 3)}, **{f"ask{i}": f"g{i + 3}" for i in (1, 2, 3)}}
+    ids = ["_sym", "as_of", "fetched_at"]
+    landed = board.where(F.length(F.trim("sym")) > 0).select(F.trim("sym").alias("_sym"), "as_of", "fetched_at", *[F.col(c).cast("string").alias(n) for n, c in texts.items()])
+    rows = landed.unpivot(ids, list(texts), "_of", "_text").where("_text IS NOT NULL")
+    level = ~F.col("_of").isin("foreign_room", "put_through_vol")
+    first = F.when(level, F.substring_index("_text", "|", 1)).otherwise(F.col("_text"))
+    second = F.substring_index(F.substring_index("_text", "|", 2), "|", -1)
+    read = rows.select(*ids, "_of", level.alias("_level"), (level & F.contains("_text", F.lit("|"))).alias("_packed"),
+                       parsing.number(first).alias("_first"), F.when(level, parsing.number(second)).alias("_second"))
+    x, ordered = F.col("_first"), F.col("_packed") & (F.col("_first") > 0)
+    value = (F.when(F.col("_level"), F.when(ordered, x * fv.BOARD_PRICE_SCALE)).when(F.col("_of") == "foreign_room", x * fv.BOARD_ROOM_SCALE)
+             .otherwise(F.when(x != 0, x)))
+    pairs = read.select(*ids, "_of", value.cast("double").alias("_value"), F.when(ordered, F.col("_second")).cast("double").alias("_volume"))
+    long = pairs.unpivot([*ids, "_of"], ["_value", "_volume"], "_part", "value").where("value IS NOT NULL")
+    field = F.when(F.col("_part") == "_value", F.col("_of")).otherwise(F.concat("_of", F.lit("_vol")))
+    return _series_rows(long.select(*ids, field.alias("field"), "value"), source)
 
 
 def _series(df: DataFrame, symbol: Column, fields: dict[str, Column], source: str) -> DataFrame:
     """Long rows vn.board.<symbol>.<field>; absent fields give none."""
     wide = df.select(symbol.alias("_sym"), "as_of", "fetched_at", *[c.cast("double").alias(n) for n, c in fields.items()])
-    long = wide.unpivot(["_sym", "as_of", "fetched_at"], list(fields), "field", "value").where("value IS NOT NULL")
+    return _series_rows(wide.unpivot(["_sym", "as_of", "fetched_at"], list(fields), "field", "value").where("value IS NOT NULL"), source)
+
+
+def _series_rows(long: DataFrame, source: str) -> DataFrame:
     return long.select(F.concat_ws(".", F.lit("vn.board"), "_sym", "field").alias("series"), "as_of", "value", F.lit(source).alias("source"), "fetched_at",
                        F.to_json(F.struct(F.col("_sym").alias("symbol"), "field")).alias("meta"))
 
