@@ -55,12 +55,12 @@ links AS (SELECT url, symbol, CASE p WHEN 1 THEN 'name' WHEN 2 THEN 'alias' ELSE
 
 def links(spark, sf):
     names, aliases = listed(spark, sf)
-    return news.link_articles(articles(spark, sf), names, aliases)
+    return news.linked(articles(spark, sf), names, aliases)
 
 
 @query("news_links", "WITH " + _DICT + " SELECT symbol, url, matched_by FROM links")
 def q_links(spark, sf):
-    return links(spark, sf).select("symbol", "url", "matched_by")
+    return links(spark, sf).expanded().select("symbol", "url", "matched_by")
 
 
 @query("news_without_roundups", "WITH " + _DICT + " SELECT symbol, url, matched_by FROM (SELECT *, count(*) OVER (PARTITION BY url) AS n FROM links) WHERE n <= 2")

@@ -29,3 +29,10 @@ def test_only_runs_of_the_dictionary_leave_their_row(spark):
     holds = phrases.membership(known, "anchor")
     runs = texts.select(F.explode(F.split("t", " ")).alias("w"))
     assert runs.where(holds(F.col("w"))).count() < 50 and phrases.phrase_hits(texts, ["k"], "t", p).count() == 0
+
+
+def test_the_filter_grows_with_the_dictionary(spark):
+    known = spark.range(60_000).select(F.concat(F.lit("known"), "id").alias("v"))
+    holds = phrases.membership(known, "v")
+    assert known.where(~holds(F.col("v"))).count() == 0
+    assert spark.range(20_000).where(holds(F.concat(F.lit("other"), "id"))).count() < 400

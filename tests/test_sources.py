@@ -83,3 +83,75 @@ def test_long_description_ends_at_a_sentence(spark):
 def test_superseded_coin_is_dropped(spark):
     docs = spark.createDataFrame([("GAL", '{"name":"GAL (migrated to Gravity - G)","id":"x"}'), ("BTC", '{"name":"Bitcoin","id":"bitcoin"}')], "symbol string, json string")
     assert [r.symbol for r in records.coin_profiles(docs).collect()] == ["BTC"]
+
+
+def test_links_kept_by_phrase_are_those_of_plain_search(spark):
+    """Shared names and aliases, companies of several names, codes, repeated urls; with tiles of two rows."""
+    import random
+
+    rng = random.Random(5)
+    lines = [f"alpha{k} beta{k % 3} gamma{k % 2} delta" for k in range(6)] + ["omega sigma tau"]
+    short = ["kappa", "lambda mu", "alpha1 beta1 gamma1 delta", "rho12"]
+    listed = [(f"S{k % 40}", rng.choice([*lines, None])) for k in range(50)] + [("S1", lines[0]), ("S1", lines[1])]
+    alias = [(rng.choice([f"S{k % 40}", f"S{k % 40}", None]), rng.choice([*short, "", lines[2]])) for k in range(50)]
+    stories = []
+    for k in range(60):
+        parts = [rng.choice([*lines, *short, "noise", f"cổ phiếu S{rng.randrange(45)}"]) for _ in range(4)]
+        stories.append((f"u{k % 50}", ". ".join(parts[:2]), " ".join(parts[2:]), k))
+    phrases = {(s, n, 1) for s, n in listed if n} | {(s, a, 2) for s, a in alias if len(a) >= 5}
+    best = {}
+    for url, title, body, _ in stories:
+        clean = lambda x: f" {' '.join(x.lower().replace('.', ' ').replace('ổ', 'o').replace('ế', 'e').split())} "
+        for s, p, i in phrases:
+            if f" {p} " in clean(title + " " + body):
+                best.setdefault((url, s), []).append((i, f" {p} " in clean(title)))
+        for word in (title + " " + body).replace(".", " ").split("cổ phiếu ")[1:]:
+            code = word.split()[0]
+            if any(code == s for s, _ in listed):
+                best.setdefault((url, code), []).append((3, code in title.replace(".", " ").split()))
+    want = {(u, s, news.METHODS[min(i for i, _ in hits) - 1]) for (u, s), hits in best.items() if any(t for i, t in hits if i == min(j for j, _ in hits))}
+    a = spark.createDataFrame(stories, "url string, title string, body string, k int")
+    before = news.TILE
+    news.TILE = 2
+    try:
+        found = news.linked(a, spark.createDataFrame(listed, "symbol string, organ_name string"), spark.createDataFrame(alias, "symbol string, alias string"))
+        rows = [(r.url, r.symbol, r.matched_by) for r in found.expanded().collect()]
+        kept = {(r.url, r.symbol, r.matched_by) for r in news.drop_roundups(found, 6).collect()}
+    finally:
+        news.TILE = before
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {m for _, _, m in want} == set(news.METHODS)
+    size = {u: sum(x[0] == u for x in want) for u, _, _ in want}
+    assert kept == {x for x in want if size[x[0]] <= 6} and kept and kept != want
+    counted = {r.matched_by: (r.links, r.symbols) for r in news.link_counts(found).collect()}
+    assert counted == {m: (sum(x[2] == m for x in want), len({x[1] for x in want if x[2] == m and x[1] is not None})) for m in news.METHODS}
+    # Shared phrases are not written out before they are counted.
+    assert found.stories.count() + found.single.count() < len(rows) * 0.6
+
+
+def test_board_texts_are_read_as_packed_levels(spark):
+    texts = [None, "", "|", "0|5|i", "249.6|5360|i", "12", "a|b", "5|", "-1|3", "NaN|2", " 7 | 8 |d", "3|x|d", "1|2|3|4"]
+    rows = [(" A ", texts[k % 13], texts[(k + 1) % 13], texts[(k * 5) % 13], texts[(k * 3 + 2) % 13]) for k in range(13)]
+    b = spark.createDataFrame(rows, "sym string, g1 string, g4 string, fRoom string, ptVol string").withColumns(
+        {**{f"g{i}": F.lit(None).cast("string") for i in (2, 3, 5, 6)}, "as_of": F.lit("2026-09-24").cast("date"), "fetched_at": F.lit(datetime(2026, 9, 24))})
+    got = sorted((r.series, r.value) for r in prices.board_metrics(b).collect())
+    bid, ask, room, pt = parsing.packed_level("g1"), parsing.packed_level("g4"), parsing.number("fRoom") * 10.0, parsing.number("ptVol")
+    plain = b.select(bid["price"], bid["volume"], ask["price"], ask["volume"], room, F.when(pt != 0, pt)).collect()
+    names = ["bid1", "bid1_vol", "ask1", "ask1_vol", "foreign_room", "put_through_vol"]
+    assert got == sorted((f"vn.board.A.{n}", v) for r in plain for n, v in zip(names, r, strict=True) if v is not None) and got
+
+
+def test_a_sharded_build_computes_its_rows_once(spark, tmp_path):
+    """Shards are counted before their rows are dealt out to files; both read what was written."""
+    from tidemark.sources.artifacts import Artifact
+
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(k):
+        made.add(1)
+        return k
+
+    rows = spark.range(200).select("id", F.udf(mark, "long")("id").alias("v"), (F.col("id") % 3).alias("k"))
+    store = Artifact(str(tmp_path / "a"))
+    store.write(rows, "test", "today", ["k"], 50)
+    assert made.value == 200 and store.read(spark, rows.schema).count() == 200

@@ -1,7 +1,7 @@
 """Which dictionary phrases occur in which texts, as an equality join.
 
 Every phrase has an anchor: of its runs of up to three words the one that the fewest phrases of the dictionary
-hold. A filter of fixed size says which words begin an anchor and which runs may be one, so a text gives only
+hold. A filter, as big as the dictionary needs up to MOST_BITS, says which words begin an anchor and which runs may be one, so a text gives only
 its runs that the filter lets through, each with up to CONTEXT words to both sides. These rows meet the
 dictionary by anchor and are checked where they are; only pairs of a phrase that is longer than that, and
 agrees with all the words around the anchor, are checked against the whole text. Nothing compares every text
@@ -11,6 +11,7 @@ with every phrase, and no other run is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,24 +25,35 @@ ANCHOR_WORDS = 3
 CONTEXT = 32
 #: Shortest phrase that counts, in characters.
 LEAST_CHARS = 5
-#: Bits of a membership filter: 16 KiB, whatever the size of the dictionary. A full filter lets more runs through, never fewer.
+#: Least and most bits of a membership filter (16 KiB and 1 MiB), bits for each value, and places of a value. A filter that is
+#: too small for its dictionary lets more runs through, never fewer.
 FILTER_BITS = 1 << 17
+MOST_BITS = 1 << 23
+BITS_EACH = 16
+PLACES = 3
 
 
 def membership(values: DataFrame, column: str) -> Callable[[Column], Column]:
     """A test that holds for every value of a column, and for few others."""
-    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    words = values.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    bits = [0] * (FILTER_BITS // 64)
-    for row in words.collect():  # at most FILTER_BITS / 64 rows
+    size, wanted = FILTER_BITS, min(MOST_BITS, BITS_EACH * values.count())
+    while size < wanted:
+        size *= 2
+
+    def place(value: Column, k: int) -> Column:
+        return F.pmod(F.xxhash64(value, F.lit(k)), F.lit(size))
+
+    places = values.select(F.explode(F.array(*[place(F.col(column), k) for k in range(PLACES)])).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    words = places.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bits = [0] * (size // 64)
+    for row in words.collect():  # at most MOST_BITS / 64 rows
         bits[row["word"]] = row["bits"]
     # A constant, so that it is folded once and not carried by rows.
     known = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
 
     def holds(value: Column) -> Column:
-        at = F.pmod(F.xxhash64(value), F.lit(FILTER_BITS))
-        return F.getbit(F.element_at(known, (F.floor(at / 64) + 1).cast("int")), at % 64) == 1
+        tests = [F.getbit(F.element_at(known, (F.floor(place(value, k) / 64) + 1).cast("int")), place(value, k) % 64) == 1 for k in range(PLACES)]
+        return reduce(lambda a, b: a & b, tests)
 
     return holds
 
