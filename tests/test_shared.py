@@ -1,12 +1,12 @@
 """What several steps read is shuffled or worked out once."""
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.rolling import sample_deviation
-from tidemark.plans import signals as sg
+from tidemark.plans import dossier, signals as sg
 from tidemark.session import shared
 
 
@@ -67,3 +67,12 @@ def test_a_track_record_walks_once(spark, counted):
     got = sg.summary(wrap(trades(spark), "net"), caps).collect()
     assert [(r.variant, r.trades, r.total_r, r.worst_losing_streak) for r in got] == [("a", 3, -4.5, 3)]
     assert seen.value <= 6
+
+
+def test_newest_events_are_shuffled_once(spark):
+    at = datetime(2026, 1, 1)
+    rows = [("A", f"e{k % 5}", "code", f"t{k}", date(2026, 1, 1 + k % 5), None, None, at + timedelta(days=k)) for k in range(10)]
+    df = spark.createDataFrame(rows, "symbol string, event_id string, event_code string, title string, public_date date, record_date date, exright_date date, fetched_at timestamp")
+    got, plan = final_plan(dossier.events(df.repartition(3), k=3))
+    assert [(r.symbol, r["count"], [x.title for x in r.rows]) for r in got] == [("A", 5, ["t9", "t8", "t7"])]
+    assert "ReusedExchange" in plan

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed_values as fv
 from tidemark.functions.numeric import rnd
 from tidemark.operators.pit import latest, top_k
+from tidemark.session import shared
 
 META_SCHEMA = ("freeFloatPercentage double, maximumForeignPercentage double, averageMatchValue1Month double, "
                "icbCodeLv2 string, icbCodeLv4 string")
@@ -73,7 +74,9 @@ def company_facts(companies: DataFrame, order: Sequence[str] = ("fetched_at",))
 
 def _largest(df: DataFrame, names: Sequence[str], share: str, k: int, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key, then the k largest shares of each symbol, in order, as an array of structs with the full count."""
-    newest = latest(df, key, list(order)).withColumn("pct", rnd(F.col(share) * 100, 3))
+    columns = dict.fromkeys([*key, *names, share, *order])
+    newest = latest(df.select(*columns), key, list(order)).withColumn("pct", rnd(F.col(share) * 100, 3))
+    newest = shared(newest.select(*dict.fromkeys([*key, *names]), "pct"))  # counted and ranked
     counts = newest.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"))
     kept = top_k(newest, ["symbol"], [F.coalesce(F.when(F.col("pct") != 0, F.col("pct")), F.lit(-1.0)).desc(), *[F.col(c) for c in key[1:]]], k, "_r")
     rows = kept.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_r", *names, "pct"))).alias("_rows"))
@@ -91,11 +94,12 @@ def relations(df: DataFrame, k: int = fv.MAX_RELATIONS, order: Sequence[str] = (
 
 
 def events(df: DataFrame, k: int = fv.MAX_EVENTS, order: Sequence[str] = ("fetched_at",)) -> DataFrame:
-    newest = latest(df, ["symbol", "event_id"], list(order))
+    names = ["event_code", "title", "public_date", "record_date", "exright_date"]
+    newest = latest(df.select(*dict.fromkeys(["symbol", "event_id", *names, *order])), ["symbol", "event_id"], list(order))
+    newest = shared(newest.select("symbol", "event_id", *names))  # counted and ranked
     counts = newest.groupBy("symbol").agg(F.count(F.lit(1)).alias("count"))
     kept = top_k(newest, ["symbol"], [F.col("public_date").desc_nulls_last(), F.col("event_id")], k, "_r")
-    rows = kept.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(
-        "_r", "event_code", "title", "public_date", "record_date", "exright_date"))).alias("_rows"))
+    rows = kept.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_r", *names))).alias("_rows"))
     return rows.join(counts, "symbol").select("symbol", F.transform("_rows", lambda r: r.dropFields("_r")).alias("rows"), "count")
 
 
