@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.rolling import sample_deviation
-from tidemark.plans import dossier, signals as sg
+from tidemark.plans import dossier, listing_panel as lp, signals as sg
 from tidemark.session import shared
 
 
@@ -76,3 +76,14 @@ def test_newest_events_are_shuffled_once(spark):
     got, plan = final_plan(dossier.events(df.repartition(3), k=3))
     assert [(r.symbol, r["count"], [x.title for x in r.rows]) for r in got] == [("A", 5, ["t9", "t8", "t7"])]
     assert "ReusedExchange" in plan
+
+
+def test_panel_rows_are_worked_out_once(spark, counted):
+    wrap, seen = counted
+    first = datetime(2026, 1, 1)
+    rows = [("r", "c", k, "d", first, first + timedelta(days=k), 3, 10.0, 9.0, 50.0, 50.0, 3, date(2026, 1, 2), date(2026, 1, 1)) for k in range(8)]
+    panel = spark.createDataFrame(rows, "region string, category string, list_id int, district string, first_seen timestamp, last_seen timestamp, days_seen long, price_first double,"
+                                        " price_last double, size_first double, size_last double, crawl_days int, gone_cutoff date, first_crawl_day date")
+    got = lp.panel_metrics(wrap(panel, "price_last"), spark.createDataFrame([(0,)], "list_id int"), min_samples=1).collect()
+    assert [(r.pcn, r.pc, r.pcm, r.dm) for r in got] == [(8, 100.0, -10.0, 3)]
+    assert seen.value <= 8

@@ -12,6 +12,7 @@ from tidemark.functions.numeric import pct, ratio, rnd
 from tidemark.operators.pit import latest
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.realestate import CELL
+from tidemark.session import written
 
 
 def sale_observations(observations: DataFrame, band=fv.PRICE_BAND, source: str = fv.SALE_SOURCE) -> DataFrame:
@@ -73,6 +74,7 @@ def reposted(observations: DataFrame, days: int = fv.REPOST_DAYS, tolerance: flo
     """
     life = lifetimes(observations.where("price > 0 AND size_m2 > 0")).where("region IS NOT NULL AND district IS NOT NULL AND category IS NOT NULL").select(
         "list_id", *CELL, "first_seen", "last_seen", F.col("size_last").alias("size"), F.col("price_last").alias("price"))
+    life = written(life)  # one row a listing, read by both sides and by the answer
     sb, pb = _log_bin(F.col("size"), tolerance), _log_bin(F.col("price"), tolerance)
     span = days + 1
 
@@ -123,6 +125,10 @@ def panel_metrics(panel: DataFrame, repeats: DataFrame, brokers: DataFrame | Non
     gone = F.to_date("last_seen") < F.col("gone_cutoff")
     rows = (panel.join(repeats.distinct().withColumn("_back", F.lit(True)), "list_id", "left")
             .withColumn("_held", held).withColumn("_cut", F.when(is_cut, change)).withColumn("_gone", gone))
+    # One row a listing, read by the counts and by both passes of the medians.
+    rows = written(rows.select(*CELL, same.alias("_same"), is_cut.alias("_is_cut"), "first_seen", "first_crawl_day", "crawl_days",
+                               "_held", "_cut", "_gone", "_back"))
+    same, is_cut = F.col("_same"), F.col("_is_cut")
     g = rows.groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(same).alias("pcn"), F.count_if(is_cut).alias("_cuts"),
         F.count_if(F.to_date("first_seen") <= F.col("first_crawl_day")).alias("_trunc"),
