@@ -11,7 +11,7 @@ from catalog import adapters as ad
 from catalog.registry import query
 from tidemark.functions.numeric import rnd
 from tidemark.operators.pit import changes_only
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, spread
 from tidemark.streaming import bars, keyed, stores
 
 
@@ -137,7 +137,7 @@ def disordered(spark, rows, ts, late, folder):
     part = F.when(late & (part < 2) & (at >= lo + (part + 1) * third - days), part + 1).otherwise(part)
     for k in range(4):
         if k < 3:
-            rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+            spread(rows.where(part == k)).write.mode("append").parquet(f"{folder}/in")
         else:
             last = F.timestamp_micros(F.lit(hi + 15 * days)).cast(rows.schema[ts].dataType)
             spark.range(1).select(*[last.alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]).write.mode("append").parquet(f"{folder}/in")
@@ -150,6 +150,7 @@ def s_changes(spark, sf):
     out = _run_folder(spark, "changes")
     events = ad.table(spark, sf, "events").withColumn("high", F.col("value") > 40)
     for stream in disordered(spark, events, "ts", F.col("event_id") % 40 == 0, out):
+        stream = stream.select("event_id", "event_type", "user_id", "ts", "high")  # what is held until the watermark
         log = keyed.changes(stream, ["event_type", "user_id"], "ts", ["high"], ["event_id"], "3 days")
         keyed.run_stateful(log, f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").where("event_type IS NOT NULL").select("event_id", "event_type", "user_id", "high")

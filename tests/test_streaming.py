@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.pit import changes_only, stored_or_none
@@ -145,3 +146,21 @@ def test_statuses_are_those_of_the_batch_rule(spark):
         ms = lambda t: int(t.timestamp() * 1000)
         told = keyed._Facts.statuses(ms(row.fetched), ms(row.observed), row.value, row.ttl_ms)
         assert [s for at, s in told if at <= ms(row.now)][-1] == row.status
+
+
+def test_keys_share_groups_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "GROUPS", 2)
+    schema = "k string, f double, ts timestamp, n bigint, s double"
+    nan, big = float("nan"), (1 << 60) + 1
+    states = [1.5, None, 2.5, 0.0]
+    rows = [(None if i % 7 == 0 else f"k{i % 7}", [0.0, -0.0, nan, None][i % 4 if i % 3 else 0], T0 + timedelta(minutes=11 * i), big + i if i % 5 else None,
+             states[(i // 40) % 4]) for i in range(400)]
+    rows.append(("end", None, T0 + timedelta(days=90), None, None))  # moves the watermark
+    late = set(range(150, 200, 3))
+    parts = [[i for i in range(200) if i not in late], [*range(200, 401), *sorted(late, reverse=True)]]
+    out = run_disordered(spark, tmp_path, rows, schema, parts, lambda s: keyed.changes(s, ["k", "f"], "ts", ["s"], ["n"], "2 days"))
+    previous = F.lag(F.struct("s")).over(Window.partitionBy("k", "f").orderBy("ts", "n"))
+    want = spark.createDataFrame(rows[:400], schema).withColumn("p", previous).where("p IS NULL OR NOT p.s <=> s")
+    told = lambda df: sorted(map(repr, df.select("k", (F.col("f") + 0.0).alias("f"), "n", "s").collect()))
+    assert told(out.where("k IS NULL OR k <> 'end'")) == told(want)
+    assert out.count() > 40

@@ -10,11 +10,16 @@ would not.)
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -24,93 +29,162 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 _AT = "_at_us"
 
 
+#: Keys share this many groups of state. A call to the state costs far more than a row, so it is made for a group, not for a key.
+GROUPS = 1 << 10
+#: Rows that leave or are held as one block.
+BLOCK_ROWS = 4096
+
+# Spark hands columns over by these names; it would replace names that begin with an underscore.
+_GROUP, _HELD_AT, _KEY, _ROW = "held_group", "held_at", "held_key", "held_row"
+
+
 class InOrder(StatefulProcessor):
-    """Hands a key's rows over in order of (event time, tie) once the watermark has passed them.
+    """Hands each key's rows over in order of (event time, tie) once the watermark has passed them.
 
-    A subclass says in `due` what they give. `memory` is the schema of what it remembers of a key;
-    `wake` of the last call is the instant (ms) at which it wants to be called again without rows.
+    State belongs to a group of keys: its held rows, packed in blocks, and what is remembered of each key. A subclass says
+    in `due` what one key gives; the last thing it returns is the instant (ms) at which it wants to be called again without rows.
     """
 
-    memory = ""
-
     def __init__(self, keys: Sequence[str], held: str, tie: Sequence[str]):
-        self.keys, self.held_schema = list(keys), held
-        names = StructType.fromDDL(held).fieldNames()
-        self.names, self.tie = names, [names.index(c) for c in (_AT, *tie)]
+        self.keys, self.names = list(keys), StructType.fromDDL(held).fieldNames()
+        self.tie = [self.names.index(c) for c in (_AT, *tie)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.held_schema)
-        self.known = handle.getValueState("known", self.memory)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fresh = [tuple(r[c] for c in self.names) for r in rows]
-        self.held.appendList(fresh)
-        self.handle.registerTimer(_millis(min(r[0] for r in fresh)))
+        self.held = handle.getListState("held", "block binary")
+        self.known = handle.getValueState("known", "keys binary")
+        self.served: set[tuple[Any, int]] = set()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            at = frame[_HELD_AT].astype("int64").tolist()
+            self._hold(list(zip(at, frame[_KEY], frame[_ROW], strict=True)))
+            first = min(at) if first is None else min(first, *at)
+        self.handle.registerTimer(_millis(first))
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.held.get()), key=self._order)
-        ready = [r for r in held if r[0] <= mark * 1000]
-        rest = held[len(ready):]
-        if ready:
+        if (tuple(key), mark) in self.served:  # another timer of the group, of the same micro-batch
+            return iter(())
+        self.served.add((tuple(key), mark))
+        packed: dict[bytes, list[tuple]] = {}
+        rest = []
+        for (block,) in self.held.get():
+            for at, of, row in pickle.loads(block):
+                if at <= mark * 1000:
+                    packed.setdefault(of, []).append((at, *pickle.loads(row)))
+                else:
+                    rest.append((at, of, row))
+        if packed:
+            self.held.clear()
+            self._hold(rest)
             if rest:
-                self.held.put(rest)
-                self.handle.registerTimer(_millis(rest[0][0]))
-            else:
-                self.held.clear()
-        before = self.known.get() if self.known.exists() else None
-        out, after, wake = self.due([Row(*self.names)(*r) for r in ready], None if before is None else tuple(before), mark)
-        if after is not None and after != before:
-            self.known.update(after)
-        if wake is not None and wake > mark:
-            self.handle.registerTimer(wake)
-        named = dict(zip(self.keys, key, strict=True))
-        return iter([Row(**named, **r) for r in out])
+                self.handle.registerTimer(_millis(min(at for at, _, _ in rest)))
+        ready: dict[str, tuple[tuple, list[tuple]]] = {}
+        for of, found in packed.items():
+            of = pickle.loads(of)
+            ready.setdefault(_identity(of), (of, []))[1].extend(found)
+        before = pickle.loads(self.known.get()[0]) if self.known.exists() else {}
+        given = self._handed_over(ready, before, mark)
+        return iter([pd.DataFrame({_ROW: [pickle.dumps(r, -1) for r in block]}) for block in iter(lambda: list(islice(given, BLOCK_ROWS)), [])])
+
+    def _handed_over(self, ready: dict, known: dict, mark: int) -> Iterator[dict]:
+        # A key without rows may have asked to be woken, and the group does not know which one did.
+        wakes, changed = [], False
+        for name, (of, rows) in (ready | {k: (of, []) for k, (of, _) in known.items() if k not in ready} if self.wakes else ready).items():
+            before = known[name][1] if name in known else None
+            out, after, wake = self.due(sorted(rows, key=self._order), before, mark)
+            if after is not None and after != before:
+                known[name], changed = (of, after), True
+            if wake is not None and wake > mark:
+                wakes.append(wake)
+            named = dict(zip(self.keys, of, strict=True))
+            for r in out:
+                yield named | r
+        if changed:
+            self.known.update((pickle.dumps(known, -1),))
+        if wakes:
+            self.handle.registerTimer(min(wakes))
+
+    def _hold(self, rows: list[tuple]) -> None:
+        if rows:
+            self.held.appendList([(pickle.dumps(rows[k:k + BLOCK_ROWS], -1),) for k in range(0, len(rows), BLOCK_ROWS)])
 
     def _order(self, row: tuple) -> tuple:
         # Null before any value, as Spark sorts.
         return tuple((row[k] is not None, row[k]) if row[k] is not None else (False, 0) for k in self.tie)
 
-    def due(self, rows: list[Row], before: tuple | None, mark: int) -> tuple[list[dict], tuple | None, int | None]:
-        """(rows to emit, what is remembered of the key, instant to wake at) for rows that are due at the watermark."""
+    def _named(self, rows: list[tuple]) -> list[Row]:
+        named = Row(*self.names)
+        return [named(*r) for r in rows]
+
+    #: Whether `due` ever asks to be called without rows.
+    wakes = False
+
+    def due(self, rows: list[tuple], before: tuple | None, mark: int) -> tuple[list[dict], tuple | None, int | None]:
+        """(rows to emit, what is remembered of the key, instant to wake at) for a key's rows that are due at the watermark."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+def _identity(key: tuple) -> str:
+    """Equal for keys that Spark groups together, also for values that Python finds unequal or cannot hash."""
+    return repr(tuple(v + 0.0 if isinstance(v, float) else v for v in key))
+
+
 def _millis(micros: int) -> int:
     return -(-micros // 1000)
 
 
 def _ordered(stream: DataFrame, keys: Sequence[str], ts: str, delay: str, columns: Sequence[str]) -> tuple[DataFrame, str]:
-    """The stream with its watermark and the instant of each row, and the schema of what is held of a row."""
-    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).withColumn(_AT, F.unix_micros(ts))
-    kinds = dict(rows.dtypes)
-    return rows, ", ".join([f"{_AT} bigint", *(f"`{c}` {kinds[c]}" for c in columns)])
+    """The stream, its rows packed behind their group and their time with its watermark, and the schema of what is held of a row.
+
+    A packed row goes through the state as it is: no value is turned into another type on its way.
+    """
+    keys, columns = list(keys), list(columns)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [pa.array([pickle.dumps(v, -1) for v in zip(*(b.column(c).to_pylist() for c in names), strict=True)], pa.binary())
+                     if names else pa.array([pickle.dumps((), -1)] * b.num_rows, pa.binary()) for names in (keys, columns)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (_GROUP, ts, _HELD_AT)), *parts], names=[_GROUP, ts, _HELD_AT, _KEY, _ROW])
 
-def _with_state(rows: DataFrame, keys: Sequence[str], processor: InOrder, out: str) -> DataFrame:
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withColumns({_HELD_AT: F.unix_micros(ts), _GROUP: F.pmod(F.xxhash64(*keys), F.lit(GROUPS))})
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), out])
-    return rows.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
+    held = ", ".join([f"{_AT} bigint", *(f"`{c}` {kinds[c]}" for c in columns)])
+    packed = rows.select(_GROUP, ts, _HELD_AT, *keys, *columns).mapInArrow(
+        pack, f"{_GROUP} bigint, `{ts}` timestamp, {_HELD_AT} bigint, {_KEY} binary, {_ROW} binary")
+    return packed.withWatermark(ts, delay), held
+
+
+def _with_state(stream: DataFrame, rows: DataFrame, keys: Sequence[str], processor: InOrder, out: str) -> DataFrame:
+    kinds = dict(stream.dtypes)
+    schema = StructType.fromDDL(", ".join([*(f"`{k}` {kinds[k]}" for k in keys), out]))
+    arrow = to_arrow_schema(schema)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([pickle.loads(r) for r in b.column(0).to_pylist()], schema=arrow)
+
+    return rows.groupBy(_GROUP).transformWithStateInPandas(processor, f"{_ROW} binary", "Append", "EventTime").mapInArrow(unpack, schema)
 
 
 class _Changes(InOrder):
     def __init__(self, keys: Sequence[str], held: str, tie: Sequence[str], fields: Sequence[str], columns: Sequence[str]):
         super().__init__(keys, held, tie)
-        kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(held)}
-        self.memory = ", ".join(f"`{c}` {kinds[c]}" for c in fields)
-        self.fields, self.columns = list(fields), list(columns)
+        self.fields = [self.names.index(c) for c in fields]
+        self.columns = [(c, self.names.index(c)) for c in columns]
 
     def due(self, rows, before, mark):
         out = []
         for row in rows:
-            state = tuple(row[c] for c in self.fields)
+            state = tuple(row[k] for k in self.fields)
             if state != before:
-                out.append({c: row[c] for c in self.columns})
+                out.append({c: row[k] for c, k in self.columns})
             before = state
         return out, before, None
 
@@ -122,20 +196,18 @@ def changes(stream: DataFrame, keys: Sequence[str], ts: str, fields: Sequence[st
     """
     columns = [c for c in stream.columns if c not in (*keys, ts)]
     rows, held = _ordered(stream, keys, ts, delay, columns)
-    kinds = dict(rows.dtypes)
+    kinds = dict(stream.dtypes)
     out = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return _with_state(rows, keys, _Changes(keys, held, tie, fields, columns), out)
+    return _with_state(stream, rows, keys, _Changes(keys, held, tie, fields, columns), out)
 
 
 class _Series(InOrder):
     """Bars of a series: one that is malformed, repeats an instant or leaves out an interval is named."""
 
-    memory = "time bigint"
-
     def due(self, rows, before, mark):
         out = []
         previous = None if before is None else before[0]
-        for row in rows:
+        for row in self._named(rows):
             prices = [row.open, row.high, row.low, row.close]
             problem = None
             # A price that is not a number compares with nothing.
@@ -159,14 +231,14 @@ def rejected_series(bars: DataFrame, delay: str = "1 day", keys: Sequence[str] =
     """
     closed = bars.withColumn("closed_at", F.timestamp_seconds(F.col("time") + F.col("seconds"))).withColumn("step", F.col("seconds"))
     prices = ["open", "high", "low", "close"]
-    rows, held = _ordered(closed.select(*keys, "closed_at", "time", "step", *prices), keys, "closed_at", delay, ["time", "step", *prices])
-    return _with_state(rows, keys, _Series(keys, held, ["time", *prices]), "time bigint, problem string")
+    rows, held = _ordered(closed, keys, "closed_at", delay, ["time", "step", *prices])
+    return _with_state(closed, rows, keys, _Series(keys, held, ["time", *prices]), "time bigint, problem string")
 
 
 class _Facts(InOrder):
-    """The newest fact of a key and the instants at which its status changes."""
+    """The newest fact of a key (fetched, observed, value, bias, ttl, told) and the instants at which its status changes."""
 
-    memory = "fetched bigint, observed bigint, value double, bias int, ttl bigint, told bigint"
+    wakes = True
 
     @staticmethod
     def statuses(fetched: int, observed: int | None, value: float | None, ttl: int) -> list[tuple[int, str]]:
@@ -194,7 +266,7 @@ class _Facts(InOrder):
             before = (fetched, observed, value, bias, ttl, last)
 
         newest: dict[int, Row] = {}
-        for row in rows:  # of one instant the last in order
+        for row in self._named(rows):  # of one instant the last in order
             newest[row._at_us // 1000] = row
         for at, row in newest.items():
             if before is not None:
@@ -218,9 +290,9 @@ def fact_statuses(facts: DataFrame, keys: Sequence[str] = ("asset", "label"), de
                         F.col("value").cast("double").alias("value"), F.col("bias").cast("int").alias("bias"), F.col("ttl_ms").cast("long").alias("ttl_ms"))
     # Whole milliseconds, so that facts of one instant are told apart by the tie alone.
     rows = rows.where(F.col("fetched").isNotNull()).withColumn("fetched", F.timestamp_millis(F.unix_millis("fetched")))
-    rows, held = _ordered(rows, keys, "fetched", delay, ["observed_ms", "value", "bias", "ttl_ms"])
+    packed, held = _ordered(rows, keys, "fetched", delay, ["observed_ms", "value", "bias", "ttl_ms"])
     out = "at_ms bigint, status string, value double, observed_ms bigint, fetched_ms bigint, bias int"
-    return _with_state(rows, keys, _Facts(keys, held, ["observed_ms", "value", "bias"]), out)
+    return _with_state(rows, packed, keys, _Facts(keys, held, ["observed_ms", "value", "bias"]), out)
 
 
 def run_stateful(stream: DataFrame, folder: str, checkpoint: str, partitions: int | None = None) -> None:
