@@ -3,6 +3,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.plans import screener, signals as sg
+from tidemark.plans.bars import daily_bars
 
 
 def test_one_position_at_a_time_and_no_entry_on_the_exit_bar(spark):
@@ -58,3 +59,18 @@ def test_guard_refuses_an_empty_universe(spark):
     old = spark.createDataFrame([("GVR", 18.0, None)], "s string, pe double, pb double")
     with pytest.raises(screener.PublishRefused):
         screener.require_publishable(old.where("false"), old)
+
+
+def test_one_reading_of_the_sessions_tells_bars_flows_and_shares(spark):
+    rows = [(["A", "B", None][i % 3], None if i % 13 == 0 else date(2026, 1, 1) + timedelta(days=i % 7), (i * 37) % 50, [None, -1.0, float(i)][i % 3 if i % 2 else 2],
+             i, [None, 5.0 * i][i % 2], [None, 3.0 * i][i % 5 == 0], [None, 1000 + i][i % 4 == 0]) for i in range(90)]
+    quotes = spark.createDataFrame(rows, "symbol string, as_of date, fetched_at int, price double, volume int, foreign_buy_value double, foreign_sell_value double, listed_share int"
+                                   ).withColumn("value", F.lit(None).cast("double"))
+    order = ["fetched_at", "volume"]
+    daily = screener.session_quotes(quotes, order)
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    bars = daily_bars(quotes, order).select("symbol", "as_of", "price", "volume")
+    assert same(daily.where("bar IS NOT NULL").select("symbol", "as_of", "bar.price", "bar.volume"), bars)
+    assert same(screener._flow_totals(daily.where("foreign_buy_value IS NOT NULL OR foreign_sell_value IS NOT NULL")), screener.foreign_flow(quotes, order))
+    shares = daily.groupBy("symbol").agg(F.max_by("share.listed_share", "share.at").alias("listed_share"))
+    assert same(shares.where("listed_share IS NOT NULL"), screener.share_counts(quotes, order))
