@@ -155,3 +155,26 @@ def test_a_sharded_build_computes_its_rows_once(spark, tmp_path):
     store = Artifact(str(tmp_path / "a"))
     store.write(rows, "test", "today", ["k"], 50)
     assert made.value == 200 and store.read(spark, rows.schema).count() == 200
+
+
+def test_texts_are_searched_without_being_written(spark, monkeypatch):
+    """A name in the whole text still tells that its company's alias in the headline does not count."""
+    from tidemark.operators import phrases
+
+    words = [f"word{k}" for k in range(3000)]
+    stories = [(f"u{k}", f"Vinamilk kênh {k}", " ".join(words if k % 2 else words[:2000])) for k in range(20)]
+    a = spark.createDataFrame(stories, "url string, title string, body string")
+    listed = spark.createDataFrame([("VNM", "word2500 word2501 word2502")], "symbol string, organ_name string")
+    alias = spark.createDataFrame([("VNM", "Vinamilk")], "symbol string, alias string")
+    kept, sizes = news.written, []
+
+    def noted(df):
+        out = kept(df)
+        sizes.append(sum(len(str(r)) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(news, "written", noted)
+    monkeypatch.setattr(phrases, "written", noted)
+    found = news.link_articles(a, listed, alias).select("url", "symbol", "matched_by").collect()
+    assert sorted(map(tuple, found)) == sorted((f"u{k}", "VNM", "alias") for k in range(0, 20, 2))
+    assert 0 < sum(sizes) < sum(len(body) for _, _, body in stories) / 2
