@@ -178,3 +178,25 @@ def test_texts_are_searched_without_being_written(spark, monkeypatch):
     found = news.link_articles(a, listed, alias).select("url", "symbol", "matched_by").collect()
     assert sorted(map(tuple, found)) == sorted((f"u{k}", "VNM", "alias") for k in range(0, 20, 2))
     assert 0 < sum(sizes) < sum(len(body) for _, _, body in stories) / 2
+
+
+def test_the_newest_board_reads_every_series_once(spark, monkeypatch):
+    """Names of series are put together once a row; symbols with dots and names without a field keep their places."""
+    from catalog import equity, ingest
+    from tidemark.plans import screener
+
+    rows = [(f" {s}", datetime(2026, 9, d), f"{d}|5|d", str(100 * d)) for s in ("A", "B.C", "B.D") for d in (1, 2, 3)]
+    b = spark.createDataFrame(rows, "sym string, fetched_at timestamp, g1 string, fRoom string").withColumns(
+        {**{f"g{i}": F.lit(None).cast("string") for i in range(2, 7)}, "ptVol": F.lit("12"), "as_of": F.to_date("fetched_at")})
+    monkeypatch.setattr(ingest, "board", lambda spark, sf: b)
+    plans, kept = [], screener.written
+    monkeypatch.setattr(screener, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    newest = screener.newest_board(equity.board_metrics(spark, ""))
+    assert [p.count("concat_ws") for p in plans] == [1]
+    assert sorted(map(tuple, screener.foreign_room(newest).select("symbol", "room").collect())) == [("A", 2200.0), ("B", 2200.0), ("B", 2200.0)]
+    assert sorted((r.symbol, r.b1, r.b1v) for r in screener.board_depth(newest).collect()) == [("A", 3000.0, 5.0)]
+    named = spark.createDataFrame([("vn.board.bid1", 1.0, 1), ("vn.board.X.bid1", 2.0, 1), ("vn.board.X.Y.bid1", 3.0, 1), ("vn.board.X.bid1.Z", 4.0, 2)], "series string, value double, d int").select(
+        "series", "value", F.date_add(F.lit("2026-09-01").cast("date"), "d").alias("as_of"), F.lit(datetime(2026, 9, 1)).alias("fetched_at"))
+    found = screener.newest_board(named)
+    plain = named.where(F.split_part("series", F.lit("."), F.lit(4)) == "bid1")
+    assert screener.board_depth(found).collect() == screener.board_depth(plain).collect() != []

@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import fixed_values as fv
-from tidemark.functions.numeric import col, denan
+from tidemark.functions.numeric import col
 
 
 def number(c) -> Column:
     """Text to double: blanks, dashes, garbage and NaN are NULL."""
     text = F.trim(col(c).cast("string"))
-    return denan(text.try_cast("double"))
+    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))  # read once
 
 
 def accounting_number(c) -> Column:
