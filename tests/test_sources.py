@@ -200,3 +200,22 @@ def test_the_newest_board_reads_every_series_once(spark, monkeypatch):
     found = screener.newest_board(named)
     plain = named.where(F.split_part("series", F.lit("."), F.lit(4)) == "bid1")
     assert screener.board_depth(found).collect() == screener.board_depth(plain).collect() != []
+
+
+def test_many_shards_are_written_and_read_in_groups(spark, tmp_path, monkeypatch):
+    """No reader lists more folders than a group has; each shard keeps its own."""
+    from tidemark.sources import artifacts
+
+    monkeypatch.setattr(artifacts, "MOST_FOLDERS", 30, raising=False)
+    rows = spark.range(300).select(F.when(F.col("id") > 0, F.concat(F.lit("t"), F.col("id") % 100)).alias("s"), F.struct("id", F.array("id").alias("q")).alias("m"))
+    store = artifacts.Artifact(str(tmp_path / "a"))
+    store.write(rows.limit(0), "test", "yesterday", ["s"], 2)
+    store.write(rows, "test", "today", ["s"], 2)
+    now = store.read(spark, rows.schema)
+    assert sorted(now.select("s", "m").collect(), key=lambda r: r.m.id) == rows.collect() and store.previous(spark, rows.schema).count() == 0
+    assert store.provenance(spark).first().n == 300
+    found = {r.s: (r.n, r.files) for r in store.shards(spark, rows.schema, ["s"]).collect()}
+    assert len(found) == 101 and sum(n for n, _ in found.values()) == 300 and max(f for _, f in found.values()) <= 2
+    folders = [len(list(p.glob("s=*"))) for p in tmp_path.glob("a/builds/*/rows/group=*")]
+    assert sum(folders) == 101 and len(folders) == 4 and max(folders) < 60
+    assert "FileScan" not in now._jdf.queryExecution().executedPlan().toString()
